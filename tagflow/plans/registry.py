@@ -4,14 +4,16 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from . import queries
+    from . import hierarchy_queries, queries
 
     out = dict(queries.QUERIES)
+    out.update(hierarchy_queries.QUERIES)
     return out
 
 
 def all_oracle_sql() -> dict:
-    from . import oracle
+    from . import hierarchy_oracle, oracle
 
     out = dict(oracle.ORACLE)
+    out.update(hierarchy_oracle.ORACLE)
     return out
