@@ -254,4 +254,16 @@ ORACLE: dict[str, str] = {
         (SELECT count(*) FROM (SELECT src AS n FROM merged UNION SELECT dst FROM merged)) AS nodes,
         (SELECT count(*) FROM merged) AS edges,
         (SELECT count(DISTINCT length(tag) % """ + str(Q.N_FIXED_CLUSTERS) + """) FROM vocab) AS clusters""",
+    "incremental_ingest": "WITH" + POSTS + " SELECT id, created_at, score, rating, general, character, copyright, artist, meta FROM active",
+    "streaming_tag_counts": "WITH" + POSTS + TAGCOUNT + " SELECT tag, tag_type, count FROM bytype",
+    "modularity_fixed": BASE + _graph() + WIKI + _links() + MERGED + f""",
+        cm AS (SELECT tag, CAST(length(tag) % {Q.N_FIXED_CLUSTERS} AS BIGINT) AS c FROM vocab),
+        ea AS (SELECT m.weight, a.c AS ca, b.c AS cb FROM merged m JOIN cm a ON m.src = a.tag JOIN cm b ON m.dst = b.tag),
+        win AS (SELECT ca AS c, sum(weight) AS w_in FROM ea WHERE ca = cb GROUP BY ca),
+        st AS (SELECT node, sum(weight) AS k FROM (SELECT src AS node, weight FROM merged UNION ALL SELECT dst, weight FROM merged) GROUP BY node),
+        kc AS (SELECT cm.c, sum(k) AS K FROM st JOIN cm ON st.node = cm.tag GROUP BY cm.c),
+        tw AS (SELECT sum(weight) AS m FROM merged)
+        SELECT round(sum(coalesce(w_in, 0)) / max(tw.m) - sum(K * K) / (4 * max(tw.m) * max(tw.m)), 9) AS modularity,
+               count(*) AS communities, round(max(tw.m), 9) AS total_weight
+        FROM kc LEFT JOIN win ON kc.c = win.c, tw""",
 }

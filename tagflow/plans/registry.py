@@ -4,10 +4,11 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from . import hierarchy_queries, queries
+    from . import hierarchy_queries, queries, stream_queries
 
     out = dict(queries.QUERIES)
     out.update(hierarchy_queries.QUERIES)
+    out.update(stream_queries.QUERIES)
     return out
 
 
