@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hierarchy as HX
 from ..operators import hierarchy as H
+from ..session import materialize
 from ..sources import adapters
 
 PATH_TERM = "economy"
@@ -27,7 +28,10 @@ def normalised(spark, d):
 
 
 def consolidated(spark, d):
-    return H.consolidate(normalised(spark, d))
+    """Consolidation joins the normalised table with itself several times; the table (one row per
+    distinct name) is written once to the shared checkpoint folder instead of being recomputed,
+    and so is the result that the path queries read twice."""
+    return materialize(H.consolidate(materialize(normalised(spark, d), "hier-norm")), "hier-cons")
 
 
 def pj(c="path", sep="/"):
