@@ -113,6 +113,16 @@ def example_posts(pc: DataFrame, k: int = 5) -> DataFrame:
     return pc.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def cluster_example_lists(examples: DataFrame) -> DataFrame:
+    """Per cluster the ordered lists top_post_ids / top_post_scores / top_post_created
+    (k rows per cluster, so the collected lists are bounded by k)."""
+    g = examples.groupBy("cluster_id").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "id", "score", "created_at"))).alias("x"))
+    return g.select("cluster_id", F.transform("x", lambda e: e["id"]).alias("top_post_ids"),
+                    F.transform("x", lambda e: e["score"]).alias("top_post_scores"),
+                    F.transform("x", lambda e: e["created_at"]).alias("top_post_created"))
+
+
 def example_bundles(examples: DataFrame, filtered: DataFrame, n_tags: int = 20,
                     example_bound: int | None = None) -> DataFrame:
     """C5 (K10, J11): the first n_tags tags of every example post; the example side is broadcast

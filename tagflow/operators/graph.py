@@ -2,10 +2,10 @@
 
 Plan of cooccurrence_edges, built for skewed tags (one tag may sit on most posts):
   explode tags -> broadcast join with the vocabulary (bounded by top_k) -> ONE exchange on post_id
-  (uniform key) collecting each post's vocabulary tags -> cap to the post's k most frequent tags
-  -> unordered pairs generated inside the row (at most k*(k-1)/2 per post, k = max_tags_per_post,
-  the studied project's own cap) -> pair count with map-side partial aggregation, so a hot pair
-  is combined before the shuffle -> frequencies joined from the broadcast vocabulary.
+  (uniform key) collecting each post's vocabulary tags with their frequencies -> cap to the post's
+  k most frequent tags -> unordered pairs generated inside the row (at most k*(k-1)/2 per post,
+  k = max_tags_per_post, the studied project's own cap), frequencies carried along -> pair count
+  with map-side partial aggregation, so a hot pair is combined before the shuffle.
 N (filtered posts) is a scalar subquery.
 """
 
@@ -30,12 +30,14 @@ def vocabulary(freq: DataFrame, min_freq: int, top_k: int | None) -> DataFrame:
 def capped_tag_lists(posts_with_tags: DataFrame, vocab: DataFrame, max_tags_per_post: int,
                      vocab_bound: int | None) -> DataFrame:
     """J1 + W1: per post, its vocabulary tags capped to the k most frequent (freq desc, tag asc),
-    returned sorted by tag as `ctags`. Duplicates inside a post are kept (bag semantics)."""
+    returned sorted by tag as `ctags` = array<struct<tag, freq>>. Duplicates inside a post are kept
+    (bag semantics). Carrying freq here spares the two frequency lookups after the pair count."""
     long = posts_with_tags.select("post_id", F.explode("tags").alias("tag"))
     j = long.join(bounded_broadcast(vocab.select("tag", "freq"), vocab_bound), "tag")
     per_post = j.groupBy("post_id").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("freq")).alias("nf"), F.col("tag")))).alias("ranked"))
-    capped = F.transform(F.slice("ranked", 1, int(max_tags_per_post)), lambda x: x["tag"])
+    capped = F.transform(F.slice("ranked", 1, int(max_tags_per_post)),
+                         lambda x: F.struct(x["tag"].alias("tag"), (-x["nf"]).alias("freq")))
     return per_post.select("post_id", F.sort_array(capped).alias("ctags"))
 
 
@@ -46,20 +48,23 @@ def row_pairs(arr: str = "ctags") -> Column:
       filter(flatten(transform(
           filter(sequence(0, greatest(size({arr}) - 1, 0)), i -> i < size({arr}) - 1),
           i -> transform(sequence(i + 1, size({arr}) - 1),
-                         j -> named_struct('tag_left', {arr}[i], 'tag_right', {arr}[j])))),
+                         j -> named_struct('tag_left', {arr}[i].tag, 'tag_right', {arr}[j].tag,
+                                           'freq_left', {arr}[i].freq, 'freq_right', {arr}[j].freq)))),
         p -> p.tag_left < p.tag_right)""")
 
 
 def pair_counts(capped: DataFrame) -> DataFrame:
-    """Co-occurrence count per (tag_left, tag_right)."""
+    """Co-occurrence count per (tag_left, tag_right); the frequencies ride along as grouping
+    keys (functionally dependent on the tags)."""
     return (capped.select(F.explode(row_pairs("ctags")).alias("p"))
-                  .groupBy(F.col("p.tag_left").alias("tag_left"), F.col("p.tag_right").alias("tag_right"))
+                  .groupBy(F.col("p.tag_left").alias("tag_left"), F.col("p.tag_right").alias("tag_right"),
+                           F.col("p.freq_left").alias("freq_left"), F.col("p.freq_right").alias("freq_right"))
                   .agg(F.count(F.lit(1)).alias("cooccur")))
 
 
 def pair_counts_self_join(capped: DataFrame) -> DataFrame:
     """J2 in its plain form (same-post equi self-join + theta filter), kept for cross-checking."""
-    long = capped.select("post_id", F.explode("ctags").alias("tag"))
+    long = capped.select("post_id", F.explode("ctags.tag").alias("tag"))
     l, r = long.alias("l"), long.alias("r")
     return (l.join(r, (F.col("l.post_id") == F.col("r.post_id")) & (F.col("l.tag") < F.col("r.tag")))
              .groupBy(F.col("l.tag").alias("tag_left"), F.col("r.tag").alias("tag_right"))
@@ -75,13 +80,9 @@ def cooccurrence_edges(filtered: DataFrame, min_freq: int = 100, max_tags_per_po
     the per-post cap (trap 8). pmi keeps weight > 0.
     """
     vocab = vocabulary(tag_frequency(filtered), min_freq, top_k_tags)
-    vb = bounded_broadcast(vocab, top_k_tags)
     pairs = pair_counts(capped_tag_lists(filtered, vocab, max_tags_per_post, top_k_tags))
-    pairs = pairs.filter(F.col("cooccur") >= min_cooccur)
+    edges = pairs.filter(F.col("cooccur") >= min_cooccur)
     n = row_count(filtered)
-    fl = vb.select(F.col("tag").alias("tag_left"), F.col("freq").alias("freq_left"))
-    fr = vb.select(F.col("tag").alias("tag_right"), F.col("freq").alias("freq_right"))
-    edges = pairs.join(fl, "tag_left", "left").join(fr, "tag_right", "left")
     edges = edges.withColumn("weight", edge_weight(weight_method, "cooccur", n, "freq_left", "freq_right"))
     if weight_method == "pmi":
         edges = edges.filter(F.col("weight") > 0)

@@ -266,4 +266,31 @@ ORACLE: dict[str, str] = {
         SELECT round(sum(coalesce(w_in, 0)) / max(tw.m) - sum(K * K) / (4 * max(tw.m) * max(tw.m)), 9) AS modularity,
                count(*) AS communities, round(max(tw.m), 9) AS total_weight
         FROM kc LEFT JOIN win ON kc.c = win.c, tw""",
+    "cluster_examples": BASE + _graph() + CLUSTERS + """,
+        ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, id ASC) AS rank FROM pc)
+               WHERE rank <= 5)
+        SELECT cluster_id, string_agg(CAST(id AS VARCHAR), '|' ORDER BY rank) AS top_post_ids,
+               string_agg(CAST(score AS VARCHAR), '|' ORDER BY rank) AS top_post_scores,
+               string_agg(created_at, '|' ORDER BY rank) AS top_post_created FROM ex GROUP BY cluster_id""",
+    "top_cluster_examples": BASE + _graph() + CLUSTERS + """,
+        top20 AS (SELECT cluster_id FROM metrics WHERE num_posts >= 50 ORDER BY opportunity DESC, cluster_id ASC LIMIT 20)
+        SELECT cluster_id, rank, id, score FROM (
+          SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, id ASC) AS rank FROM pc)
+        WHERE rank <= 5 AND cluster_id IN (SELECT cluster_id FROM top20)""",
+    "tag_trend": BASE + """ SELECT month, tag, count(*) AS uses FROM (
+        SELECT substr(created_at, 1, 7) AS month, unnest(tags) AS tag FROM filtered) GROUP BY month, tag""",
+    "tag_phi": BASE + _graph(method="count") + """ SELECT tag_left, tag_right, cooccur,
+        round((CAST(cooccur AS DOUBLE) * n.n - CAST(freq_left AS DOUBLE) * freq_right) /
+              sqrt(CAST(freq_left AS DOUBLE) * freq_right * (n.n - freq_left) * (n.n - freq_right)), 9) AS phi FROM edges, n""",
+    "post_tag_bridge": BASE + """ SELECT post_id, CAST(generate_subscripts(tags, 1) - 1 AS INTEGER) AS position,
+        unnest(tags) AS tag FROM filtered""",
+    "column_profile": "WITH" + POSTS + """ SELECT count(*) AS rows,
+        CAST(sum(CASE WHEN general IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_general,
+        CAST(sum(CASE WHEN character IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_character,
+        CAST(sum(CASE WHEN copyright IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_copyright,
+        CAST(sum(CASE WHEN artist IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_artist,
+        CAST(sum(CASE WHEN meta IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_meta,
+        min(score) AS min_score, max(score) AS max_score, round(avg(score), 9) AS avg_score,
+        count(DISTINCT rating) AS ratings, round(avg(CAST(is_deleted AS DOUBLE)), 9) AS deleted_share,
+        round(avg(CAST(is_banned AS DOUBLE)), 9) AS banned_share FROM posts""",
 }

@@ -19,6 +19,7 @@ from ..operators import links as L
 from ..operators import posts as P
 from ..operators import sampling as S
 from ..sources import adapters
+from ..operators.common import row_count
 from . import reports as R
 
 # Run parameters: the studied project's pipeline values (rating, vocabulary and pair limits).
@@ -285,6 +286,55 @@ def q_run_overview(spark, d):
         "posts", "unique_tags", "nodes", "edges", "clusters")
 
 
+def q_cluster_examples(spark, d):
+    """The cluster_examples table -- top 5 ids, scores and creation times per cluster."""
+    ex = C.cluster_example_lists(C.example_posts(fixed_clusters(spark, d)[3]))
+    return ex.select("cluster_id", joined(F.transform("top_post_ids", lambda x: x.cast("string"))).alias("top_post_ids"),
+                     joined(F.transform("top_post_scores", lambda x: x.cast("string"))).alias("top_post_scores"),
+                     joined("top_post_created").alias("top_post_created"))
+
+
+def q_top_cluster_examples(spark, d):
+    """F16: example posts of the top-20 ranked clusters only (left semi join)."""
+    f, vocab, cmap, pc, m = metrics(spark, d)
+    top = R.ranked_clusters(m).select("cluster_id")
+    return C.example_posts(pc).join(top, "cluster_id", "left_semi").select("cluster_id", "rank", "id", "score")
+
+
+def q_tag_trend(spark, d):
+    """Monthly usage of every general tag of the analysis set."""
+    f = filtered(spark, d)
+    return (f.select(F.substring("created_at", 1, 7).alias("month"), F.explode("tags").alias("tag"))
+             .groupBy("month", "tag").agg(F.count(F.lit(1)).alias("uses")))
+
+
+def q_tag_phi(spark, d):
+    """Phi coefficient of every counted pair from its 2x2 table (N = analysis posts)."""
+    f, edges, vocab = graph(spark, d, method="count")
+    n = row_count(f).cast("double")
+    a, fl, fr = F.col("cooccur").cast("double"), F.col("freq_left").cast("double"), F.col("freq_right").cast("double")
+    phi = (a * n - fl * fr) / F.sqrt(fl * fr * (n - fl) * (n - fr))
+    return edges.select("tag_left", "tag_right", "cooccur", r9(phi).alias("phi"))
+
+
+def q_post_tag_bridge(spark, d):
+    """Post_Tags bridge table (post_id, position, tag) of the analysis set."""
+    return filtered(spark, d).select("post_id", F.posexplode("tags").alias("position", "tag"))
+
+
+def q_column_profile(spark, d):
+    """One-row profile of the posts table."""
+    p = posts(spark, d)
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for c in adapters.TAG_TYPES:
+        aggs.append(F.sum(F.col(c).isNull().cast("int")).cast("bigint").alias(f"null_{c}"))
+    aggs += [F.min("score").alias("min_score"), F.max("score").alias("max_score"),
+             F.round(F.avg("score"), 9).alias("avg_score"), F.count_distinct("rating").alias("ratings"),
+             F.round(F.avg(F.col("is_deleted").cast("double")), 9).alias("deleted_share"),
+             F.round(F.avg(F.col("is_banned").cast("double")), 9).alias("banned_share")]
+    return p.agg(*aggs)
+
+
 QUERIES: dict[str, Query] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }
