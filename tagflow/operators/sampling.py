@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefmt import parse_created, per_hour, whole_hours_since
-from .common import row_count
 
 # Multiplier and modulus of a Lehmer-style integer mix used to order the random sample.
 # Both engines compute it exactly in 64-bit integers, so the sample is reproducible anywhere.
@@ -43,19 +42,28 @@ def sample_label(n: Column, method: str = "top") -> Column:
             .otherwise(F.format_string(method + "%dk", (n / 1000).cast("bigint")))
 
 
+def valid_sizes(df: DataFrame, sizes: Iterable[int]) -> list[int]:
+    """Sizes not larger than the data (the others are skipped, as in the studied project).
+
+    One scalar count reaches the driver; it keeps the top-k heap bounded by the data, since a
+    TakeOrderedAndProject heap is sized by the requested k, not by the rows that exist."""
+    total = df.count()
+    return sorted(s for s in set(int(x) for x in sizes) if s <= total)
+
+
 def top_n_sizes(scored: DataFrame, sizes: Iterable[int]) -> DataFrame:
-    """K6: rank once for the largest size, then every size is a prefix of that ranking.
+    """K6: rank once for the largest valid size, then every size is a prefix of that ranking.
 
-    Sizes larger than the active set are skipped. The ranking window runs over the bounded
-    top-max(sizes) set only, never over the whole table.
+    The ranking window runs over the bounded top-max(sizes) set only, never over the whole table.
     """
-    sizes = sorted(set(int(s) for s in sizes))
+    sizes = valid_sizes(scored, sizes)
+    if not sizes:
+        return scored.limit(0).select("*", F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias("sample_size"),
+                                      F.lit("").alias("sample_label"))
     top = top_n(scored, max(sizes))
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*rank_order())))
-    total = row_count(scored)
     size_col = F.explode(F.array(*[F.lit(s).cast("bigint") for s in sizes])).alias("sample_size")
-    out = ranked.select("*", size_col)
-    out = out.filter((F.col("rank") <= F.col("sample_size")) & (F.col("sample_size") <= total))
+    out = ranked.select("*", size_col).filter(F.col("rank") <= F.col("sample_size"))
     return out.withColumn("sample_label", sample_label(F.col("sample_size")))
 
 

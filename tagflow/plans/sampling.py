@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..operators import counts as K
 from ..operators import sampling as S
-from ..operators.common import row_count
 from ..operators.posts import active_posts
 from ..sources.adapters import POST_COLUMNS
 
@@ -27,10 +26,11 @@ def samples(posts: DataFrame, sizes: Iterable[int], method: str = "top", seed: i
         return (ranked.withColumnRenamed("score_per_hour", "rank_score_per_hour")
                       .withColumn("hours_since_start", hours)
                       .withColumn("score_per_hour", S.per_hour("score", "hours_since_start")))
+    sizes = S.valid_sizes(active, sizes)
     top = active.orderBy(S.mix_key("id", seed), F.col("id")).limit(max(sizes))
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(S.mix_key("id", seed), F.col("id"))))
     size_col = F.explode(F.array(*[F.lit(s).cast("bigint") for s in sizes])).alias("sample_size")
-    out = ranked.select("*", size_col).filter((F.col("rank") <= F.col("sample_size")) & (F.col("sample_size") <= row_count(active)))
+    out = ranked.select("*", size_col).filter(F.col("rank") <= F.col("sample_size"))
     return out.withColumn("sample_label", S.sample_label(F.col("sample_size"), "random"))
 
 
