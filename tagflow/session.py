@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,8 +43,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    The cluster's ``spark.checkpoint.dir`` wins. Only when it is unset (local tests)
-    a fresh scratch folder is created; on a cluster that setting must point at shared storage.
+    The cluster's ``spark.checkpoint.dir`` wins. Only when it is unset and the master is local
+    (tests, one machine) a fresh scratch folder is created; on any other master a missing setting
+    is an error, because executors would each write to a disk of their own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,15 +53,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="tagflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss), never a local one."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, wherever the driver was started from (once a context)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tagflow_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tagflow-pkg-"), "tagflow-package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("tagflow", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._tagflow_shipped = True
+
+
+def state_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tagflow-{name}-{uuid.uuid4().hex}"
+
+
+def drop_state(spark: SparkSession, path: str) -> None:
+    """Delete a state table that no later plan reads (through Hadoop's file system API)."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df: DataFrame, name: str = "state") -> DataFrame:
@@ -70,7 +97,6 @@ def materialize(df: DataFrame, name: str = "state") -> DataFrame:
     loss of any executor.
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tagflow-{name}-{uuid.uuid4().hex}"
+    path = state_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
