@@ -1,8 +1,8 @@
 """Operators of a training-data pipeline; each module holds an operator, its query and its SQL."""
 
-from . import sharding
+from . import decontamination, sharding
 
-MODULES = (sharding,)
+MODULES = (decontamination, sharding)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _m in MODULES:
