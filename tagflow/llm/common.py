@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -53,3 +54,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def many_objects() -> None:
+    """For workers that keep large tables without cycles: look for cyclic garbage rarely."""
+    gc.set_threshold(1_000_000, 50, 1000)
