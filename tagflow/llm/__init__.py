@@ -1,8 +1,8 @@
 """Operators of a training-data pipeline; each module holds an operator, its query and its SQL."""
 
-from . import decontamination, sharding
+from . import bpe, decontamination, sharding, token_counts, token_files
 
-MODULES = (decontamination, sharding)
+MODULES = (bpe, decontamination, sharding, token_counts, token_files)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _m in MODULES:
