@@ -1,8 +1,8 @@
 """Operators of a training-data pipeline; each module holds an operator, its query and its SQL."""
 
-from . import bpe, decontamination, sharding, simhash, token_counts, token_files
+from . import bpe, decontamination, sharding, simhash, token_counts, token_files, toxicity
 
-MODULES = (bpe, decontamination, sharding, simhash, token_counts, token_files)
+MODULES = (bpe, decontamination, sharding, simhash, token_counts, token_files, toxicity)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _m in MODULES:
