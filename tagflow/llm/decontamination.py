@@ -26,11 +26,11 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from .common import documents, pick, slices, workers_ready
+from .common import documents, pick, workers_ready
 from .fm_index import GAP, FMIndex
 
 WINDOW = 10
@@ -139,7 +139,7 @@ def in_code_points(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, i
 
 RESULT = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())),
                     ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-RESULT_DDL = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+RESULT_KINDS = ("long", "long", "array<string>", "array<struct<start:long,end:long>>")
 
 
 def shards(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
@@ -154,10 +154,10 @@ def shards(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.Recor
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                  item_col: str = "item_id", item_text_col: str = "text", prefix: str = "") -> DataFrame:
     """docs with n_words, n_hit, items (found, sorted) and spans (code points to remove); see RESULT.
 
-    docs must not have columns of these names; ``remove_passages`` and the query see to that.
+    prefix stands before these names, for docs that have columns so called.
     """
     spark = docs.sparkSession
     workers_ready(spark)
@@ -171,7 +171,9 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
         block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k)
         blocks.append(spark.sparkContext.broadcast([tuple(r) for r in block.toLocalIterator()]))
     text_at = docs.columns.index(text_col)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [RESULT_DDL])
+    names = [prefix + n for n in RESULT.names]
+    added = ", ".join(f"`{n}` {kind}" for n, kind in zip(names, RESULT_KINDS, strict=True))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one: list[Phrases] = []
@@ -186,25 +188,29 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
                 counts, hits, items_found = search_shard(texts, one[0])
                 for t, a, b in hits:
                     spans[t].append((a, b))
-                for t, names in enumerate(items_found):
-                    found[t] |= names
+                for t, items_of in enumerate(items_found):
+                    found[t] |= items_of
             spans = [merged(x) for x in spans]
             points = [[{"start": a, "end": b} for a, b in in_code_points(t, x)] if x else []
                       for t, x in zip(texts, spans, strict=True)]
             more = [pa.array(counts, pa.int64()), pa.array([sum(b - a for a, b in x) for x in spans], pa.int64()),
                     pa.array([sorted(x) for x in found], RESULT.field("items").type),
                     pa.array(points, RESULT.field("spans").type)]
-            yield pa.RecordBatch.from_arrays([*shard.columns, *more], [*shard.schema.names, *RESULT.names])
+            yield pa.RecordBatch.from_arrays([*shard.columns, *more], [*shard.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
 
-def remove_spans(text: str, spans: list) -> str:
-    out, at = [], 0
-    for s in spans:
-        out.append(text[at:s["start"]])
-        at = s["end"]
-    return "".join([*out, text[at:]])
+def cut_out(text: Column, spans: Column) -> Column:
+    """The text without its spans (in order, apart), by code points; a blank is left in place of each."""
+    def keep(acc: Column, x: Column) -> Column:
+        part = F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
+        return F.struct(x["end"].alias("at"), F.concat(acc["parts"], F.array(part)).alias("parts"))
+
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+    rest = F.aggregate(spans, first, keep, lambda acc: F.array_join(F.concat(acc["parts"], F.array(
+        F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))), " "))
+    return F.when(F.size(spans) > 0, rest).otherwise(text)
 
 
 def op6_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

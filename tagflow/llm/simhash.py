@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import state_path
-from .common import documents, pick, slices, workers_ready
+from .common import column, documents, pick, slices, unused, workers_ready
 from .components import components
 
 SHINGLE, DISTANCE, SEED, SEGMENTS = 3, 2, 42, 2
@@ -139,11 +139,17 @@ def links(fps: DataFrame, distance: int = DISTANCE, m: int = SEGMENTS, crowd: in
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row (a number of the row, unique), fp, component_id and first (the row that stands for its component)."""
+                    id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, row, fp, component_id and first (the row that stands for its component: smallest id, then row).
+
+    row_col: a long that tells rows apart, if docs has one; else rows are numbered.
+    """
     spark = docs.sparkSession
     path = state_path(spark, "fingerprints")
-    rows = pick(docs, doc_id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
+    if row_col:
+        rows = pick(docs, doc_id=id_col, text=text_col, row=row_col)
+    else:
+        rows = pick(docs, doc_id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
     fingerprints(rows, shingle, seed, "text", "fp").write.parquet(path)
     state = spark.read.parquet(path)
     # of equal fingerprints: the smallest id, and the row that has it
@@ -159,6 +165,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return state.join(found, "fp").select("doc_id", "row", "fp", "component_id", "first")
 
 
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED,
+             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of each component that stands for it, with all its columns."""
+    spark = docs.sparkSession
+    row = unused(docs, "row_number")
+    path = state_path(spark, "numbered")  # numbers hold for good once they are written
+    docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
+    numbered = spark.read.parquet(path)
+    found = near_duplicates(numbered, shingle, distance, seed, id_col, text_col, row)
+    first = found.where(F.col("row") == F.col("first")).select(F.col("row").alias(row))
+    return numbered.join(first, row, "left_semi").select(*[column(c) for c in docs.columns])
+
+
 def op2_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
