@@ -13,9 +13,10 @@ is an error; repeated rows get a row each; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -24,9 +25,11 @@ from pyspark.sql import functions as F
 
 from .bpe_transducer import Ranks, Transducer, Utf8Stream
 from .common import documents, many_objects, slices, workers_ready
-from .pretokens import LONGEST, REMEMBERED, PieceCache
+from .pretokens import WordIds
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Words whose ids a worker keeps in the younger half of its memory.
+WORDS = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,30 +37,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class Encoder:
+class Encoder(WordIds):
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.table = Ranks(ranks)
         self.transducer = Transducer(self.table)
-        self.split = regex.compile(pattern)
-        self.pieces = PieceCache(self.of_piece)
-        self.pretokens: dict[str, list[int]] = {}
-
-    def of_piece(self, piece: str) -> tuple[int, ...]:
-        tokens: list[int] = []
-        known = self.pretokens
-        for p in self.split.findall(piece):
-            got = known.get(p)
-            if got is None:
-                got = self.transducer.encode(p.encode())
-                if len(p) <= LONGEST:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[p] = got
-            tokens.extend(got)
-        return tuple(tokens)
-
-    def __call__(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.pieces.values_of(text)))
+        super().__init__(regex.compile(pattern).findall, WORDS, [])
+
+    def pretoken(self, text: str) -> bytes:
+        return array("i", self.transducer.encode(text.encode())).tobytes()
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -84,7 +71,9 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(key, table)
         for part in slices(batches):
-            ids = pa.array([encoder(t) if t else [] for t in part.column(at).to_pylist()], pa.list_(pa.int32()))
+            data = encoder.batch([t or "" for t in part.column(at).to_pylist()])
+            ends = np.cumsum([0, *map(len, data)]) // 4
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(data), dtype=np.int32)))
             yield pa.RecordBatch.from_arrays([ids if i == at else c for i, c in enumerate(part.columns)],
                                              [ids_col if i == at else c for i, c in enumerate(part.schema.names)])
 

@@ -1,22 +1,27 @@
 """Byte-level BPE as a lazily determinised finite-state transducer, and a streaming decoder.
 
 Two facts make the merges a transducer. Dropping the last token of the encoding of a prefix leaves
-the encoding of a shorter prefix; and a sequence of tokens is an encoding exactly if each of its
-neighbours are. So after some bytes it is enough to know, for each place from which a token may
-still run on past them, how far the bytes since then lead into the vocabulary's trie and the tokens
-before that place that aren't settled yet. That is a state; a byte leads to the next state and
-settles the tokens that all of its places agree on. The wait is bounded: places are not further
-back than the longest token. States and steps are made when first met and kept while they are few.
+the encoding of a shorter prefix; and a sequence of tokens is an encoding exactly if each two
+neighbours in it are. So after some bytes it is enough to know from which places a token may still
+run on, and the last token before each such place.
+
+The places come from an automaton over the vocabulary's trie: the trie read from every place at once
+is nondeterministic, and its subsets are made into states, with the tokens that can end there, when
+first met. The deepest node of a subset decides the others, so there are at most as many states as
+trie nodes. Beside the state the transducer keeps the last token of each place in the window that
+the longest token spans: of the tokens that end at a byte exactly one fits the last token before it.
+A token is settled when all places that are alive lie behind it, and long inputs are emitted as
+tokens settle.
 """
 
 from __future__ import annotations
 
 import codecs
 
-#: States kept at once; beyond, a worker drops them and makes those it meets anew.
-STATES = 150_000
+#: Bytes after which settled tokens are emitted.
+WINDOW = 1024
 #: Pairs of tokens whose neighbourhood is remembered.
-NEIGHBOURS = 1_000_000
+NEIGHBOURS = 500_000
 NONE = -1
 
 
@@ -47,11 +52,11 @@ class Ranks:
 class Transducer:
     def __init__(self, table: Ranks):
         self.table = table
-        # the trie of tokens that encode as themselves; by node and byte: the next node (0: a leaf) and its token
-        self.next: dict[int, tuple[int, int]] = {}
+        # the trie of tokens that encode as themselves: by node and byte the next node
+        self.trie: list[dict[int, int]] = [{}]
+        self.ends: list[int] = [NONE]  # the token that a node is
+        self.depth: list[int] = [0]
         self.halves: dict[int, tuple[int, int]] = {}  # of each token: the two that its last merge joins
-        trie: list[dict[int, int]] = [{}]
-        token = [NONE]
         for data, n in table.ranks.items():
             if len(data) > 1:
                 halves = table.parts(data, n)
@@ -60,33 +65,17 @@ class Transducer:
                 self.halves[n] = (table.ranks[halves[0]], table.ranks[halves[1]])
             node = 0
             for b in data:
-                if b not in trie[node]:
-                    trie[node][b] = len(trie)
-                    trie.append({})
-                    token.append(NONE)
-                node = trie[node][b]
-            token[node] = n
-        for node, steps in enumerate(trie):
-            for b, to in steps.items():
-                self.next[node << 8 | b] = (to if trie[to] else 0, token[to])
+                if b not in self.trie[node]:
+                    self.trie[node][b] = len(self.trie)
+                    self.trie.append({})
+                    self.ends.append(NONE)
+                    self.depth.append(self.depth[node] + 1)
+                node = self.trie[node][b]
+            self.ends[node] = n
         self.neighbours: dict[int, bool] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        self.number: dict[tuple, int] = {}
-        self.state: list[tuple] = []
-        self.step: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.rest: list[tuple[int, ...]] = []
-        self.start = self.numbered(((0, (NONE,)),))
-
-    def numbered(self, state: tuple) -> int:
-        n = self.number.get(state)
-        if n is None:
-            n = self.number[state] = len(self.state)
-            self.state.append(state)
-            self.step.append({})
-            self.rest.append(state[-1][1][1:])  # the place at the end comes last
-        return n
+        self.number: dict[tuple[int, ...], int] = {(0,): 0}
+        self.state: list[tuple[int, ...]] = [(0,)]  # nodes of the places that are alive, the earliest place first
+        self.step: list[dict[int, tuple[int, list[tuple[int, int]]]]] = [{}]  # by byte: state, tokens that can end and their lengths
 
     def together(self, a: int, b: int) -> bool:
         """Whether token b may follow token a."""
@@ -115,33 +104,18 @@ class Transducer:
             else:
                 return True
 
-    def make(self, n: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The step from state n: each place's node goes on; the one token that fits ends a new place."""
-        follow, known = self.next.get, self.neighbours.get
-        places, ended = [], None
-        for node, chain in self.state[n]:
-            got = follow(node << 8 | byte)
-            if got is None:
-                continue
-            to, token = got
-            if ended is None and token >= 0:
-                fits = known(chain[-1] << 32 | token)
-                if fits or fits is None and self.together(chain[-1], token):
-                    ended = (*chain, token)
-            if to:
-                places.append((to, chain))
-        if ended is None:
+    def make(self, n: int, byte: int) -> tuple[int, list[tuple[int, int]]]:
+        """The step from state n: each place's node goes on, and a new place begins."""
+        reached = [self.trie[node][byte] for node in self.state[n] if byte in self.trie[node]]
+        alive = (*(node for node in reached if self.trie[node]), 0)
+        to = self.number.setdefault(alive, len(self.state))
+        if to == len(self.state):
+            self.state.append(alive)
+            self.step.append({})
+        ending = [(self.ends[node], self.depth[node]) for node in reached if self.ends[node] != NONE]
+        if not ending:
             raise ValueError("the vocabulary has a byte that is no token")
-        places.append((0, ended))
-        settled = min([len(chain) for _, chain in places]) - 1  # tokens after the first that all places may agree on
-        if settled:
-            for k in range(settled):
-                if any(chain[k + 1] != ended[k + 1] for _, chain in places):
-                    settled = k
-                    break
-        if settled:
-            places = [(node, chain[settled:]) for node, chain in places]
-        made = self.step[n][byte] = (self.numbered(tuple(places)), ended[1:settled + 1])
+        made = self.step[n][byte] = (to, ending)
         return made
 
     def encode(self, data: bytes) -> list[int]:
@@ -149,24 +123,46 @@ class Transducer:
         whole = self.table.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(self.state) >= STATES:
-            self.forget()
+        steps, known, together = self.step, self.neighbours.get, self.together
         out: list[int] = []
-        at = self.start
+        last, spans = [NONE], [0]  # of the token that ends at each place of the window, and its length
+        at = i = 0
         for byte in data:
-            got = self.step[at].get(byte)
+            i += 1
+            got = steps[at].get(byte)
             if got is None:
-                if len(self.state) >= 2 * STATES:  # one very long pre-token: go on from a copy of this state
-                    state = self.state[at]
-                    self.forget()
-                    at = self.numbered(state)
                 got = self.make(at, byte)
-            at, settled = got
-            if settled:
-                out.extend(settled)
-        out.extend(self.rest[at])
+            at, ending = got
+            for token, length in ending:
+                pair = last[i - length] << 32 | token
+                fits = known(pair)
+                if fits or fits is None and together(last[i - length], token):
+                    break
+            last.append(token)
+            spans.append(length)
+            if i >= WINDOW:
+                self.emit(out, last, spans, [i - self.depth[node] for node in self.state[at]])
+                i = len(last) - 1
+        self.emit(out, last, spans, [i])
         return out
 
+    @staticmethod
+    def emit(out: list[int], last: list[int], spans: list[int], alive: list[int]) -> None:
+        """Emit the tokens before the place at which the encodings up to all places alive meet; keep what is behind it."""
+        meet = set(alive)
+        while len(meet) > 1:
+            late = max(meet)
+            meet.remove(late)
+            meet.add(late - spans[late])
+        end = at = meet.pop()
+        settled = []
+        while at:
+            settled.append(last[at])
+            at -= spans[at]
+        out.extend(settled[::-1])
+        del last[:end], spans[:end]
+        spans[0] = 0
+
 
 class Utf8Stream:
     """Tokens to text as they come: the state is the bytes of a character that isn't complete, three at most.

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, many_objects, pick, slices, workers_ready
-from .pretokens import LONGEST, REMEMBERED, PieceCache
+from .pretokens import Pieces, Recent
 
 LIMIT = 512
 #: Parts up to which the next merge is looked for one by one.
@@ -115,29 +115,22 @@ def vocabulary(path: str) -> Vocabulary:
 class Counter:
     def __init__(self, vocab: Vocabulary):
         self.vocab, self.letters = vocab, byte_letters()
-        self.split = regex.compile(vocab.pattern)
         self.added = re.compile("|".join(map(re.escape, sorted(vocab.added, key=len, reverse=True)))) if vocab.added else None
-        self.pieces = PieceCache(self.of_piece)
-        self.known: dict[str, int] = {}
-
-    def of_piece(self, piece: str) -> int:
-        if piece in self.vocab.whole:  # the shortcut for a piece that is a pre-token
-            return 1
-        return sum(1 if p in self.vocab.whole else self.known.get(p) or self.merged(p) for p in self.split.findall(piece))
-
-    def merged(self, pretoken: str) -> int:
-        n = len(merge([self.letters[b] for b in pretoken.encode()], self.vocab.ranks))
-        if len(pretoken) <= LONGEST:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[pretoken] = n
-        return n
+        self.merged = Recent(self.merge)
+        self.pieces = Pieces(regex.compile(vocab.pattern).findall, self.of_pretokens)
+
+    def of_pretokens(self, pretokens: list[str]) -> int:
+        whole = self.vocab.whole
+        return sum([1 if p in whole else self.merged[p] for p in pretokens])
+
+    def merge(self, pretoken: str) -> int:
+        return len(merge([self.letters[b] for b in pretoken.encode()], self.vocab.ranks))
 
     def __call__(self, text: str) -> int:
         if self.added is None or not self.added.search(text):
-            return sum(self.pieces.values_of(text))
+            return sum(self.pieces.of_text(text))
         parts = self.added.split(text)
-        return len(parts) - 1 + sum(sum(self.pieces.values_of(p)) for p in parts if p)
+        return len(parts) - 1 + sum(sum(self.pieces.of_text(p)) for p in parts if p)
 
 
 _COUNTERS: dict[str, Counter] = {}

@@ -19,12 +19,14 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +35,12 @@ from pyspark.sql import functions as F
 
 from ..session import state_path
 from .common import documents, many_objects, partitions, pick, slices, workers_ready
-from .pretokens import LONGEST, REMEMBERED
+from .pretokens import WordIds
+from .token_counts import byte_letters
 
 END_ID = 2
+#: Words whose ids a worker keeps in the younger half of its memory.
+WORDS = 500_000
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
@@ -54,54 +59,30 @@ def numbers(uri: str, dtype: str, count: int) -> np.ndarray:
         return np.frombuffer(f.read(), dtype=dtype, count=count)
 
 
-class IdsOfTexts:
-    """Ids by the tokenizers library, as bytes of one integer type.
+class IdsOfTexts(WordIds):
+    """Ids by the tokenizers library: its model encodes the pre-tokens, which is what it does with a text's anyway.
 
-    The library encodes each piece that tokenises on its own (see ``pretokens``) once; a text's ids
-    are those of its pieces. A text that holds an added token's string goes to the library whole.
+    A text that holds an added token's string goes to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes | None] = {"": None}  # by what follows a blank; None: begins no piece
-
-    def of_pieces(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes()
-                for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(a in t for a in self.added) else t.split(" ") for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-            known[""] = None
-        new = list({w for words in split if words for w in words if w not in known})
-        begins = [w for w in new if not w[0].isspace()]
-        known.update(dict.fromkeys(w for w in new if w[0].isspace()))
-        known.update(zip(begins, self.of_pieces([" " + w for w in begins]), strict=True))
-        out = [self.joined(words) if words else self.of_pieces([t])[0] for t, words in zip(texts, split, strict=True)]
-        for w in new:
-            if len(w) > LONGEST:
-                del known[w]
-        return out
-
-    def joined(self, words: list[str]) -> bytes:
-        got = [self.known[w] for w in words[1:]]
-        if None not in got:
-            return b"".join([*self.of_pieces(words[:1]), *got]) if words[0] else b"".join(got)
-        pieces: list[tuple[str, bytes | None]] = [(words[0], None)]
-        for word, ids in zip(words[1:], got, strict=True):
-            if ids is None:
-                pieces[-1] = (pieces[-1][0] + " " + word, None)
-            else:
-                pieces.append((" " + word, ids))
-        rest = iter(self.of_pieces([p for p, ids in pieces if ids is None]))
-        return b"".join(next(rest) if ids is None else ids for _, ids in pieces)
+        self.model = self.tokenizer.model
+        wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.dtype, self.kind = ("<u4", "I") if wide else ("<u2", "H")
+        self.letters = dict(enumerate(byte_letters()))
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        super().__init__(regex.compile(pattern).findall, WORDS, added)
+
+    def text(self, text: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def pretoken(self, text: str) -> bytes:
+        shown = text.encode().decode("latin-1").translate(self.letters)
+        return array(self.kind, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
 
 _IDS: dict[str, IdsOfTexts] = {}
