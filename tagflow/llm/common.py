@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,3 +60,15 @@ def partitions(spark: SparkSession) -> int:
 def many_objects() -> None:
     """For workers that keep large tables without cycles: look for cyclic garbage rarely."""
     gc.set_threshold(1_000_000, 50, 1000)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Smaller Arrow batches for what runs inside: less memory outside the heap, in each of an executor's tasks."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import state_path
-from .common import column, documents, pick, slices, unused, workers_ready
+from .common import arrow_rows, column, documents, pick, slices, unused, workers_ready
 from .components import components
 
 SHINGLE, DISTANCE, SEED, SEGMENTS = 3, 2, 42, 2
@@ -44,6 +44,8 @@ SHINGLE, DISTANCE, SEED, SEGMENTS = 3, 2, 42, 2
 CROWD = 24
 #: Shingles whose bits a task unpacks at once.
 BLOCK = 65_536
+#: Rows of an Arrow batch of texts.
+BATCH = 1_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -150,7 +152,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
         rows = pick(docs, doc_id=id_col, text=text_col, row=row_col)
     else:
         rows = pick(docs, doc_id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
-    fingerprints(rows, shingle, seed, "text", "fp").write.parquet(path)
+    with arrow_rows(spark, BATCH):
+        fingerprints(rows, shingle, seed, "text", "fp").write.parquet(path)
     state = spark.read.parquet(path)
     # of equal fingerprints: the smallest id, and the row that has it
     each = state.groupBy("fp").agg(F.min("doc_id").alias("least"),
