@@ -22,7 +22,7 @@ DEFAULT_IGNORE_ELEMENTS = ("see also",)
 FOLLOW_MARKERS = ("tag group", "list of")
 PATH_SEP_FLAT = " → "
 PATH_SEP_MATCH = " -> "
-SITE_HOST = "https://danbooru.donmai.us"
+SITE_HOST = "https://wiki.example.org"  # a parameter: the host that relative links belong to
 WIKI_PREFIX = "/wiki_pages/"
 POSTS_PREFIX = "/posts?tags="
 GROUP_PREFIX = "tag group:"
@@ -65,25 +65,30 @@ def depth_of(path) -> Column:
 
 def should_follow(link_text) -> Column:
     """Follow only links whose text contains "tag group" or "list of"."""
-    t = F.lower(F.trim(_c(link_text)))
+    t = F.lower(stripped(link_text))
     out = F.lit(False)
     for m in FOLLOW_MARKERS:
         out = out | t.contains(m)
     return out
 
 
-def rewrite_url(href) -> Column:
+def stripped(text) -> Column:
+    """Text without the white space around it (all kinds, not blanks alone)."""
+    return F.regexp_replace(_c(text), r"(?U)^\s+|\s+$", "")
+
+
+def rewrite_url(href, host: str = SITE_HOST) -> Column:
     """Host-prefix a relative href; wiki page urls become the posts search of that tag."""
     h = _c(href)
-    full = F.when(h.startswith("/"), F.concat(F.lit(SITE_HOST), h)).otherwise(h)
+    full = F.when(h.startswith("/"), F.concat(F.lit(host), h)).otherwise(h)
     return F.when(full.contains(WIKI_PREFIX),
-                  F.concat(F.lit(SITE_HOST + POSTS_PREFIX), F.element_at(F.split(full, WIKI_PREFIX), -1))
+                  F.concat(F.lit(host + POSTS_PREFIX), F.element_at(F.split(full, WIKI_PREFIX), -1))
                   ).otherwise(full)
 
 
 def contains_any_term(text, terms: Iterable[str]) -> Column:
     """lower(trim(text)) contains any of the (lower-cased) terms."""
-    t = F.lower(F.trim(_c(text)))
+    t = F.lower(stripped(text))
     out = F.lit(False)
     for term in terms:
         out = out | t.contains(term.lower())
@@ -91,11 +96,11 @@ def contains_any_term(text, terms: Iterable[str]) -> Column:
 
 
 def glob_match_any(text, patterns: Iterable[str]) -> Column:
-    """fnmatch of lower(text) against any lower-cased glob pattern (translated once to a regex)."""
+    """the whole of lower(text) matches any lower-cased glob pattern (* ? [seq] [!seq])."""
     t = F.lower(_c(text))
     out = F.lit(False)
     for p in patterns:
-        out = out | t.rlike(fnmatch.translate(p.lower()))
+        out = out | t.rlike("^" + fnmatch.translate(p.lower()).replace(r"\Z", r"\z"))
     return out
 
 

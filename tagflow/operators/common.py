@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Largest row bound for which an explicit broadcast hint is given. Above it (or when no bound
 # is known) the join is left to AQE, whose broadcast decision is made on measured size.
 MAX_BROADCAST_ROWS = 2_000_000
@@ -25,3 +27,22 @@ def row_count(df: DataFrame) -> Column:
 def non_empty(df: DataFrame) -> Column:
     """True when df has a row, as a lazy EXISTS subquery."""
     return df.exists()
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with name = 0, 1, ... in the given order, ranked in parallel.
+
+    Rows are range-partitioned and sorted, numbered inside their partition, and moved up by the
+    counts of the partitions before (a row for each partition).
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    inside = F.monotonically_increasing_id()
+    placed = materialize(df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+                         .withColumn("_at", inside.bitwiseAND(F.lit((1 << 33) - 1))).withColumn("_part", F.spark_partition_id()),
+                         "numbered")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return (placed.join(F.broadcast(bases), "_part").withColumn(name, (F.col("_base") + F.col("_at")).cast("int"))
+            .drop("_part", "_at", "_base"))

@@ -8,22 +8,19 @@ holds a third of all rows never reaches one task as raw rows, and no global numb
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hierarchy as HX
-from .html_walk import walk_page
-
-NODE_SCHEMA = ("page_id long, kind string, pos int, name string, href string, path array<string>, "
-               "has_link boolean, has_nested boolean, level int")
+from ..session import materialize
+from .common import numbered
+from .page_walk import text_item_allowed, walk
 
 
 def default_config(**overrides) -> dict:
+    """max_depth None: lists of any depth; noise None: the fixed selectors, (): none."""
     cfg = dict(exclude_sections=list(HX.DEFAULT_EXCLUDE_SECTIONS), ignore_elements=list(HX.DEFAULT_IGNORE_ELEMENTS),
-               target_groups=None, group_name_patterns=None, skip_first_n=0, max_groups=None, max_depth=10,
+               target_groups=None, group_name_patterns=None, skip_first_n=0, max_groups=None, max_depth=None,
                sibling="any", exclude="items", noise=None)
     cfg.update(overrides)
     return cfg
@@ -31,31 +28,12 @@ def default_config(**overrides) -> dict:
 
 # ------------------------------------------------------------------ H1-H6: page walk
 def page_nodes(pages: DataFrame, cfg: dict | None = None, base_path_col: str | None = None) -> DataFrame:
-    """Walk every page (Arrow batches through mapInPandas); one output row per node.
+    """One row per heading, ignored element and item of every page (see page_walk.walk).
 
-    Input columns: page_id, html (+ base_path array when base_path_col is given).
-    Input splits are sized in bytes by the parquet scan (spark.sql.files.maxPartitionBytes), which
-    balances skewed page sizes better than a hash repartition and costs no shuffle of the html.
+    Input columns: page_id (any type), html (+ base_path array when base_path_col is given).
     """
-    cfg = cfg or default_config()
-    cfg_json = json.dumps(cfg)
-    cols = ["page_id", "html"] + ([F.col(base_path_col).alias("base_path")] if base_path_col else [])
-    src = pages.select(*cols)
-
-    def walk(batches):
-        conf = json.loads(cfg_json)
-        for pdf in batches:
-            out = []
-            has_base = "base_path" in pdf.columns
-            for i in range(len(pdf)):
-                base = list(pdf["base_path"].iat[i]) if has_base and pdf["base_path"].iat[i] is not None else []
-                pid = int(pdf["page_id"].iat[i])
-                for r in walk_page(pdf["html"].iat[i], base, conf):
-                    out.append((pid, *r))
-            yield pd.DataFrame(out, columns=["page_id", "kind", "pos", "name", "href", "path", "has_link",
-                                             "has_nested", "level"])
-
-    return src.mapInPandas(walk, NODE_SCHEMA)
+    base = F.col(base_path_col) if base_path_col else F.array()
+    return walk(pages.select("page_id", base.cast("array<string>").alias("base_path"), "html"), cfg or default_config())
 
 
 def page_items(nodes: DataFrame) -> DataFrame:
@@ -195,60 +173,67 @@ def consolidation_log(items: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
 
 
 # ------------------------------------------------------------------ H13/H12: follow links
-def select_groups(resolved: DataFrame, cfg: dict, keys: tuple[str, ...] = ()) -> DataFrame:
+def select_groups(resolved: DataFrame, cfg: dict) -> DataFrame:
     """Followable start-page items in arrival order with the decision of each check
     (excluded path segment, excluded name, skip_first_n, target groups, name patterns, url).
     The max_groups limit counts fetched pages and is applied in expand_links."""
-    f = resolved.filter(F.col("should_follow"))
-    w = Window.partitionBy(*keys).orderBy("first_seq") if keys else Window.orderBy("first_seq")
-    f = f.withColumn("idx", F.row_number().over(w) - 1)
+    f = numbered(resolved.filter(F.col("should_follow")).select("name", "path", "url", "first_seq"), ["first_seq"], "idx")
     ex = cfg.get("exclude_sections") or []
     reason = F.when(F.exists("path", lambda s: HX.contains_any_term(s, ex)) if ex else F.lit(False), F.lit("excluded_path"))
     reason = reason.when(HX.contains_any_term("name", ex) if ex else F.lit(False), F.lit("excluded_name"))
     reason = reason.when(F.col("idx") < int(cfg.get("skip_first_n") or 0), F.lit("skipped"))
-    targets = cfg.get("target_groups")
-    if targets is not None:
-        direct = F.col("name").isin(list(targets))
-        joined = F.lower(HX.join_path("path", HX.PATH_SEP_MATCH))
-        path_hit = F.lit(False)
-        for t in targets:
-            path_hit = path_hit | joined.contains(t.lower())
-        reason = reason.when(~direct & ~path_hit, F.lit("not_target"))
-    else:
-        direct = F.lit(False)
-    pats = cfg.get("group_name_patterns")
-    if pats is not None:
-        reason = reason.when(~direct & ~HX.glob_match_any("name", pats), F.lit("pattern_mismatch"))
+    targets, patterns = cfg.get("target_groups"), cfg.get("group_name_patterns")
+    only_targets = dict(cfg, exclude_sections=[], group_name_patterns=None)
+    reason = reason.when(~text_item_allowed(F.col("name"), F.col("path"), only_targets) if targets is not None else F.lit(False),
+                         F.lit("not_target"))
+    direct = F.col("name").isin(list(targets)) if targets is not None else F.lit(False)
+    if patterns is not None:
+        reason = reason.when(~direct & ~HX.glob_match_any("name", patterns), F.lit("pattern_mismatch"))
     reason = reason.when(F.col("url").isNull(), F.lit("no_url"))
-    return f.select(*keys, "idx", "name", "path", "url", HX.rewrite_url("url").alias("full_url"),
-                    reason.alias("skip_reason"), "first_seq")
-
-
-def expand_links(start_nodes: DataFrame, pages: DataFrame, cfg: dict, hops: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Follow the selected groups of the start page one hop (hops=1 is the studied
-    behaviour): rewrite urls, visit each url once (first arrival), join the pages table (the
-    fetch), keep the first max_groups fetched pages, walk them with base path = item path.
-    Returns (all raw item rows with seq = (page order, pos), the followed pages)."""
-    start = classify_items(page_items(start_nodes).withColumn("seq", F.struct(F.lit(0).alias("page"), F.col("seq.pos").alias("pos"))))
-    items = start
-    frontier = resolve_duplicates(start)
+    host = cfg.get("site_host") or HX.SITE_HOST
+    return f.select("idx", "name", "path", "url", HX.rewrite_url("url", host).alias("full_url"), reason.alias("skip_reason"), "first_seq")
+
+
+def expand_links(start_nodes: DataFrame, pages: DataFrame, cfg: dict, hops: int = 1,
+                 start_url: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Follow the selected groups of the start page (hops=1 is the studied behaviour): rewrite
+    urls, visit each url once in all hops (first arrival), join the pages table (the fetch), keep the
+    first max_groups fetched pages of a hop, walk them with base path = item path.
+
+    seq = (hop, order, pos): order is the way of link positions that leads to the page, so arrival
+    order needs no numbering of pages. Html meets its url in a join after the selection, never before.
+    Returns (all raw item rows, the followed pages: hop, order, full_url, group, base_path)."""
+    def placed(nodes: DataFrame, hop: int, order) -> DataFrame:
+        return classify_items(page_items(nodes).withColumn("seq", F.struct(
+            F.lit(hop).alias("hop"), order.cast("array<int>").alias("order"), F.col("seq.pos").alias("pos"))))
+
+    items = frontier_items = placed(start_nodes, 0, F.array())
     followed_all = None
+    visited = None
     for hop in range(1, hops + 1):
-        sel = select_groups(frontier, cfg).filter(F.col("skip_reason").isNull())
-        first = sel.groupBy("full_url").agg(F.min(F.struct("first_seq", "path", "name")).alias("f"))
-        fetched = first.join(pages.select(F.col("url").alias("full_url"), "html"), "full_url")
-        w = Window.orderBy("f.first_seq")
-        fetched = fetched.withColumn("order", F.row_number().over(w))
+        chosen = select_groups(resolve_duplicates(frontier_items), cfg).filter(F.col("skip_reason").isNull())
+        first = chosen.groupBy("full_url").agg(F.min(F.struct("first_seq", "path", "name")).alias("f"))
+        if start_url is not None:
+            first = first.filter(F.col("full_url") != start_url)
+        if visited is not None:
+            first = first.join(visited, "full_url", "left_anti")
+        first = first.join(pages.select(F.col("url").alias("full_url")).distinct(), "full_url", "left_semi")
         if cfg.get("max_groups") is not None:
-            fetched = fetched.filter(F.col("order") <= int(cfg["max_groups"]))
-        followed = fetched.select((F.lit(hop * 1_000_000) + F.col("order")).cast("long").alias("page_id"),
-                                  "full_url", F.col("f.name").alias("group"), F.col("f.path").alias("base_path"), "html")
-        nodes = page_nodes(followed, cfg, base_path_col="base_path")
-        new = classify_items(page_items(nodes))
-        items = items.unionByName(new)
+            first = first.orderBy("f.first_seq").limit(int(cfg["max_groups"]))
+        followed = materialize(first.select(
+            F.lit(hop).alias("hop"), F.concat("f.first_seq.order", F.array("f.first_seq.pos")).alias("order"), "full_url",
+            F.col("f.name").alias("group"), F.col("f.path").alias("base_path")), "followed")
+        html = pages.groupBy(F.col("url").alias("full_url")).agg(F.min_by("html", "page_id").alias("html"))
+        nodes = page_nodes(followed.join(html, "full_url").withColumn("page_id", F.col("full_url")), cfg, "base_path")
+        ordered = nodes.join(followed.select(F.col("full_url").alias("page_id"), "order"), "page_id")
+        new = classify_items(ordered.filter(F.col("kind") == "item").select(
+            "page_id", "name", "href", "path", "has_link", "has_nested",
+            F.struct(F.lit(hop).alias("hop"), F.col("order"), F.col("pos")).alias("seq")))
+        frontier_items = new
+        items = items.drop("page_id").unionByName(new.drop("page_id"))
         followed_all = followed if followed_all is None else followed_all.unionByName(followed)
-        frontier = resolve_duplicates(new)
-    return items, followed_all.drop("html")
+        visited = followed_all.select("full_url")
+    return items, followed_all
 
 
 # ------------------------------------------------------------------ H14-H16

@@ -67,10 +67,10 @@ tcls AS (SELECT * FROM (VALUES (1, 'tag_and_tag_group'), (2, 'tag_group_only'),
 
 W = "WITH " + ITEMS
 
-REWRITE = ("CASE WHEN contains(CASE WHEN starts_with(url, '/') THEN 'https://danbooru.donmai.us' || url ELSE url END, '/wiki_pages/') "
-           "THEN 'https://danbooru.donmai.us/posts?tags=' || string_split(CASE WHEN starts_with(url, '/') THEN "
-           "'https://danbooru.donmai.us' || url ELSE url END, '/wiki_pages/')[-1] "
-           "ELSE CASE WHEN starts_with(url, '/') THEN 'https://danbooru.donmai.us' || url ELSE url END END")
+REWRITE = ("CASE WHEN contains(CASE WHEN starts_with(url, '/') THEN 'https://wiki.example.org' || url ELSE url END, '/wiki_pages/') "
+           "THEN 'https://wiki.example.org/posts?tags=' || string_split(CASE WHEN starts_with(url, '/') THEN "
+           "'https://wiki.example.org' || url ELSE url END, '/wiki_pages/')[-1] "
+           "ELSE CASE WHEN starts_with(url, '/') THEN 'https://wiki.example.org' || url ELSE url END END")
 
 EXCL = " OR ".join(f"contains(lower(trim({{x}})), '{t}')" for t in HQ.SELECT_CFG["exclude_sections"])
 
@@ -80,6 +80,32 @@ pi AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<
               CAST(unnest(generate_series(0, len(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a>', 0)) - 1)) AS INTEGER) AS pos
        FROM pages)"""
 
+SITE = """WITH sp AS (SELECT DISTINCT p_type, p_brand, p_name FROM part),
+site_types AS (SELECT p_type, row_number() OVER (ORDER BY p_type) AS page_id, first_brand, n FROM (
+  SELECT p_type, min(p_brand) AS first_brand, count(*) OVER () AS n FROM sp GROUP BY p_type)),
+page_rows AS (
+  SELECT page_id, p_type, '' AS brand, '' AS leaf, 'Brands' AS name, p_type || '/Brands' AS path, true AS has_nested, false AS linked FROM site_types
+  UNION ALL SELECT DISTINCT page_id, p_type, p_brand, '', p_brand, p_type || '/Brands/' || p_brand, true, true FROM sp JOIN site_types USING (p_type)
+  UNION ALL SELECT page_id, p_type, p_brand, p_name, p_name, p_type || '/Brands/' || p_brand || '/' || p_name, false, true FROM sp JOIN site_types USING (p_type)
+  UNION ALL SELECT a.page_id, a.p_type, chr(1114109), '', 'List of ' || b.p_type, a.p_type || '/Brands/List of ' || b.p_type, false, true
+    FROM site_types a JOIN site_types b ON b.page_id = a.page_id % a.n + 1),
+site_items AS (
+  SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY brand, leaf) + 1 AS INTEGER) AS pos, name, path, has_nested, linked,
+    len(string_split(path, '/')) AS depth FROM page_rows
+  UNION ALL SELECT 0, 1, 'Types', 'Types', true, false, 1
+  UNION ALL SELECT 0, CAST(2 * page_id AS INTEGER), 'Tag group:' || p_type, 'Types/Tag group:' || p_type, true, true, 2 FROM site_types
+  UNION ALL SELECT 0, CAST(2 * page_id + 1 AS INTEGER), 'first ' || first_brand, 'Types/Tag group:' || p_type || '/first ' || first_brand, false, false, 3
+    FROM site_types)"""
+
+EXPANDED = """moved AS (
+  SELECT 0 AS hop, 0 AS page, pos, name, path, has_nested, linked FROM site_items WHERE page_id = 0
+  UNION ALL SELECT 1, i.page_id, pos, i.name, 'Types/Tag group:' || t.p_type || '/' || path, has_nested, linked
+    FROM site_items i JOIN site_types t ON t.page_id = i.page_id WHERE i.page_id BETWEEN 2 AND 4),
+best AS (
+  SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY name) AS raw_rows, row_number() OVER (PARTITION BY name ORDER BY
+      CASE WHEN has_nested AND linked AND NOT contains(lower(name), 'tag group') THEN 1 WHEN contains(lower(name), 'tag group') THEN 2
+           WHEN has_nested THEN 3 ELSE 4 END, len(string_split(path, '/')), hop, page, pos) AS r FROM moved) WHERE r = 1)"""
+
 ORACLE = {
     "hierarchy_classify": W + " SELECT name, seq, classification, priority, parent, depth, should_follow, url, "
                           + REWRITE + " AS full_url FROM cls2",
@@ -127,4 +153,29 @@ ORACLE = {
     "page_normalised": "WITH " + PAGE_ITEMS + """, res AS (SELECT name, min(page_id * 1000000 + pos) AS fs, min(page_id) AS fp FROM pi GROUP BY name)
         SELECT lower(name) AS name, arg_min(name, fs) AS first_raw_name, count(*) AS members,
                CAST(arg_min(fp, fs) AS BIGINT) AS first_page FROM res GROUP BY lower(name)""",
+    "nested_items": SITE + """ SELECT page_id, pos, name, path, has_nested, depth,
+        CASE WHEN contains(lower(name), 'tag group') THEN 'traditional_tag_group' WHEN has_nested AND linked THEN 'tag_and_tag_group'
+             WHEN has_nested THEN 'tag_group_only' ELSE 'final_tag_only' END AS classification FROM site_items""",
+    "nested_items_with_noise": SITE + """ SELECT page_id, CASE WHEN page_id > 0 THEN pos + 1 ELSE pos END AS pos, name, path FROM site_items
+        UNION ALL SELECT page_id, 0, 'Home', 'Home' FROM site_types""",
+    "page_headings": SITE + """ SELECT page_id, 'heading' AS kind, 0 AS pos, p_type AS name, 2 AS level FROM site_types
+        UNION ALL SELECT page_id, 'heading', 1, 'Brands', 4 FROM site_types
+        UNION ALL SELECT 0, 'heading', 0, 'Types', 2
+        UNION ALL SELECT 0, k, CAST((SELECT 2 * count(*) + 2 FROM site_types) AS INTEGER) + CASE k WHEN 'heading' THEN 0 ELSE 1 END, 'See also', 3
+        FROM (VALUES ('heading'), ('excluded')) AS v(k)""",
+    "followed_pages": SITE + """ SELECT 1 AS hop, 'https://wiki.example.org/posts?tags=' || p_type AS full_url, 'Tag group:' || p_type AS "group",
+        'Types/Tag group:' || p_type AS base_path FROM site_types WHERE page_id BETWEEN 2 AND 4""",
+    "followed_pages_two_hops": SITE + """ SELECT 1 AS hop, 'https://wiki.example.org/posts?tags=' || p_type AS full_url,
+        'Tag group:' || p_type AS "group" FROM site_types""",
+    "expanded_items": SITE + """, """ + EXPANDED + """ SELECT name, path,
+        CASE WHEN contains(lower(name), 'tag group') THEN 'traditional_tag_group' WHEN has_nested AND linked THEN 'tag_and_tag_group'
+             WHEN has_nested THEN 'tag_group_only' ELSE 'final_tag_only' END AS classification, hop, raw_rows FROM best""",
+    "run_statistics": SITE + """, """ + EXPANDED + """ SELECT count(*) AS total_items,
+        CAST(sum(CASE WHEN linked AND (contains(lower(name), 'tag group') OR contains(lower(name), 'list of')) THEN 1 ELSE 0 END) AS BIGINT) AS total_followable_items,
+        CAST(1 AS BIGINT) AS excluded_sections, CAST(0 AS BIGINT) AS ignored_elements, CAST(sum(raw_rows) AS BIGINT) AS raw_rows FROM best""",
+    "text_logs": SITE + """ SELECT 'heading' AS source, name AS original, lower(name) AS normalized, count(*) AS rows FROM (
+        SELECT p_type AS name FROM site_types UNION ALL SELECT 'Brands' FROM site_types UNION ALL SELECT 'Types' UNION ALL SELECT 'See also')
+        WHERE lower(name) <> name GROUP BY name""",
+    "glob_match": W + """ SELECT name, count(*) AS rows FROM (SELECT name FROM items UNION ALL SELECT 'my ' || name FROM items)
+        WHERE regexp_full_match(lower(name), 'tag group:.*s') OR regexp_full_match(lower(name), 'brand#.[13]') GROUP BY name""",
 }

@@ -12,7 +12,8 @@ from ..sources import adapters
 
 PATH_TERM = "economy"
 SELECT_CFG = H.default_config(skip_first_n=1, group_name_patterns=["tag group:*"])
-PAGES_CFG = H.default_config(noise={})   # the test pages keep their nav list (SURVEY 7.7)
+PAGES_CFG = H.default_config(noise=())   # the given pages hold their only list in a nav
+SITE_CFG = H.default_config(skip_first_n=1, max_groups=3)
 
 
 def classified(spark, d):
@@ -142,4 +143,75 @@ def q_page_normalised(spark, d):
     return n.select("name", "first_raw_name", "members", F.col("first_seq.page").alias("first_page"))
 
 
+# ------------------------------------------------------------------ pages with nested lists, links between pages
+def site(spark, d):
+    return materialize(adapters.linked_pages(spark, d), "site")
+
+
+def q_nested_items(spark, d):
+    """H2-H6: items of the nested pages, noise removed."""
+    items = H.classify_items(H.page_items(H.page_nodes(site(spark, d))))
+    return items.select("page_id", F.col("seq.pos").alias("pos"), "name", pj().alias("path"), "has_nested", "depth", "classification")
+
+
+def q_nested_items_with_noise(spark, d):
+    """H1: the same with the nav lists kept."""
+    items = H.page_items(H.page_nodes(site(spark, d), H.default_config(noise=())))
+    return items.select("page_id", F.col("seq.pos").alias("pos"), "name", pj().alias("path"))
+
+
+def q_page_headings(spark, d):
+    """H3: headings, and those that an excluded section drops."""
+    nodes = H.page_nodes(site(spark, d))
+    return nodes.filter(F.col("kind").isin("heading", "excluded")).select("page_id", "kind", "pos", "name", "level")
+
+
+def expansion(spark, d, cfg=SITE_CFG, hops=1):
+    pages = site(spark, d)
+    start = H.page_nodes(pages.filter(F.col("url") == "index"), cfg)
+    return start, *H.expand_links(start, pages, cfg, hops, "index")
+
+
+def q_followed_pages(spark, d):
+    """The pages of one hop: the first is skipped, then three."""
+    _, _, followed = expansion(spark, d)
+    return followed.select("hop", "full_url", "group", pj("base_path").alias("base_path"))
+
+
+def q_followed_pages_two_hops(spark, d):
+    """In two hops every page once."""
+    _, _, followed = expansion(spark, d, H.default_config(), 2)
+    return followed.select("hop", "full_url", "group")
+
+
+def q_expanded_items(spark, d):
+    """The items of the start page and the pages followed, one for each name."""
+    _, items, _ = expansion(spark, d)
+    return H.resolve_duplicates(items).select("name", pj().alias("path"), "classification", F.col("seq.hop").alias("hop"), "raw_rows")
+
+
+def q_run_statistics(spark, d):
+    """A16 over the start page and the pages followed."""
+    start, items, _ = expansion(spark, d)
+    raw = materialize(H.resolve_duplicates(items), "resolved")
+    norm = H.normalise(raw)
+    log = H.normalisation_log(norm)
+    return H.run_statistics(items, raw, start, log, H.removed_duplicates(raw, norm)).select(
+        "total_items", "total_followable_items", "excluded_sections", "ignored_elements", "raw_rows")
+
+
+def q_text_logs(spark, d):
+    """Headings and elements of the site whose text lower-casing changes."""
+    nodes = H.page_nodes(site(spark, d))
+    return H.text_log(nodes.filter(F.col("kind") == "heading"), "heading").groupBy("source", "original", "normalized").agg(
+        F.count(F.lit(1)).alias("rows"))
+
+
+def q_glob_match(spark, d):
+    """patterns match whole names (an inner "tag group:" is no match)."""
+    x = classified(spark, d).select("name").unionByName(
+        classified(spark, d).select(F.concat(F.lit("my "), "name").alias("name")))
+    return x.filter(HX.glob_match_any("name", ["tag group:*s", "brand#?[13]"])).groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
+
+
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)}

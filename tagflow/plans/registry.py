@@ -19,7 +19,7 @@ INT_COLUMNS = {
     "hierarchy_flat": ["depth"], "hierarchy_normalised": ["depth"], "items_under_path_list": ["depth"],
     "parse_tags": ["n_tags"], "select_groups": ["idx"], "stop_tag_filter": ["n_tags"],
     "top_cluster_examples": ["rank"], "top_n_sizes": ["rank"], "top_tags_per_type": ["rank"],
-    "children_by_depth": ["depth"],
+    "children_by_depth": ["depth"], "nested_items": ["depth"],
 }
 
 

@@ -153,3 +153,39 @@ def hierarchy_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+
+
+def linked_pages(spark: SparkSession, sf_dir: str, host: str = "https://wiki.example.org") -> DataFrame:
+    """A small site derived from part: an index page that links to one page for each type.
+
+    index (page_id 0, url "index"): h2 Types and a list of links "Tag group:<type>", each followed by
+    a list that names the type's first brand; h3 See also and a list (an excluded section).
+    type pages (page_id 1.., url <host>/posts?tags=<type>): a nav list (noise), h2 <type>, h4 Brands and
+    a list of linked brands, each with the list of its part names inside; the last item of the page is a
+    link to the next type's page, "List of <next type>".
+    """
+    part = read_table(spark, sf_dir, "part", ["p_type", "p_brand", "p_name"]).distinct()
+
+    def link(href: Column, text: Column) -> Column:
+        return F.concat(F.lit('<li><a href="'), href, F.lit('">'), text, F.lit("</a>"))
+
+    names = part.groupBy("p_type", "p_brand").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_set("p_name")), lambda x: F.concat(link(F.concat(F.lit("/parts/"), x), x), F.lit("</li>"))), "").alias("names"))
+    brands = names.groupBy("p_type").agg(
+        F.array_sort(F.collect_list(F.struct("p_brand", "names"))).alias("brands"), F.min("p_brand").alias("first_brand"))
+    types = brands.agg(F.array_sort(F.collect_list("p_type")).alias("types"))  # a row for each type of the catalogue
+    body = F.array_join(F.transform("brands", lambda b: F.concat(
+        link(F.concat(F.lit("/brands/"), b["p_brand"]), b["p_brand"]), F.lit("<ul>"), b["names"], F.lit("</ul></li>"))), "")
+    at = F.array_position("types", F.col("p_type"))
+    following = F.get(F.col("types"), F.when(at == F.size("types"), F.lit(0)).otherwise(at).cast("int"))
+    pages_of = brands.withColumn("types", types.scalar()).select(
+        at.cast("long").alias("page_id"), F.concat(F.lit(host + "/posts?tags="), "p_type").alias("url"),
+        F.concat(F.lit('<nav><ul><li><a href="/home">Home</a></li></ul></nav><h2>'), "p_type", F.lit("</h2><h4>Brands</h4><ul>"), body,
+                 link(F.concat(F.lit("/wiki_pages/"), following), F.concat(F.lit("List of "), following)), F.lit("</li></ul>")).alias("html"))
+    entries = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_type", "first_brand"))), lambda t: F.concat(
+        link(F.concat(F.lit("/wiki_pages/"), t["p_type"]), F.concat(F.lit("Tag group:"), t["p_type"])), F.lit("</li><ul><li>first "),
+        t["first_brand"], F.lit("</li></ul>"))), "")
+    index = brands.agg(F.concat(F.lit("<h2>Types</h2><ul>"), entries, F.lit(
+        '</ul><h3>See also</h3><ul><li><a href="/wiki_pages/nowhere">List of nothing</a></li></ul>')).alias("html")).select(
+        F.lit(0).cast("long").alias("page_id"), F.lit("index").alias("url"), "html")
+    return index.unionByName(pages_of)
