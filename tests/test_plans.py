@@ -40,13 +40,13 @@ def test_samples_per_label(spark):
 
 
 def test_hierarchy_run_roundtrip(spark):
-    start = '<h4>Body</h4><ul><li><a href="/wiki_pages/tag_group:ears">Tag group:Ears</a></li><li>Hands</li><ul><li>finger</li></ul></ul>'
-    ears = '<ul><li><a href="/e1">Pointy ears</a></li><li><a href="/e2">pointy ears</a></li></ul>'
-    pages = spark.createDataFrame([(0, "start", start), (1, "https://danbooru.donmai.us/posts?tags=tag_group:ears", ears)],
+    start = '<h4>Garden</h4><ul><li><a href="/wiki_pages/roses">Tag group:Roses</a></li><li>Beds</li><ul><li>herbs</li></ul></ul>'
+    roses = '<ul><li><a href="/r1">Tea Rose</a></li><li><a href="/r2">tea rose</a></li></ul>'
+    pages = spark.createDataFrame([(0, "start", start), (1, "https://wiki.example.org/posts?tags=roses", roses)],
                                   "page_id long, url string, html string")
     res = hierarchy_run.run_hierarchy(pages, "start", H.default_config())
     names = {r["name"] for r in res["items"].collect()}
-    assert {"body", "tag group:ears", "hands", "finger", "pointy ears"} <= names
+    assert {"garden", "tag group:roses", "beds", "herbs", "tea rose"} <= names
     assert res["removed_duplicates"].count() == 1
     stats = res["statistics"].collect()[0]
     assert stats["total_followable_items"] == 1 and stats["removed_duplicates"] == 1
