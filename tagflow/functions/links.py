@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 # lower-case "also" only), the tail length and the tail words.
 LINK_RE = r"\[\[([^\]]+)\]\]"
 SEE_ALSO_RE = r"[Ss]ee\s+also"
-TAIL_CHARS = 2000
+TAIL_CHARS = 2000  # of the parity form; None reads whole bodies
 TAIL_WORDS = ("see", "also")
 
 # parity: everything from the start of the body through the line (or up to an "hN.") holding
@@ -44,9 +44,14 @@ def see_also_section(body, mode: str = "section") -> Column:
     return F.regexp_extract(_c(body), pattern, 1)
 
 
-def tail_mentions_see_also(body) -> Column:
-    """The last 2,000 characters contain "see" or "also" in any case."""
-    tail = F.lower(F.right(_c(body), F.lit(TAIL_CHARS)))
+def tail_of(body, chars: int | None) -> Column:
+    """The last so many characters, or the whole body."""
+    return _c(body) if chars is None else F.right(_c(body), F.lit(int(chars)))
+
+
+def tail_mentions_see_also(body, chars: int | None = None) -> Column:
+    """The tail contains "see" or "also" in any case."""
+    tail = F.lower(tail_of(body, chars))
     out = F.lit(False)
     for w in TAIL_WORDS:
         out = out | tail.contains(w)

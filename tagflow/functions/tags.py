@@ -21,25 +21,25 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def stripped(col) -> Column:
+    """Text without the white space around it (tabs and line breaks as well as blanks)."""
+    return F.regexp_replace(_c(col), r"(?U)^\s+|\s+$", "")
+
+
 def parse_tag_list(col) -> Column:
     """Null -> "", trim; split on "," when a comma is present, else on " "; trim each; drop "".
 
     Bag semantics: duplicates inside a list are kept (no array_distinct).
     """
-    s = F.trim(F.coalesce(_c(col), F.lit("")))
+    s = stripped(F.coalesce(_c(col), F.lit("")))
     parts = F.when(s.contains(","), F.split(s, ",")).otherwise(F.split(s, " "))
-    return F.filter(F.transform(parts, lambda t: F.trim(t)), lambda t: t != "")
+    return F.filter(F.transform(parts, lambda t: stripped(t)), lambda t: t != "")
 
 
 def split_comma_tags(col) -> Column:
     """A2: comma-only split of one tag column; null -> empty list; trim; drop empty."""
     s = F.coalesce(_c(col), F.lit(""))
-    return F.filter(F.transform(F.split(s, ","), lambda t: F.trim(t)), lambda t: t != "")
-
-
-def fold_underscores(terms: Iterable[str]) -> list[str]:
-    """Optional: make underscore-style term lists match space-separated tags."""
-    return [t.replace("_", " ") for t in terms]
+    return F.filter(F.transform(F.split(s, ","), lambda t: stripped(t)), lambda t: t != "")
 
 
 def has_any_tag(tags, terms: Iterable[str]) -> Column:

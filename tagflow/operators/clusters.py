@@ -12,17 +12,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import opportunity
-from .common import bounded_broadcast, row_count
+from .common import row_count
 
 
-def post_cluster(filtered: DataFrame, cluster_map: DataFrame, map_bound: int | None = None,
+def post_cluster(filtered: DataFrame, cluster_map: DataFrame,
                  meta_cols: tuple[str, ...] = ("id", "score", "created_at")) -> DataFrame:
     """C1 (A7 + W2): each post's modal cluster over its tags (duplicates count); ties -> smaller
     cluster_id. Posts without a clustered tag are dropped. Post metadata rides along as grouping
     keys (functionally dependent on post_id), so no join back to the posts is needed."""
     keys = ["post_id", *meta_cols]
     long = filtered.select(*keys, F.explode("tags").alias("tag"))
-    j = long.join(bounded_broadcast(cluster_map.select("tag", "cluster_id"), map_bound), "tag")
+    j = long.join(cluster_map.select("tag", "cluster_id"), "tag")
     hits = j.groupBy(*keys, "cluster_id").agg(F.count(F.lit(1)).alias("tag_hits"))
     best = hits.groupBy(*keys).agg(F.max(F.struct("tag_hits", (-F.col("cluster_id")).alias("neg_cid"))).alias("b"))
     return best.select(*keys, (-F.col("b.neg_cid")).alias("cluster_id"), F.col("b.tag_hits").alias("tag_hits"))
@@ -41,8 +41,7 @@ def _at_rank(rank_expr):
     return F.max(F.when((F.col("cum") - F.col("c") < rank_expr) & (rank_expr <= F.col("cum")), F.col("score")))
 
 
-def cluster_metrics(pc: DataFrame, cluster_map: DataFrame, vocab: DataFrame, rep_k: int = 20,
-                    map_bound: int | None = None) -> DataFrame:
+def cluster_metrics(pc: DataFrame, cluster_map: DataFrame, vocab: DataFrame, rep_k: int = 20) -> DataFrame:
     """C2 (A8-A10, X9, W3, J7, J8): per cluster with posts:
     num_posts, num_unique_tags, demand_median (mean of the two middle scores), demand_top10_avg
     (mean of scores >= q90, q90 = 'nearest' rank round((n-1)*0.9)), demand_max, demand_min,
@@ -68,7 +67,7 @@ def cluster_metrics(pc: DataFrame, cluster_map: DataFrame, vocab: DataFrame, rep
                  F.col("num_posts").cast("bigint").alias("competition"), F.lit(0.0).alias("trend_score"),
                  opportunity("demand_median", "num_posts").alias("opportunity"), "q90")
     rep = representative_tags(cluster_map, vocab, rep_k)
-    return m.join(bounded_broadcast(rep, map_bound), "cluster_id", "left")
+    return m.join(rep, "cluster_id", "left")
 
 
 def representative_tags(cluster_map: DataFrame, vocab: DataFrame, k: int = 20) -> DataFrame:
@@ -84,7 +83,7 @@ def representative_tags(cluster_map: DataFrame, vocab: DataFrame, k: int = 20) -
 
 
 def distinctive_tags(filtered: DataFrame, pc: DataFrame, k: int = 15, min_cluster_tag_posts: int = 10,
-                     min_global_posts: int = 50, cluster_bound: int | None = None) -> DataFrame:
+                     min_global_posts: int = 50) -> DataFrame:
     """C3 (A11, J9, J10, X10, F8, W4): per cluster the k tags of highest log-lift.
 
     lift = (cluster_tag_posts / cluster_posts) / (global_posts / N) with N = all filtered posts,
@@ -96,7 +95,7 @@ def distinctive_tags(filtered: DataFrame, pc: DataFrame, k: int = 15, min_cluste
     cluster_posts = pc.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_posts"))
     cluster_tag = tl.groupBy("cluster_id", "tag").agg(F.count(F.lit(1)).alias("cluster_tag_posts"))
     lf = (cluster_tag.join(global_tag, "tag", "left")
-                     .join(bounded_broadcast(cluster_posts, cluster_bound), "cluster_id", "left")
+                     .join(cluster_posts, "cluster_id", "left")
                      .withColumn("p_tag_given_cluster", F.col("cluster_tag_posts") / F.col("cluster_posts"))
                      .withColumn("p_tag", F.col("global_posts") / total.cast("double"))
                      .withColumn("lift", F.col("p_tag_given_cluster") / F.col("p_tag"))
@@ -123,12 +122,10 @@ def cluster_example_lists(examples: DataFrame) -> DataFrame:
                     F.transform("x", lambda e: e["created_at"]).alias("top_post_created"))
 
 
-def example_bundles(examples: DataFrame, filtered: DataFrame, n_tags: int = 20,
-                    example_bound: int | None = None) -> DataFrame:
-    """C5 (K10, J11): the first n_tags tags of every example post; the example side is broadcast
-    (k rows per cluster), the posts are streamed once."""
+def example_bundles(examples: DataFrame, filtered: DataFrame, n_tags: int = 20) -> DataFrame:
+    """C5 (K10, J11): the first n_tags tags of every example post (k rows per cluster)."""
     tags20 = filtered.select(F.col("id").alias("ex_id"), F.slice("tags", 1, n_tags).alias("tags20"))
-    ex = bounded_broadcast(examples.select("cluster_id", "rank", F.col("id").alias("ex_id")), example_bound)
+    ex = examples.select("cluster_id", "rank", F.col("id").alias("ex_id"))
     return tags20.join(ex, "ex_id", "right").select("cluster_id", "rank", F.col("ex_id").alias("id"), "tags20")
 
 

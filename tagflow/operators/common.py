@@ -7,18 +7,6 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-# Largest row bound for which an explicit broadcast hint is given. Above it (or when no bound
-# is known) the join is left to AQE, whose broadcast decision is made on measured size.
-MAX_BROADCAST_ROWS = 2_000_000
-
-
-def bounded_broadcast(df: DataFrame, row_bound: int | None) -> DataFrame:
-    """Hint a broadcast only for a side whose row count is bounded by a known parameter."""
-    if row_bound is not None and row_bound <= MAX_BROADCAST_ROWS:
-        return F.broadcast(df)
-    return df
-
-
 def row_count(df: DataFrame) -> Column:
     """Number of rows as a lazy scalar subquery (no cross join, no driver round trip)."""
     return df.select(F.count(F.lit(1))).scalar()

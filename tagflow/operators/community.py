@@ -14,10 +14,12 @@ number per round; lineage is cut with reliable checkpoints into spark.checkpoint
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize as cut_lineage
+from ..session import materialize as cut_lineage  # state of a loop, as a table
 
 EPS = 1e-9
 _LOG = None  # optional callable(str) for progress of the iterative loops
@@ -65,8 +67,11 @@ def _active_half(node_col: str, rnd: int):
     return (F.pmod(F.xxhash64(F.col(node_col), F.lit(rnd)), F.lit(2)) == 0)
 
 
-def local_moving(edges: DataFrame, gamma: float = 1.0, max_rounds: int = 30, patience: int = 3) -> tuple[DataFrame, float]:
-    """One Louvain level: returns (node, comm) of the best partition seen and its Q."""
+def local_moving(edges: DataFrame, gamma: float = 1.0, patience: int = 3) -> tuple[DataFrame, float]:
+    """One Louvain level: returns (node, comm) of the best partition seen and its Q.
+
+    Ends when no node gains by moving, or when so many rounds in a row (patience) haven't raised Q;
+    Q is bounded and rises by EPS at least in between, so that comes."""
     nodes = cut_lineage(strengths(edges))
     sym = cut_lineage(symmetric(edges))
     m = edges.select(F.sum("weight")).collect()[0][0] or 0.0
@@ -75,7 +80,7 @@ def local_moving(edges: DataFrame, gamma: float = 1.0, max_rounds: int = 30, pat
     stale = 0
     if m <= 0:
         return best_memb, best_q
-    for rnd in range(max_rounds):
+    for rnd in count():
         cur = memb.join(nodes, "node")
         K = cur.groupBy("comm").agg(F.sum("k").alias("K"))
         wic = (sym.join(memb.select(F.col("node").alias("b"), F.col("comm").alias("cb")), "b")
@@ -87,7 +92,7 @@ def local_moving(edges: DataFrame, gamma: float = 1.0, max_rounds: int = 30, pat
                   .join(K.select("comm", F.col("K").alias("K_A")), "comm"))
         gain = (F.col("wic") - F.coalesce("own_w", F.lit(0.0))
                 - F.lit(float(gamma)) * F.col("k") * (F.col("K_C") - (F.col("K_A") - F.col("k"))) / F.lit(2.0 * m))
-        best = mv.groupBy("a").agg(F.min(F.struct((-gain).alias("ng"), F.col("cb"))).alias("b"))
+        best = mv.groupBy("a").agg(F.min(F.struct(F.round(-gain, 9).alias("ng"), F.col("cb"))).alias("b"))
         wanted = cut_lineage(best.filter(-F.col("b.ng") > EPS).select(F.col("a").alias("node"), F.col("b.cb").alias("newc"),
                                                                        _active_half("a", rnd).alias("active")))
         n_wanted = wanted.count()
@@ -114,32 +119,35 @@ def contract(edges: DataFrame, memb: DataFrame) -> DataFrame:
     return ea.groupBy(F.least("ca", "cb").alias("src"), F.greatest("ca", "cb").alias("dst")).agg(F.sum("weight").alias("weight"))
 
 
-def split_disconnected(edges: DataFrame, memb: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Min-label connected components inside each community; community id = component's min node."""
-    label = cut_lineage(memb.select("node", "comm", F.col("node").alias("lab")))
-    intra = (symmetric(edges).join(memb.select(F.col("node").alias("a"), F.col("comm").alias("ca")), "a")
-                             .join(memb.select(F.col("node").alias("b"), F.col("comm").alias("cb")), "b")
-                             .filter(F.col("ca") == F.col("cb")).select("a", "b"))
-    intra = cut_lineage(intra)
-    for _ in range(max_rounds):
+def split_disconnected(edges: DataFrame, memb: DataFrame) -> DataFrame:
+    """Connected components inside each community; community id = component's min node.
+
+    Each round a node takes the smallest label of itself and its neighbours, and then the label
+    that this label's node has (pointer jumping), so rounds grow with the logarithm of a component's
+    length. Rounds go on until one changes nothing.
+    """
+    label = cut_lineage(memb.select("node", F.col("node").alias("lab")))
+    intra = cut_lineage(symmetric(edges).join(memb.select(F.col("node").alias("a"), F.col("comm").alias("ca")), "a")
+                        .join(memb.select(F.col("node").alias("b"), F.col("comm").alias("cb")), "b")
+                        .filter(F.col("ca") == F.col("cb")).select("a", "b"))
+    while True:
         nb = intra.join(label.select(F.col("node").alias("b"), F.col("lab").alias("lb")), "b").groupBy("a").agg(F.min("lb").alias("mn"))
-        new = label.join(nb.withColumnRenamed("a", "node"), "node", "left").select(
-            "node", "comm", F.least("lab", F.coalesce("mn", "lab")).alias("lab"))
-        new = cut_lineage(new)
-        changed = new.join(label.select("node", F.col("lab").alias("old")), "node").filter(F.col("lab") != F.col("old")).count()
-        label = new
-        if changed == 0:
-            break
-    return label.select("node", F.col("lab").alias("comm"))
+        near = cut_lineage(label.join(nb.withColumnRenamed("a", "node"), "node", "left").select(
+            "node", F.col("lab").alias("old"), F.least("lab", F.coalesce("mn", "lab")).alias("lab")))
+        target = near.select(F.col("node").alias("lab"), F.col("lab").alias("further"))
+        new = cut_lineage(near.join(target, "lab", "left").select("node", "old", F.least("lab", F.coalesce("further", "lab")).alias("lab")))
+        label = new.select("node", "lab")
+        if new.filter(F.col("lab") != F.col("old")).isEmpty():
+            return label.select("node", F.col("lab").alias("comm"))
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, max_levels: int = 10, max_rounds: int = 30) -> DataFrame:
+def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(tag, community) where community = a member tag (before numbering by G7)."""
     edges = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
     mapping = cut_lineage(strengths(edges).select(F.col("node").alias("tag"), F.col("node").alias("comm")))
     level_edges, prev_q = edges, None
-    for _ in range(max_levels):
-        memb, q = local_moving(level_edges, resolution, max_rounds)
+    while True:  # each level has fewer nodes, or is the last
+        memb, q = local_moving(level_edges, resolution)
         if prev_q is not None and q <= prev_q + EPS:
             break
         moved = memb.filter(F.col("node") != F.col("comm")).count()
@@ -153,16 +161,19 @@ def louvain(edges: DataFrame, resolution: float = 1.0, max_levels: int = 10, max
     return final.select(F.col("node").alias("tag"), "comm")
 
 
-def label_propagation(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
+def label_propagation(edges: DataFrame, limit: int = 500) -> DataFrame:
     """Deterministic weighted label propagation (Raghavan et al. 2007): each round the active half
-    of the nodes takes the neighbour label of largest total weight (ties: smallest label)."""
+    of the nodes takes the neighbour label of largest total weight (ties: smallest label), until every
+    node carries its best label. A graph that hasn't settled after limit rounds raises an error."""
     edges = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
     sym = cut_lineage(symmetric(edges))
     lab = cut_lineage(strengths(edges).select(F.col("node"), F.col("node").alias("comm")))
-    for rnd in range(max_rounds):
+    for rnd in count():
+        if rnd >= limit:
+            raise RuntimeError(f"labels haven't settled in {limit} rounds")
         votes = (sym.join(lab.select(F.col("node").alias("b"), F.col("comm").alias("lb")), "b")
                     .groupBy("a", "lb").agg(F.sum("weight").alias("w")))
-        best = votes.groupBy("a").agg(F.min(F.struct((-F.col("w")).alias("nw"), F.col("lb"))).alias("x"))
+        best = votes.groupBy("a").agg(F.min(F.struct(F.round(-F.col("w"), 9).alias("nw"), F.col("lb"))).alias("x"))
         wanted = cut_lineage(best.join(lab.select(F.col("node").alias("a"), "comm"), "a")
                                  .filter(F.col("x.lb") != F.col("comm"))
                                  .select(F.col("a").alias("node"), F.col("x.lb").alias("newc"), _active_half("a", rnd).alias("active")))

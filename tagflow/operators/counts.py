@@ -35,11 +35,11 @@ def tag_counts_by_type(posts: DataFrame, types: Iterable[str] = TAG_TYPES) -> Da
 
 
 def tag_counts_with_all(posts: DataFrame, types: Iterable[str] = TAG_TYPES) -> DataFrame:
-    """A2 + A4 in one aggregation: typed rows plus tag_type = 'all' totals (ROLLUP(tag, tag_type))."""
-    agg = (long_tags(posts, types).rollup("tag", "tag_type")
-           .agg(F.count(F.lit(1)).alias("count"), F.grouping("tag").alias("g_tag"),
-                F.grouping("tag_type").alias("g_type")))
-    return agg.filter(F.col("g_tag") == 0).select(
+    """A2 + A4: typed rows plus tag_type = 'all' totals, which sum the few typed counts of each tag
+    (a rollup over counts, not over the exploded tags)."""
+    typed = tag_counts_by_type(posts, types).rollup("tag", "tag_type").agg(
+        F.sum("count").alias("count"), F.grouping("tag").alias("g_tag"), F.grouping("tag_type").alias("g_type"))
+    return typed.filter(F.col("g_tag") == 0).select(
         "tag", F.when(F.col("g_type") == 1, F.lit("all")).otherwise(F.col("tag_type")).alias("tag_type"), "count")
 
 

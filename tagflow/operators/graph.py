@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import edge_weight
-from .common import bounded_broadcast, non_empty, row_count
+from .common import non_empty, row_count
 from .counts import tag_frequency
 
 
@@ -27,39 +27,33 @@ def vocabulary(freq: DataFrame, min_freq: int, top_k: int | None) -> DataFrame:
     return v
 
 
-def capped_tag_lists(posts_with_tags: DataFrame, vocab: DataFrame, max_tags_per_post: int,
-                     vocab_bound: int | None) -> DataFrame:
-    """J1 + W1: per post, its vocabulary tags capped to the k most frequent (freq desc, tag asc),
-    returned sorted by tag as `ctags` = array<struct<tag, freq>>. Duplicates inside a post are kept
-    (bag semantics). Carrying freq here spares the two frequency lookups after the pair count."""
+def capped_tag_lists(posts_with_tags: DataFrame, vocab: DataFrame, max_tags_per_post: int | None = None) -> DataFrame:
+    """J1 + W1: per post, its vocabulary tags -- all, or the k most frequent (freq desc, tag asc) --
+    sorted by tag as `ctags` = array<struct<tag, freq>>. Duplicates inside a post are kept (bag
+    semantics). Carrying freq here spares the two frequency lookups after the pair count."""
     long = posts_with_tags.select("post_id", F.explode("tags").alias("tag"))
-    j = long.join(bounded_broadcast(vocab.select("tag", "freq"), vocab_bound), "tag")
-    per_post = j.groupBy("post_id").agg(
+    per_post = long.join(vocab.select("tag", "freq"), "tag").groupBy("post_id").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("freq")).alias("nf"), F.col("tag")))).alias("ranked"))
-    capped = F.transform(F.slice("ranked", 1, int(max_tags_per_post)),
-                         lambda x: F.struct(x["tag"].alias("tag"), (-x["nf"]).alias("freq")))
+    kept = F.col("ranked") if max_tags_per_post is None else F.slice("ranked", 1, int(max_tags_per_post))
+    capped = F.transform(kept, lambda x: F.struct(x["tag"].alias("tag"), (-x["nf"]).alias("freq")))
     return per_post.select("post_id", F.sort_array(capped).alias("ctags"))
 
 
-def row_pairs(arr: str = "ctags") -> Column:
-    """All position pairs i < j of a tag-sorted array with tag_left < tag_right (equal tags never
-    pair). The multiset equals the same-post self-join filtered on tag_left < tag_right (J2)."""
-    return F.expr(f"""
-      filter(flatten(transform(
-          filter(sequence(0, greatest(size({arr}) - 1, 0)), i -> i < size({arr}) - 1),
-          i -> transform(sequence(i + 1, size({arr}) - 1),
-                         j -> named_struct('tag_left', {arr}[i].tag, 'tag_right', {arr}[j].tag,
-                                           'freq_left', {arr}[i].freq, 'freq_right', {arr}[j].freq)))),
-        p -> p.tag_left < p.tag_right)""")
+def row_pairs(capped: DataFrame) -> DataFrame:
+    """All pairs of a post's tags with tag_left < tag_right (equal tags never pair), with their
+    frequencies. Two explodes: a row holds the tags after one tag, never a post's whole square. The
+    multiset equals the same-post self-join filtered on tag_left < tag_right (J2)."""
+    left = capped.select("ctags", F.posexplode("ctags").alias("at", "l"))
+    both = left.select("l", F.explode(F.slice("ctags", F.col("at") + 2, F.size("ctags"))).alias("r"))
+    return both.where(F.col("l.tag") < F.col("r.tag")).select(
+        F.col("l.tag").alias("tag_left"), F.col("r.tag").alias("tag_right"), F.col("l.freq").alias("freq_left"),
+        F.col("r.freq").alias("freq_right"))
 
 
 def pair_counts(capped: DataFrame) -> DataFrame:
     """Co-occurrence count per (tag_left, tag_right); the frequencies ride along as grouping
     keys (functionally dependent on the tags)."""
-    return (capped.select(F.explode(row_pairs("ctags")).alias("p"))
-                  .groupBy(F.col("p.tag_left").alias("tag_left"), F.col("p.tag_right").alias("tag_right"),
-                           F.col("p.freq_left").alias("freq_left"), F.col("p.freq_right").alias("freq_right"))
-                  .agg(F.count(F.lit(1)).alias("cooccur")))
+    return row_pairs(capped).groupBy("tag_left", "tag_right", "freq_left", "freq_right").agg(F.count(F.lit(1)).alias("cooccur"))
 
 
 def pair_counts_self_join(capped: DataFrame) -> DataFrame:
@@ -71,8 +65,8 @@ def pair_counts_self_join(capped: DataFrame) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("cooccur")))
 
 
-def cooccurrence_edges(filtered: DataFrame, min_freq: int = 100, max_tags_per_post: int = 30,
-                       top_k_tags: int | None = 30000, min_cooccur: int = 10,
+def cooccurrence_edges(filtered: DataFrame, min_freq: int = 100, max_tags_per_post: int | None = None,
+                       top_k_tags: int | None = None, min_cooccur: int = 10,
                        weight_method: str = "pmi") -> tuple[DataFrame, DataFrame]:
     """G1: weighted co-occurrence edges and the pruned vocabulary (tag, freq).
 
@@ -80,7 +74,7 @@ def cooccurrence_edges(filtered: DataFrame, min_freq: int = 100, max_tags_per_po
     the per-post cap (trap 8). pmi keeps weight > 0.
     """
     vocab = vocabulary(tag_frequency(filtered), min_freq, top_k_tags)
-    pairs = pair_counts(capped_tag_lists(filtered, vocab, max_tags_per_post, top_k_tags))
+    pairs = pair_counts(capped_tag_lists(filtered, vocab, max_tags_per_post))
     edges = pairs.filter(F.col("cooccur") >= min_cooccur)
     n = row_count(filtered)
     edges = edges.withColumn("weight", edge_weight(weight_method, "cooccur", n, "freq_left", "freq_right"))
@@ -96,9 +90,9 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def prune_links_to_vocabulary(links: DataFrame, vocab: DataFrame, vocab_bound: int | None) -> DataFrame:
+def prune_links_to_vocabulary(links: DataFrame, vocab: DataFrame) -> DataFrame:
     """Keep a link only when both ends are vocabulary tags; no pruning for an empty vocabulary."""
-    v = bounded_broadcast(vocab.select("tag"), vocab_bound)
+    v = vocab.select("tag")
     va = v.select(F.col("tag"), F.lit(True).alias("_in_a"))
     vb = v.select(F.col("tag").alias("link"), F.lit(True).alias("_in_b"))
     j = links.filter(F.col("link").isNotNull()).join(va, "tag", "left").join(vb, "link", "left")
@@ -106,12 +100,11 @@ def prune_links_to_vocabulary(links: DataFrame, vocab: DataFrame, vocab_bound: i
     return j.filter(keep).select("tag", "link")
 
 
-def merge_wiki_edges(edges: DataFrame, links: DataFrame, vocab: DataFrame, wiki_weight: float = 0.2,
-                     vocab_bound: int | None = None) -> DataFrame:
+def merge_wiki_edges(edges: DataFrame, links: DataFrame, vocab: DataFrame, wiki_weight: float = 0.2) -> DataFrame:
     """Every directed wiki link adds wiki_weight to the undirected edge of its ends
     (a mutual pair adds twice, a self link makes a loop); co-occurrence weights carry over.
     Output canonical src <= dst."""
-    pruned = prune_links_to_vocabulary(links, vocab, vocab_bound)
+    pruned = prune_links_to_vocabulary(links, vocab)
     wiki = pruned.select(F.least("tag", "link").alias("src"), F.greatest("tag", "link").alias("dst"),
                          F.lit(float(wiki_weight)).alias("weight"), F.lit(0).alias("is_cooc"))
     co = edges.select(F.col("tag_left").alias("src"), F.col("tag_right").alias("dst"),

@@ -4,23 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timefmt import parse_created, per_hour, whole_hours_since
-
-# Multiplier and modulus of a Lehmer-style integer mix used to order the random sample.
-# Both engines compute it exactly in 64-bit integers, so the sample is reproducible anywhere.
-MIX_MULT = 48271
-MIX_MOD = 2147483647
+from ..functions.timefmt import parse_created_lenient, per_hour, whole_hours_since
+from .common import numbered, row_count
 
 
 def with_score_per_hour(active: DataFrame, ts_col: str = "created_datetime") -> DataFrame:
-    """Parse created_at, whole hours since the earliest post (+1), score / hours.
+    """Parse created_at (leniently: null where it can't), whole hours since the earliest post (+1), score / hours.
 
     The origin is the true global minimum, taken as a scalar subquery (trap 5).
     """
-    df = active.withColumn(ts_col, parse_created("created_at"))
+    df = active.withColumn(ts_col, parse_created_lenient("created_at"))
     origin = df.select(F.min(ts_col)).scalar()
     return (df.withColumn("hours_since_start", whole_hours_since(ts_col, origin))
               .withColumn("score_per_hour", per_hour("score", "hours_since_start")))
@@ -37,34 +33,28 @@ def top_n(scored: DataFrame, n: int) -> DataFrame:
 
 
 def sample_label(n: Column, method: str = "top") -> Column:
-    """1,000,000 -> top1m, 500,000 -> top500k."""
-    return F.when(n >= 1_000_000, F.format_string(method + "%dm", (n / 1_000_000).cast("bigint"))) \
-            .otherwise(F.format_string(method + "%dk", (n / 1000).cast("bigint")))
+    """1,000,000 -> top1m, 500,000 -> top500k; a size that isn't whole thousands is written out."""
+    return (F.when(n % 1_000_000 == 0, F.format_string(method + "%dm", F.floor(n / 1_000_000).cast("bigint")))
+             .when(n % 1000 == 0, F.format_string(method + "%dk", F.floor(n / 1000).cast("bigint")))
+             .otherwise(F.format_string(method + "%d", n)))
 
 
-def valid_sizes(df: DataFrame, sizes: Iterable[int]) -> list[int]:
-    """Sizes not larger than the data (the others are skipped, as in the studied project).
+def ranked_sizes(df: DataFrame, order: list[Column], sizes: Iterable[int], method: str) -> DataFrame:
+    """The first rows of df in an order, once for each size: rank, sample_size, sample_label.
 
-    One scalar count reaches the driver; it keeps the top-k heap bounded by the data, since a
-    TakeOrderedAndProject heap is sized by the requested k, not by the rows that exist."""
-    total = df.count()
-    return sorted(s for s in set(int(x) for x in sizes) if s <= total)
+    Rows are ranked once, in parallel. A size above the rows there are is skipped, as in the studied
+    project; the count is part of the plan, so every size takes the same way.
+    """
+    wanted = sorted({int(x) for x in sizes})
+    ranked = numbered(df, order, "rank").withColumn("rank", F.col("rank") + 1).where(F.col("rank") <= max(wanted, default=0))
+    size_col = F.explode(F.array(*[F.lit(s).cast("bigint") for s in wanted])).alias("sample_size")
+    out = ranked.select("*", size_col).where((F.col("rank") <= F.col("sample_size")) & (F.col("sample_size") <= row_count(df)))
+    return out.withColumn("sample_label", sample_label(F.col("sample_size"), method))
 
 
 def top_n_sizes(scored: DataFrame, sizes: Iterable[int]) -> DataFrame:
-    """K6: rank once for the largest valid size, then every size is a prefix of that ranking.
-
-    The ranking window runs over the bounded top-max(sizes) set only, never over the whole table.
-    """
-    sizes = valid_sizes(scored, sizes)
-    if not sizes:
-        return scored.limit(0).select("*", F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias("sample_size"),
-                                      F.lit("").alias("sample_label"))
-    top = top_n(scored, max(sizes))
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*rank_order())))
-    size_col = F.explode(F.array(*[F.lit(s).cast("bigint") for s in sizes])).alias("sample_size")
-    out = ranked.select("*", size_col).filter(F.col("rank") <= F.col("sample_size"))
-    return out.withColumn("sample_label", sample_label(F.col("sample_size")))
+    """K6: the best by score per hour, for several sizes."""
+    return ranked_sizes(scored, rank_order(), sizes, "top")
 
 
 def rebased_sample(sample: DataFrame) -> DataFrame:
@@ -78,12 +68,11 @@ def rebased_sample(sample: DataFrame) -> DataFrame:
                   .withColumn("score_per_hour", per_hour("score", "hours_since_start")))
 
 
-def mix_key(id_col: str = "id", seed: int = 42) -> Column:
-    """Deterministic pseudo-random key of an integer id (partition-independent)."""
-    x = F.pmod(F.col(id_col), F.lit(MIX_MOD))
-    return F.pmod(x * F.lit(MIX_MULT) + F.lit(seed), F.lit(MIX_MOD))
+def random_order(id_col: str = "id", seed: int = 42) -> list[Column]:
+    """A random order of ids that depends on seed and id alone (not on partitions): by MD5 of both."""
+    return [F.md5(F.concat(F.lit(f"{int(seed)}:"), F.col(id_col).cast("string")).cast("binary")), F.col(id_col)]
 
 
 def random_n(active: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """K5: n rows without replacement (all rows when n >= size), exact and layout-stable."""
-    return active.orderBy(mix_key("id", seed), F.col("id")).limit(n)
+    return active.orderBy(*random_order("id", seed)).limit(n)

@@ -28,8 +28,8 @@ class GenreParams:
     rating: str = "nsfw"
     remove_generic: bool = False
     min_freq: int = 50
-    max_tags_per_post: int = 30
-    top_k_tags: int = 10000
+    max_tags_per_post: int | None = None  # None: no cap
+    top_k_tags: int | None = None
     min_cooccur: int = 5
     weight_method: str = "pmi"
     wiki_weight: float = 0.2
@@ -50,18 +50,18 @@ def run_genre_pipeline(spark: SparkSession, posts: DataFrame, wiki: DataFrame, p
                                         p.weight_method)
     vocab = materialize(vocab, "genre-vocab")
     edges = materialize(edges, "genre-edges")
-    merged = materialize(G.merge_wiki_edges(edges, links, vocab, p.wiki_weight, p.top_k_tags), "genre-graph")
+    merged = materialize(G.merge_wiki_edges(edges, links, vocab, p.wiki_weight), "genre-graph")
     assign = CM.louvain(merged, p.resolution) if p.detector == "louvain" else CM.label_propagation(merged)
     tag_clusters = materialize(CM.number_clusters(assign), "genre-clusters")
-    pc = materialize(C.post_cluster(filtered, tag_clusters, p.top_k_tags), "genre-post-cluster")
-    metrics = C.cluster_metrics(pc, tag_clusters, vocab, map_bound=p.top_k_tags)
+    pc = materialize(C.post_cluster(filtered, tag_clusters), "genre-post-cluster")
+    metrics = C.cluster_metrics(pc, tag_clusters, vocab)
     examples = C.example_posts(pc)
     out = {
         "filtered": filtered, "tag_freq": tag_freq, "links": links, "edges": edges, "vocab": vocab,
         "graph": merged, "tag_clusters": tag_clusters, "post_cluster": pc, "metrics": metrics,
-        "distinctive": C.distinctive_tags(filtered, pc, cluster_bound=p.top_k_tags),
+        "distinctive": C.distinctive_tags(filtered, pc),
         "examples": C.cluster_example_lists(examples),
-        "bundles": C.example_bundles(examples, filtered, example_bound=5 * p.top_k_tags),
+        "bundles": C.example_bundles(examples, filtered),
         "overview": R.run_overview(filtered, tag_freq, G.graph_size(merged), tag_clusters),
         "ranked": R.ranked_clusters(metrics, p.main_min_posts),
         "niche": R.niche_clusters(metrics, p.main_min_posts),
@@ -78,14 +78,33 @@ GENRE_COLUMNS = ["cluster_id", "num_posts", "num_unique_tags", "demand_median",
 
 
 def write_outputs(out: dict[str, DataFrame], out_dir: str) -> None:
-    """Genres / tag_clusters / cluster_examples as parquet; S11: ranked report as text."""
+    """Genres / tag_clusters / cluster_examples as parquet; S11: the text report, a folder for each part."""
     out["metrics"].select(*GENRE_COLUMNS).write.mode("overwrite").parquet(f"{out_dir}/genres.parquet")
     out["tag_clusters"].write.mode("overwrite").parquet(f"{out_dir}/tag_clusters.parquet")
     out["examples"].write.mode("overwrite").parquet(f"{out_dir}/cluster_examples.parquet")
-    ranked = out["ranked"].withColumn("rank", F.row_number().over(
-        Window.orderBy(F.col("opportunity").desc(), F.col("cluster_id"))))
-    lines = R.render_lines(ranked.withColumn("tags", F.array_join(F.slice("representative_tags", 1, 15), ", ")),
-                           "#%d Cluster %d: posts=%d, unique tags=%d, median=%.2f, top10%%=%.2f, opportunity=%.2f, tags=%s",
-                           "rank", "cluster_id", "num_posts", "num_unique_tags", "demand_median", "demand_top10_avg",
-                           "opportunity", "tags")
-    lines.coalesce(1).write.mode("overwrite").text(f"{out_dir}/genre_rank")
+    for name, lines in report_lines(out).items():
+        lines.coalesce(1).write.mode("overwrite").text(f"{out_dir}/{name}")  # 20 rows, or a row for each cluster
+
+
+def report_lines(out: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The lines of the report: ranked and niche clusters, all clusters with their examples."""
+    tags = F.array_join(F.slice("representative_tags", 1, 15), ", ")
+
+    def ranked(df, *order):
+        return df.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("tags", tags)
+
+    main = ranked(out["ranked"], F.col("opportunity").desc(), F.col("cluster_id"))
+    niche = ranked(out["niche"], F.col("demand_median").desc(), F.col("cluster_id"))
+    every = out["all_clusters"].join(out["examples"].select("cluster_id", "top_post_ids"), "cluster_id", "left")
+    return {
+        "genre_rank": R.render_lines(main, "#%d Cluster %d: posts=%d, unique tags=%d, median=%.2f, top10%%=%.2f, opportunity=%.2f, tags=%s",
+                                     "rank", "cluster_id", "num_posts", "num_unique_tags", "demand_median", "demand_top10_avg",
+                                     "opportunity", "tags"),
+        "niche_rank": R.render_lines(niche, "#%d Cluster %d: posts=%d, median=%.2f, tags=%s", "rank", "cluster_id", "num_posts",
+                                     "demand_median", "tags"),
+        "all_clusters": every.orderBy("rank").select(F.concat(
+            F.lit("#"), F.col("rank").cast("string"), F.lit(" Cluster "), F.col("cluster_id").cast("string"), F.lit(": posts="),
+            F.col("num_posts").cast("string"), F.lit(", opportunity="), F.coalesce(F.round("opportunity", 2).cast("string"), F.lit("-")),
+            F.lit(", tags="), tags, F.lit(", examples="),
+            F.coalesce(F.array_join(F.transform("top_post_ids", lambda x: x.cast("string")), " "), F.lit("-"))).alias("value")),
+    }

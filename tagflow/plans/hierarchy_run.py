@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ def run_hierarchy(pages: DataFrame, start_url: str, cfg: dict | None = None, hop
     """Start page -> walk -> one-hop expansion -> H8 -> H9/H10 -> H11 -> statistics."""
     cfg = cfg or H.default_config()
     start = H.page_nodes(pages.filter(F.col("url") == start_url), cfg)
-    raw_items, followed = H.expand_links(start, pages, cfg, hops)
+    raw_items, followed = H.expand_links(start, pages, cfg, hops, start_url)
     raw_items = materialize(raw_items, "hier-raw")
     raw = materialize(H.resolve_duplicates(raw_items), "hier-resolved")
     norm = materialize(H.normalise(raw), "hier-normalised")
@@ -27,7 +29,9 @@ def run_hierarchy(pages: DataFrame, start_url: str, cfg: dict | None = None, hop
            .unionByName(H.text_log(start.filter(F.col("kind") == "ignored"), "ignored_element")))
     removed = H.removed_duplicates(raw, norm)
     cons = H.consolidate(norm)
-    return {"raw_items": raw, "headings": headings, "ignored": ignored, "followed": followed,
+    config = pages.sparkSession.createDataFrame([(json.dumps(cfg, sort_keys=True, default=list), start_url, hops)],
+                                                "config string, start_url string, hops int")
+    return {"config": config, "raw_items": raw, "headings": headings, "ignored": ignored, "followed": followed,
             "normalised": norm, "normalization_log": log, "removed_duplicates": removed,
             "items": cons, "consolidation_log": H.consolidation_log(norm),
             "statistics": H.run_statistics(raw_items, raw, start, log, removed)}
@@ -35,7 +39,8 @@ def run_hierarchy(pages: DataFrame, start_url: str, cfg: dict | None = None, hop
 
 def write_result(result: dict[str, DataFrame], out_dir: str) -> None:
     """Every member as JSON lines (items keep their path arrays)."""
-    for name in ("items", "raw_items", "headings", "normalization_log", "removed_duplicates", "statistics"):
+    for name in ("config", "items", "raw_items", "headings", "ignored", "followed", "normalization_log", "removed_duplicates",
+                 "consolidation_log", "statistics"):
         df = result[name]
         if name in ("items", "raw_items"):
             df = df.select("name", "url", "path", "parent", "depth", F.col("has_nested").alias("has_nested_list"),

@@ -6,10 +6,14 @@ textbook way (self joins, windows), independent of the Spark plans it checks.
 
 from __future__ import annotations
 
-from ..functions.links import LINK_RE, PARITY_SECTION_RE, SECTION_RE
-from ..functions.tags import DEFAULT_BLOCKLIST
 from . import queries as Q
 
+# Literals of its own: what the queries must find, not what the code under test says.
+LINK_RE = r"\[\[([^\]]+)\]\]"
+PARITY_SECTION_RE = r"(?s)^(.*[Ss]ee\s+also.*?)(?:h[1-6]\.|\n|$)"
+SECTION_RE = r"(?s)^.*[Ss]ee\s+also(.*?)(?:\nh[1-6]\.|$)"
+DEFAULT_BLOCKLIST = ('guro', 'gore', 'dismemberment', 'decapitation', 'corpse', 'blood', 'extreme_content', 'death', 'violence', 'injury')
+
 
 def _lst(xs) -> str:
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
@@ -41,9 +45,9 @@ active AS (SELECT * FROM posts WHERE NOT is_deleted AND NOT is_banned AND score
 
 
 def _parse(col: str) -> str:
-    g = f"trim(coalesce({col}, ''))"
+    g = f"regexp_replace(coalesce({col}, ''), '^\\s+|\\s+$', '', 'g')"
     return (f"list_filter(list_transform(CASE WHEN contains({g}, ',') THEN string_split({g}, ',') "
-            f"ELSE string_split({g}, ' ') END, lambda x: trim(x)), lambda x: x <> '')")
+            f"ELSE string_split({g}, ' ') END, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')")
 
 
 def _filtered(blocklist=DEFAULT_BLOCKLIST, stop=None, name="filtered") -> str:
@@ -72,13 +76,15 @@ def _graph(cap=Q.GRAPH["max_tags_per_post"], method="pmi") -> str:
     elif method != "pmi":
         w = "CAST(p.cooccur AS DOUBLE)"
     having = f"WHERE {w} > 0" if method == "pmi" else ""
+    limit = f" LIMIT {g['top_k_tags']}" if g["top_k_tags"] else ""
+    cut = f" WHERE r <= {cap}" if cap else ""
     return f""",
 long AS (SELECT post_id, unnest(tags) AS tag FROM filtered),
 freq AS (SELECT tag, count(*) AS freq FROM long WHERE tag <> '' GROUP BY tag),
-vocab AS (SELECT tag, freq FROM freq WHERE freq >= {g['min_freq']} ORDER BY freq DESC, tag ASC LIMIT {g['top_k_tags']}),
+vocab AS (SELECT tag, freq FROM freq WHERE freq >= {g['min_freq']} ORDER BY freq DESC, tag ASC{limit}),
 lv AS (SELECT l.post_id, l.tag, v.freq FROM long l JOIN vocab v ON l.tag = v.tag),
 ranked AS (SELECT post_id, tag, row_number() OVER (PARTITION BY post_id ORDER BY freq DESC, tag ASC) AS r FROM lv),
-capped AS (SELECT post_id, tag FROM ranked WHERE r <= {cap}),
+capped AS (SELECT post_id, tag FROM ranked{cut}),
 pairs AS (SELECT a.tag AS tag_left, b.tag AS tag_right, count(*) AS cooccur
           FROM capped a JOIN capped b ON a.post_id = b.post_id AND a.tag < b.tag
           GROUP BY a.tag, b.tag HAVING count(*) >= {g['min_cooccur']}),
@@ -102,11 +108,12 @@ wiki AS (SELECT id, title, tag, CASE
 
 def _links(mode="section") -> str:
     sec = PARITY_SECTION_RE if mode == "parity" else SECTION_RE
+    tail = "right(body, 2000)" if mode == "parity" else "body"
     return f""",
 pl AS (SELECT coalesce(nullif(tag, ''), nullif(title, '')) AS tag,
          CASE WHEN regexp_matches(body, '[Ss]ee\\s+also') THEN regexp_extract_all(regexp_extract(body, '{sec}', 1), '{LINK_RE}', 1)
-              WHEN contains(lower(right(body, 2000)), 'see') OR contains(lower(right(body, 2000)), 'also')
-                THEN regexp_extract_all(right(body, 2000), '{LINK_RE}', 1) END AS links
+              WHEN contains(lower({tail}), 'see') OR contains(lower({tail}), 'also')
+                THEN regexp_extract_all({tail}, '{LINK_RE}', 1) END AS links
        FROM wiki WHERE body IS NOT NULL),
 pl2 AS (SELECT * FROM pl WHERE tag IS NOT NULL AND links IS NOT NULL),
 linked AS (SELECT DISTINCT tag, unnest(links) AS link FROM pl2),
@@ -186,8 +193,9 @@ ORACLE: dict[str, str] = {
     "top_n_sizes": "WITH" + POSTS + SCORED + """,
         rk AS (SELECT id, row_number() OVER (ORDER BY score_per_hour DESC, id ASC) AS rank FROM scored2),
         sizes AS (SELECT CAST(unnest(""" + "[" + ", ".join(str(s) for s in Q.SAMPLE_SIZES) + """]) AS BIGINT) AS sample_size)
-        SELECT CASE WHEN sample_size >= 1000000 THEN 'top' || CAST(sample_size // 1000000 AS VARCHAR) || 'm'
-                    ELSE 'top' || CAST(sample_size // 1000 AS VARCHAR) || 'k' END AS sample_label,
+        SELECT CASE WHEN sample_size % 1000000 = 0 THEN 'top' || CAST(sample_size // 1000000 AS VARCHAR) || 'm'
+                    WHEN sample_size % 1000 = 0 THEN 'top' || CAST(sample_size // 1000 AS VARCHAR) || 'k'
+                    ELSE 'top' || CAST(sample_size AS VARCHAR) END AS sample_label,
                sample_size, rank, id
         FROM rk JOIN sizes ON rk.rank <= sizes.sample_size WHERE sample_size <= (SELECT count(*) FROM active)""",
     "rebased_sample": "WITH" + POSTS + SCORED + f""",
@@ -196,7 +204,21 @@ ORACLE: dict[str, str] = {
         SELECT id, round(score_per_hour, 9) AS rank_score_per_hour, h2 AS hours_since_start,
                round(score / CAST(h2 AS DOUBLE), 9) AS score_per_hour FROM rb""",
     "random_n": "WITH" + POSTS + f""" SELECT id, score FROM active
-        ORDER BY (((id % 2147483647) * 48271 + 42) % 2147483647), id LIMIT {Q.RANDOM_N}""",
+        ORDER BY md5('42:' || CAST(id AS VARCHAR)), id LIMIT {Q.RANDOM_N}""",
+    "random_n_spread": "WITH" + POSTS + f""" SELECT least({Q.RANDOM_N}, count(*)) AS rows, least({Q.RANDOM_N}, count(*)) AS distinct_ids,
+        CAST(0 AS BIGINT) AS outside, true AS fair_in_every_tenth, count(*) > {Q.RANDOM_N} AS seeds_differ FROM active""",
+    "parse_tags_whitespace": "WITH" + POSTS + """ SELECT id,
+        array_to_string(CASE WHEN contains(general, ',') THEN string_split(general, ',') ELSE string_split(general, ' ') END, '|') AS tags,
+        replace(general, ',', '|') AS comma_tags FROM active""",
+    "created_lenient": "WITH" + POSTS + """ SELECT id, CAST(CASE id % 4 WHEN 0 THEN epoch(CAST(substr(created_at, 1, 10) AS TIMESTAMP)) WHEN 1 THEN NULL
+        ELSE epoch(CAST(replace(substr(created_at, 1, 19), 'T', ' ') AS TIMESTAMP)) END AS BIGINT) AS seconds FROM active""",
+    "sample_stats": "WITH" + POSTS + SCORED + """,
+        rk AS (SELECT rating, score, row_number() OVER (ORDER BY score_per_hour DESC, id ASC) AS rank FROM scored2),
+        sizes AS (SELECT CAST(unnest([""" + ", ".join(str(x) for x in Q.SAMPLE_SIZES) + """]) AS BIGINT) AS n)
+        SELECT CASE WHEN n % 1000000 = 0 THEN 'top' || (n // 1000000) || 'm' WHEN n % 1000 = 0 THEN 'top' || (n // 1000) || 'k' ELSE 'top' || n END AS sample_label,
+          count(*) AS rows, min(score) AS min_score, max(score) AS max_score, count(*) FILTER (rating = 's') AS s, count(*) FILTER (rating = 'q') AS q,
+          count(*) FILTER (rating = 'g') AS g, count(*) FILTER (rating = 'e') AS e
+        FROM rk JOIN sizes ON rk.rank <= n WHERE n <= (SELECT count(*) FROM active) GROUP BY n""",
     "tag_counts_by_type": "WITH" + POSTS + TAGCOUNT + " SELECT tag, tag_type, count FROM bytype",
     "tag_counts_all": "WITH" + POSTS + TAGCOUNT + " SELECT tag, tag_type, count FROM withall",
     "top_tags_per_type": "WITH" + POSTS + TAGCOUNT + """ SELECT tag_type, rank, tag, count FROM (
@@ -204,7 +226,8 @@ ORACLE: dict[str, str] = {
         WHERE rank <= 20""",
     "tag_count_stats": "WITH" + POSTS + TAGCOUNT + """ SELECT tag_type, count(*) AS distinct_tags,
         CAST(sum(count) AS BIGINT) AS occurrences FROM withall GROUP BY tag_type""",
-    "vocabulary": BASE + _graph() + " SELECT tag, freq FROM vocab",
+    "vocabulary": BASE + _graph() + " SELECT tag, freq FROM freq WHERE freq >= 400",
+    "vocabulary_top_k": BASE + _graph() + " SELECT tag, freq FROM vocab ORDER BY freq DESC, tag LIMIT 40",
     "cooccur_counts": BASE + _graph(method="count") + f" SELECT {EDGE_COLS} FROM edges",
     "cooccur_pmi": BASE + _graph() + f" SELECT {EDGE_COLS} FROM edges",
     "cooccur_lift": BASE + _graph(method="lift") + f" SELECT {EDGE_COLS} FROM edges",
@@ -241,8 +264,8 @@ ORACLE: dict[str, str] = {
         FROM ex LEFT JOIN filtered f ON ex.id = f.id""",
     "ranked_clusters": BASE + _graph() + CLUSTERS + f""" SELECT {METRICS_COLS} FROM metrics WHERE num_posts >= 50
         ORDER BY opportunity DESC, cluster_id ASC LIMIT 20""",
-    "niche_clusters": BASE + _graph() + CLUSTERS + f""" SELECT {METRICS_COLS} FROM metrics WHERE num_posts < 50
-        ORDER BY demand_median DESC, cluster_id ASC LIMIT 20""",
+    "niche_clusters": BASE + _graph() + CLUSTERS + f""" SELECT {METRICS_COLS} FROM metrics WHERE num_posts < 1500
+        ORDER BY demand_median DESC, cluster_id ASC LIMIT 2""",
     "all_clusters": BASE + _graph() + CLUSTERS + """ SELECT
         row_number() OVER (ORDER BY m.opportunity DESC NULLS LAST, r.cluster_id DESC) AS rank, r.cluster_id,
         CAST(coalesce(m.num_posts, 0) AS BIGINT) AS num_posts, round(m.opportunity, 9) AS opportunity,

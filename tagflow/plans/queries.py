@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tags import parse_tag_list, split_comma_tags
+from ..functions.timefmt import parse_created_lenient
 from ..operators import clusters as C
 from ..operators import counts as K
 from ..operators import graph as G
@@ -20,17 +22,21 @@ from ..operators import posts as P
 from ..operators import sampling as S
 from ..sources import adapters
 from ..operators.common import row_count
+from ..session import materialize
 from . import reports as R
 
 # Run parameters: the studied project's pipeline values (rating, vocabulary and pair limits).
 RATING = "nsfw"
-GRAPH = dict(min_freq=50, max_tags_per_post=30, top_k_tags=10000, min_cooccur=5)
+GRAPH = dict(min_freq=50, max_tags_per_post=None, top_k_tags=None, min_cooccur=5)
 CAPPED_TAGS_PER_POST = 3
+VOCABULARY_MIN_FREQ, VOCABULARY_TOP_K = 400, 40   # of the queries named for them
+NICHE_MIN_POSTS = 1500
+PARITY_TAIL = 2000
 WIKI_WEIGHT = 0.2
 TOP_N = 1000
-SAMPLE_SIZES = (1000, 5000, 1_000_000)
+SAMPLE_SIZES = (100, 500, 1000, 1500, 5000, 1_000_000)
 RANDOM_N = 1000
-FIRST_N = 100_000
+FIRST_N = 10_000
 # Fixture lists that do occur in the test data (the project's own lists never match it).
 FIXTURE_BLOCKLIST = ("old rod", "hot gear")
 FIXTURE_STOP_TAGS = ("red plate",)
@@ -61,6 +67,11 @@ def filtered(spark, d):
     return P.filter_posts(active(spark, d), rating=RATING)
 
 
+def analysis_set(spark, d):
+    """filtered, written once for the plans that read it several times."""
+    return materialize(filtered(spark, d).select("post_id", "id", "score", "created_at", "tags"), "filtered")
+
+
 def scored(spark, d):
     return S.with_score_per_hour(active(spark, d))
 
@@ -69,31 +80,33 @@ def graph(spark, d, method="pmi", cap=None):
     params = dict(GRAPH)
     if cap is not None:
         params["max_tags_per_post"] = cap
-    f = filtered(spark, d)
+    f = analysis_set(spark, d)
     edges, vocab = G.cooccurrence_edges(f, weight_method=method, **params)
     return f, edges, vocab
 
 
 def wiki_links(spark, d, mode="section"):
-    return L.see_also_links(adapters.wiki(spark, d), mode=mode)
+    return L.see_also_links(adapters.wiki(spark, d), mode=mode, tail_chars=PARITY_TAIL if mode == "parity" else None)
 
 
 def merged(spark, d):
     f, edges, vocab = graph(spark, d)
-    m = G.merge_wiki_edges(edges, wiki_links(spark, d), vocab, WIKI_WEIGHT, GRAPH["top_k_tags"])
+    vocab = materialize(vocab, "vocabulary")
+    m = materialize(G.merge_wiki_edges(edges, wiki_links(spark, d), vocab, WIKI_WEIGHT), "graph")
     return f, edges, vocab, m
 
 
 def fixed_clusters(spark, d):
     f, edges, vocab = graph(spark, d)
+    vocab = materialize(vocab, "vocabulary")
     cmap = C.fixed_cluster_map(vocab, N_FIXED_CLUSTERS)
-    pc = C.post_cluster(f, cmap, GRAPH["top_k_tags"])
+    pc = materialize(C.post_cluster(f, cmap), "post-cluster")
     return f, vocab, cmap, pc
 
 
 def metrics(spark, d):
     f, vocab, cmap, pc = fixed_clusters(spark, d)
-    return f, vocab, cmap, pc, C.cluster_metrics(pc, cmap, vocab, map_bound=GRAPH["top_k_tags"])
+    return f, vocab, cmap, pc, C.cluster_metrics(pc, cmap, vocab)
 
 
 # ---------------------------------------------------------------- posts
@@ -168,6 +181,45 @@ def q_random_n(spark, d):
     return S.random_n(active(spark, d), RANDOM_N).select("id", "score")
 
 
+def q_random_n_spread(spark, d):
+    """K5: what makes a sample random: its size, distinct ids, no id from outside, a fair share of every tenth of
+    the ids, and another set for another seed. The oracle states what must come out, not how it is drawn."""
+    a = active(spark, d).select("id", "score")
+    one, two = S.random_n(a, RANDOM_N).select("id"), S.random_n(a, RANDOM_N, 7).select("id")
+    cuts = a.select(F.percentile_approx("id", [k / 10 for k in range(1, 10)])).scalar()
+    tenth = F.size(F.filter("cuts", lambda x: x < F.col("id")))
+    shares = a.withColumn("cuts", cuts).join(one.withColumn("s", F.lit(1)), "id", "left").groupBy(tenth.alias("t")).agg(
+        F.avg(F.coalesce("s", F.lit(0))).alias("share"))
+    fair = F.least(F.lit(1.0), F.lit(RANDOM_N) / row_count(a))
+    return one.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("distinct_ids")).select(
+        "rows", "distinct_ids", row_count(one.join(a, "id", "left_anti")).alias("outside"),
+        (shares.agg(F.max(F.abs(F.col("share") - fair))).scalar() < 0.5 * fair).alias("fair_in_every_tenth"),
+        (row_count(one.join(two, "id", "left_semi")) < row_count(one) * F.lit(0.99)).alias("seeds_differ"))
+
+
+def q_parse_tags_whitespace(spark, d):
+    """Tabs and line breaks around tags are stripped like blanks."""
+    messy = F.concat(F.lit("\n\t"), F.replace("general", F.lit(","), F.lit(" ,\t")), F.lit(" \n"))
+    return active(spark, d).withColumn("general", messy).select(
+        "id", joined(parse_tag_list("general")).alias("tags"), joined(split_comma_tags("general")).alias("comma_tags"))
+
+
+def q_created_lenient(spark, d):
+    """Other forms of a timestamp are read, what is none becomes null; no row fails the job."""
+    c = F.col("created_at")
+    forms = F.when(F.col("id") % 4 == 0, F.substring(c, 1, 10)).when(F.col("id") % 4 == 1, F.lit("no time")).when(
+        F.col("id") % 4 == 2, F.concat(F.substring(c, 1, 19), F.lit("Z"))).otherwise(c)
+    return active(spark, d).select("id", F.unix_seconds(parse_created_lenient(forms)).alias("seconds"))
+
+
+def q_sample_stats(spark, d):
+    """A12, A13 for each stored sample."""
+    from .sampling import sample_stats, samples
+
+    return sample_stats(samples(posts(spark, d), SAMPLE_SIZES)).select(
+        "sample_label", "rows", "min_score", "max_score", *[F.coalesce(F.col(r), F.lit(0)).alias(r) for r in "sqge"])
+
+
 # ---------------------------------------------------------------- tag counts
 def q_tag_counts_by_type(spark, d):
     return K.tag_counts_by_type(active(spark, d))
@@ -187,7 +239,12 @@ def q_tag_count_stats(spark, d):
 
 # ---------------------------------------------------------------- graph
 def q_vocabulary(spark, d):
-    return graph(spark, d)[2]
+    return G.vocabulary(K.tag_frequency(filtered(spark, d)), VOCABULARY_MIN_FREQ, None)
+
+
+def q_vocabulary_top_k(spark, d):
+    """K3: the most frequent tags only."""
+    return G.vocabulary(K.tag_frequency(filtered(spark, d)), GRAPH["min_freq"], VOCABULARY_TOP_K)
 
 
 def _edges_out(e):
@@ -249,7 +306,7 @@ def q_cluster_metrics(spark, d):
 
 def q_distinctive_tags(spark, d):
     f, vocab, cmap, pc = fixed_clusters(spark, d)
-    return C.distinctive_tags(f, pc, cluster_bound=GRAPH["top_k_tags"]).select(
+    return C.distinctive_tags(f, pc).select(
         "cluster_id", "rank", "tag", "cluster_tag_posts", "global_posts", r9("log_lift").alias("log_lift"))
 
 
@@ -260,7 +317,7 @@ def q_example_posts(spark, d):
 def q_example_bundles(spark, d):
     f, vocab, cmap, pc = fixed_clusters(spark, d)
     ex = C.example_posts(pc)
-    return C.example_bundles(ex, f, example_bound=5 * GRAPH["top_k_tags"]).select(
+    return C.example_bundles(ex, f).select(
         "cluster_id", "rank", "id", joined("tags20").alias("tags20"))
 
 
@@ -269,7 +326,7 @@ def q_ranked_clusters(spark, d):
 
 
 def q_niche_clusters(spark, d):
-    return _metrics_out(R.niche_clusters(metrics(spark, d)[4]))
+    return _metrics_out(R.niche_clusters(metrics(spark, d)[4], NICHE_MIN_POSTS, 2))
 
 
 def q_all_clusters(spark, d):

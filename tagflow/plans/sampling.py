@@ -18,20 +18,14 @@ def samples(posts: DataFrame, sizes: Iterable[int], method: str = "top", seed: i
     are skipped. Top samples carry rank_score_per_hour and the per-sample re-based score_per_hour
     (trap 4); the re-basing minimum is a window over each sample (bounded by its size)."""
     active = active_posts(posts, [c for c in POST_COLUMNS])
-    sizes = sorted(set(int(s) for s in sizes))
     if method == "top":
         ranked = S.top_n_sizes(S.with_score_per_hour(active), sizes)
-        origin = F.min("created_datetime").over(Window.partitionBy("sample_label"))
+        origin = F.min("created_datetime").over(Window.partitionBy("sample_size"))
         hours = S.whole_hours_since("created_datetime", origin)
         return (ranked.withColumnRenamed("score_per_hour", "rank_score_per_hour")
                       .withColumn("hours_since_start", hours)
                       .withColumn("score_per_hour", S.per_hour("score", "hours_since_start")))
-    sizes = S.valid_sizes(active, sizes)
-    top = active.orderBy(S.mix_key("id", seed), F.col("id")).limit(max(sizes))
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(S.mix_key("id", seed), F.col("id"))))
-    size_col = F.explode(F.array(*[F.lit(s).cast("bigint") for s in sizes])).alias("sample_size")
-    out = ranked.select("*", size_col).filter(F.col("rank") <= F.col("sample_size"))
-    return out.withColumn("sample_label", S.sample_label(F.col("sample_size"), "random"))
+    return S.ranked_sizes(active, S.random_order("id", seed), sizes, "random")
 
 
 def sample_stats(sampled: DataFrame) -> DataFrame:

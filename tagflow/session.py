@@ -17,8 +17,6 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
-    # top-k above a million rows: distributed sort + limit instead of one k-sized heap per task
-    "spark.sql.execution.topKSortFallbackThreshold": "1000000",
 }
 
 

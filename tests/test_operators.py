@@ -14,7 +14,7 @@ from tests.conftest import SMALL
 def test_row_pairs_equal_self_join(spark):
     f = filter_posts(active_posts(adapters.posts(spark, SMALL)))
     vocab = G.vocabulary(G.tag_frequency(f), 1, None)
-    capped = G.capped_tag_lists(f, vocab, 30, None)
+    capped = G.capped_tag_lists(f, vocab)
     cols = ["tag_left", "tag_right", "cooccur"]
     a = sorted(tuple(r) for r in G.pair_counts(capped).select(*cols).collect())
     b = sorted(tuple(r) for r in G.pair_counts_self_join(capped).select(*cols).collect())
@@ -76,3 +76,33 @@ def test_stream_restart_equals_one_run(spark):
     got = sorted(r["id"] for r in spark.read.parquet(sink).select("id").collect())
     want = sorted(r["id"] for r in active_posts(posts).select("id").collect())
     assert 0 < first < len(got) and got == want
+
+
+def test_components_of_a_long_path(spark):
+    from tagflow.operators.community import split_disconnected
+
+    edges = spark.createDataFrame([(f"n{k:03d}", f"n{k + 1:03d}", 1.0) for k in range(70)], "src string, dst string, weight double")
+    memb = spark.createDataFrame([(f"n{k:03d}", "all") for k in range(71)], "node string, comm string")
+    assert {r["comm"] for r in split_disconnected(edges, memb).collect()} == {"n000"}
+
+
+def test_seeds_draw_different_samples(spark):
+    from tagflow.operators.sampling import random_n
+
+    ids = spark.range(150_000).select("id")
+    one, two = ({r["id"] for r in random_n(ids, 1000, seed).collect()} for seed in (42, 7))
+    assert len(one) == len(two) == 1000 and len(one & two) < 50
+    assert sum(i < 75_000 for i in one) in range(400, 601)
+
+
+def test_sample_labels(spark):
+    from tagflow.operators.sampling import sample_label, top_n_sizes
+
+    df = spark.createDataFrame([(n,) for n in (100, 500, 1000, 1500, 500_000, 1_500_000, 2_000_000)], "n long")
+    assert [r[0] for r in df.orderBy("n").select(sample_label(F.col("n"))).collect()] == [
+        "top100", "top500", "top1k", "top1500", "top500k", "top1500k", "top2m"]
+    scored = spark.range(30).select("id", F.col("id").cast("double").alias("score_per_hour"))
+    rows = top_n_sizes(scored, [5, 30, 31]).collect()
+    assert len(rows) == 35 and {r["rank"] for r in rows if r["sample_size"] == 5} == set(range(1, 6))
+    assert [r["id"] for r in rows if r["sample_size"] == 5 and r["rank"] == 1] == [29]
+    assert top_n_sizes(scored, [99]).count() == 0
