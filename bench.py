@@ -19,9 +19,11 @@ HEADLINE = [
     "active_posts", "top_n_sizes", "random_n", "tag_counts_all", "top_tags_per_type",
     # E1 genre pipeline
     "tag_frequency", "cooccur_pmi", "see_also_links", "merged_graph", "cluster_metrics",
-    "distinctive_tags", "example_bundles", "all_clusters",
+    "distinctive_tags", "example_bundles", "all_clusters", "run_overview", "communities_lp",
     # E3 hierarchy
-    "page_items", "page_normalised", "hierarchy_consolidated", "items_under_path_list",
+    "page_items", "page_normalised", "nested_items", "expanded_items", "hierarchy_consolidated", "items_under_path_list",
+    # streaming
+    "incremental_ingest", "streaming_tag_counts",
 ]
 
 

@@ -27,6 +27,7 @@ from . import reports as R
 
 # Run parameters: the studied project's pipeline values (rating, vocabulary and pair limits).
 RATING = "nsfw"
+GENERAL = ("general",)
 GRAPH = dict(min_freq=50, max_tags_per_post=None, top_k_tags=None, min_cooccur=5)
 CAPPED_TAGS_PER_POST = 3
 VOCABULARY_MIN_FREQ, VOCABULARY_TOP_K = 400, 40   # of the queries named for them
@@ -54,17 +55,17 @@ def joined(c):
 
 
 # ---------------------------------------------------------------- shared plan fragments
-def posts(spark, d):
-    return adapters.posts(spark, d)
+def posts(spark, d, tags=adapters.TAG_TYPES):
+    return adapters.posts(spark, d, tags)
 
 
-def active(spark, d):
-    return P.active_posts(posts(spark, d))
+def active(spark, d, tags=adapters.TAG_TYPES):
+    return P.active_posts(posts(spark, d, tags))
 
 
 def filtered(spark, d):
     """The analysis set: active posts (the sampled frame) -> rating -> tags -> blocklist."""
-    return P.filter_posts(active(spark, d), rating=RATING)
+    return P.filter_posts(active(spark, d, GENERAL), rating=RATING)
 
 
 def analysis_set(spark, d):
@@ -73,7 +74,7 @@ def analysis_set(spark, d):
 
 
 def scored(spark, d):
-    return S.with_score_per_hour(active(spark, d))
+    return S.with_score_per_hour(active(spark, d, ()))
 
 
 def graph(spark, d, method="pmi", cap=None):
@@ -116,23 +117,23 @@ def q_active_posts(spark, d):
 
 
 def q_rating_filter(spark, d):
-    return P.rating_filter(active(spark, d), RATING).select("id", "rating")
+    return P.rating_filter(active(spark, d, ()), RATING).select("id", "rating")
 
 
 def q_rating_distribution(spark, d):
-    return P.rating_distribution(active(spark, d))
+    return P.rating_distribution(active(spark, d, ()))
 
 
 def q_filter_rate(spark, d):
-    return P.filter_rate(posts(spark, d)).select("kept", "total", r9("rate").alias("rate"))
+    return P.filter_rate(posts(spark, d, ())).select("kept", "total", r9("rate").alias("rate"))
 
 
 def q_first_n(spark, d):
-    return P.first_n(posts(spark, d), FIRST_N).select("id", "score")
+    return P.first_n(posts(spark, d, ()), FIRST_N).select("id", "score")
 
 
 def q_score_range(spark, d):
-    return P.score_range(active(spark, d))
+    return P.score_range(active(spark, d, ()))
 
 
 def q_parse_tags(spark, d):
@@ -140,16 +141,16 @@ def q_parse_tags(spark, d):
 
 
 def q_blocklist_filter(spark, d):
-    f = P.filter_posts(active(spark, d), rating=RATING, blocklist=FIXTURE_BLOCKLIST)
+    f = P.filter_posts(active(spark, d, GENERAL), rating=RATING, blocklist=FIXTURE_BLOCKLIST)
     return f.select("post_id")
 
 
 def q_blocked_count(spark, d):
-    return P.blocked_count(active(spark, d), RATING, FIXTURE_BLOCKLIST)
+    return P.blocked_count(active(spark, d, GENERAL), RATING, FIXTURE_BLOCKLIST)
 
 
 def q_stop_tag_filter(spark, d):
-    f = P.filter_posts(active(spark, d), rating=RATING, stop_tags=FIXTURE_STOP_TAGS)
+    f = P.filter_posts(active(spark, d, GENERAL), rating=RATING, stop_tags=FIXTURE_STOP_TAGS)
     return f.select("post_id", F.size("tags").alias("n_tags"), joined("tags").alias("tags"))
 
 
@@ -178,13 +179,13 @@ def q_rebased_sample(spark, d):
 
 
 def q_random_n(spark, d):
-    return S.random_n(active(spark, d), RANDOM_N).select("id", "score")
+    return S.random_n(active(spark, d, ()), RANDOM_N).select("id", "score")
 
 
 def q_random_n_spread(spark, d):
     """K5: what makes a sample random: its size, distinct ids, no id from outside, a fair share of every tenth of
     the ids, and another set for another seed. The oracle states what must come out, not how it is drawn."""
-    a = active(spark, d).select("id", "score")
+    a = materialize(active(spark, d, ()).select("id", "score"), "active")
     one, two = S.random_n(a, RANDOM_N).select("id"), S.random_n(a, RANDOM_N, 7).select("id")
     cuts = a.select(F.percentile_approx("id", [k / 10 for k in range(1, 10)])).scalar()
     tenth = F.size(F.filter("cuts", lambda x: x < F.col("id")))
@@ -200,7 +201,7 @@ def q_random_n_spread(spark, d):
 def q_parse_tags_whitespace(spark, d):
     """Tabs and line breaks around tags are stripped like blanks."""
     messy = F.concat(F.lit("\n\t"), F.replace("general", F.lit(","), F.lit(" ,\t")), F.lit(" \n"))
-    return active(spark, d).withColumn("general", messy).select(
+    return active(spark, d, GENERAL).withColumn("general", messy).select(
         "id", joined(parse_tag_list("general")).alias("tags"), joined(split_comma_tags("general")).alias("comma_tags"))
 
 
@@ -209,7 +210,7 @@ def q_created_lenient(spark, d):
     c = F.col("created_at")
     forms = F.when(F.col("id") % 4 == 0, F.substring(c, 1, 10)).when(F.col("id") % 4 == 1, F.lit("no time")).when(
         F.col("id") % 4 == 2, F.concat(F.substring(c, 1, 19), F.lit("Z"))).otherwise(c)
-    return active(spark, d).select("id", F.unix_seconds(parse_created_lenient(forms)).alias("seconds"))
+    return active(spark, d, ()).select("id", F.unix_seconds(parse_created_lenient(forms)).alias("seconds"))
 
 
 def q_sample_stats(spark, d):

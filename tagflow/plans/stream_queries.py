@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import clusters as C
 from ..operators import community as CM
+from ..operators.common import row_count
+from ..session import materialize
 from ..sources import adapters
 from ..streaming import ingest as ST
 from . import queries as Q
 
 
+FILES = 3
+
+
 def q_incremental_ingest(spark, d):
-    """Posts staged as 4 files, drained one file per micro-batch into a parquet sink."""
+    """Posts staged as files, drained three files a micro-batch into a parquet sink."""
     src, sink, ck = (ST.shared_dir(spark, x) for x in ("src", "ingest", "ck"))
     ST.stage_post_files(adapters.posts(spark, d), src)
-    ST.ingest_active(spark, src, sink, ck)
+    ST.ingest_active(spark, src, sink, ck, FILES)
     return spark.read.parquet(sink)
 
 
@@ -23,8 +29,8 @@ def q_streaming_tag_counts(spark, d):
     """Maintained tag counts over the same file stream (final state)."""
     src, sink, ck = (ST.shared_dir(spark, x) for x in ("src", "counts", "ck"))
     ST.stage_post_files(adapters.posts(spark, d), src)
-    ST.maintain_tag_counts(spark, src, sink, ck)
-    return spark.read.parquet(sink)
+    ST.maintain_tag_counts(spark, src, sink, ck, FILES)
+    return ST.read_tag_counts(spark, sink)
 
 
 def _graph_edges(spark, d):
@@ -51,4 +57,30 @@ def q_communities_lp(spark, d):
     return CM.number_clusters(CM.label_propagation(m))
 
 
+def _invariants(spark, d, detect):
+    """What any community detection must give: each node of the graph once, connected communities, a
+    modularity no lower than that of the fixed map, and cluster ids by size, then first tag."""
+    vocab, m = _graph_edges(spark, d)
+    found = materialize(CM.number_clusters(detect(m)), "communities")
+    nodes = m.select(F.col("src").alias("tag")).union(m.select("dst")).distinct()
+    parts = CM.split_disconnected(m.select("src", "dst", "weight"), found.select(F.col("tag").alias("node"), F.col("cluster_id").alias("comm")))
+    fixed = CM.modularity(m, C.fixed_cluster_map(nodes, Q.N_FIXED_CLUSTERS)).select("modularity").scalar()
+    sizes = found.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.min("tag").alias("first_tag"))
+    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("size").desc(), "first_tag")) - 1)
+    return found.agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("tag").alias("distinct_nodes")).select(
+        "nodes", "distinct_nodes", row_count(nodes.join(found, "tag", "left_anti")).alias("missing"),
+        (row_count(parts.select("comm").distinct()) == row_count(sizes)).alias("connected"),
+        (CM.modularity(m, found).select("modularity").scalar() >= fixed - F.lit(1e-9)).alias("no_worse_than_fixed"),
+        (row_count(ranked.where(F.col("rank") != F.col("cluster_id"))) == 0).alias("numbered"))
+
+
+def q_communities_louvain_invariants(spark, d):
+    return _invariants(spark, d, CM.louvain)
+
+
+def q_communities_lp_invariants(spark, d):
+    """Label propagation doesn't maximise modularity; the rest must hold."""
+    return _invariants(spark, d, CM.label_propagation).drop("no_worse_than_fixed")
+
+
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)}

@@ -11,6 +11,8 @@ pages            the raw `pages` table (html per url)
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ POST_COLUMNS = ["id", "created_at", "score", "rating", "is_deleted", "is_banned"
 TAG_TYPES = ["general", "character", "copyright", "artist", "meta"]
 
 
-def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def posts(spark: SparkSession, sf_dir: str, tag_columns: Iterable[str] = TAG_TYPES) -> DataFrame:
     """Posts with comma-joined tag lists.
 
     id = o_orderkey; created_at = o_orderdate + (id % 24) h as ISO-8601 with ms and offset;
@@ -34,22 +36,35 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     Plan: lineitem joins part and supplier on their keys (sizes left to AQE's checked
     broadcast threshold), one aggregation on l_orderkey collects the <= 7 lines of an order,
     and the join with orders reuses that hash partitioning.
+
+    tag_columns: the tag lists to build. Only what they need is read, joined and shuffled; without any
+    an order needs a line, no more (a semi join).
     """
-    li = read_table(spark, sf_dir, "lineitem",
-                    ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"])
-    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_type"])
-    supp = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name"])
-    lines = (li.join(part, li.l_partkey == part.p_partkey)
-               .join(supp, li.l_suppkey == supp.s_suppkey))
-    per_order = lines.groupBy("l_orderkey").agg(
-        F.sort_array(F.collect_list(F.struct(
-            "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus",
-            "p_name", "p_brand", "p_type", "s_name"))).alias("ls"))
+    wanted = [t for t in TAG_TYPES if t in set(tag_columns)]
+    field = {"general": "p_name", "character": "p_brand", "copyright": "p_type", "artist": "s_name"}
+    of_part = [field[t] for t in wanted if t in field and t != "artist"]
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority"])
-    j = orders.join(per_order, orders.o_orderkey == per_order.l_orderkey)
-
-    def joined(field: str) -> Column:
-        return F.array_join(F.transform("ls", lambda x: x[field]), ",")
+    if wanted:
+        lines = read_table(spark, sf_dir, "lineitem", ["l_orderkey", *order])
+        if of_part:
+            part = read_table(spark, sf_dir, "part", ["p_partkey", *of_part])
+            lines = lines.join(part, lines.l_partkey == part.p_partkey)
+        if "artist" in wanted:
+            supp = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name"])
+            lines = lines.join(supp, lines.l_suppkey == supp.s_suppkey)
+        lists = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(
+            *order, *of_part, *(["s_name"] if "artist" in wanted else [])))).alias("ls"))
+        j = orders.join(lists, orders.o_orderkey == lists.l_orderkey)
+    else:
+        lines = read_table(spark, sf_dir, "lineitem", ["l_orderkey"])
+        j = orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left_semi")
+
+    def tags(name: str) -> Column:
+        if name == "meta":
+            pairs = F.transform("ls", lambda x: F.concat(x["l_returnflag"], F.lit(" "), x["l_linestatus"]))
+            return F.when((F.col("o_orderkey") % 70) == 0, F.lit(None).cast("string")).otherwise(F.array_join(pairs, ","))
+        return F.array_join(F.transform("ls", lambda x: x[field[name]]), ",")
 
     created = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 24).cast("int"))
     prio = F.substring("o_orderpriority", 1, 1)
@@ -60,14 +75,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(prio == "1", "g").when(prio == "2", "s").when(prio == "3", "q").otherwise("e").alias("rating"),
         ((F.col("o_orderkey") % 10) == 0).alias("is_deleted"),
         ((F.col("o_orderkey") % 83) == 0).alias("is_banned"),
-        joined("p_name").alias("general"),
-        joined("p_brand").alias("character"),
-        joined("p_type").alias("copyright"),
-        joined("s_name").alias("artist"),
-        F.when((F.col("o_orderkey") % 70) == 0, F.lit(None).cast("string"))
-         .otherwise(F.array_join(F.transform("ls", lambda x: F.concat(x["l_returnflag"], F.lit(" "), x["l_linestatus"])), ","))
-         .alias("meta"),
-    )
+        *[tags(t).alias(t) for t in wanted])
 
 
 def wiki(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,17 +28,21 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/tagflow-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage_post_files(posts: DataFrame, path: str, n_files: int = 4) -> None:
-    """Write posts as n_files parquet files (split by id % n_files) to feed a stream."""
-    (posts.repartition(n_files, F.pmod(F.col("id"), F.lit(n_files)))
-          .write.mode("append").parquet(path))
+def stage_post_files(posts: DataFrame, path: str) -> None:
+    """Write posts as parquet files, one for each shuffle partition, to feed a stream."""
+    n = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posts.repartition(n, "id").write.mode("append").parquet(path)
 
 
-def post_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(POST_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path))
+def post_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """files_per_trigger None: a batch takes all files there are."""
+    reader = spark.readStream.schema(POST_SCHEMA)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path)
 
 
-def ingest_active(spark: SparkSession, source: str, sink: str, checkpoint: str, files_per_trigger: int = 1):
+def ingest_active(spark: SparkSession, source: str, sink: str, checkpoint: str, files_per_trigger: int | None = None):
     """F1 + F2 over newly arrived files into a parquet sink; restartable from checkpoint."""
     q = (post_stream(spark, source, files_per_trigger).filter(active_predicate()).select(*KEEP)
          .writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
@@ -47,16 +51,24 @@ def ingest_active(spark: SparkSession, source: str, sink: str, checkpoint: str,
     return q
 
 
-def maintain_tag_counts(spark: SparkSession, source: str, sink: str, checkpoint: str, files_per_trigger: int = 1):
-    """Running (tag_type, tag) counts of active posts. The state is bounded by the distinct
-    tags; each micro-batch rewrites the count table from the executors (no driver collect)."""
+def maintain_tag_counts(spark: SparkSession, source: str, sink: str, checkpoint: str, files_per_trigger: int | None = None):
+    """Running (tag_type, tag) counts of active posts. The state is bounded by the distinct tags.
+
+    A batch writes the counts it changed to a folder of its epoch, which a retried batch writes anew;
+    what readers have seen is never overwritten. ``read_tag_counts`` takes the latest of each tag."""
     counts = (post_stream(spark, source, files_per_trigger).filter(active_predicate())
               .transform(long_tags).groupBy("tag", "tag_type").agg(F.count(F.lit(1)).alias("count")))
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
+        batch.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
 
-    q = (counts.writeStream.outputMode("complete").foreachBatch(write)
+    q = (counts.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
+
+
+def read_tag_counts(spark: SparkSession, sink: str) -> DataFrame:
+    """The current counts: of each tag the count of its latest epoch."""
+    every = spark.read.parquet(sink)
+    return every.groupBy("tag", "tag_type").agg(F.max_by("count", "epoch").alias("count"))
