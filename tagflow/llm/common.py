@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +58,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_KEPT: dict[Any, Any] = {}
+
+
+def kept_object(key: Any, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: one object, such as a compiled vocabulary with its memory of words."""
+    many_objects()
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def keep_nothing() -> None:
+    """For tasks of other operators: workers serve all of them, and an idle one holds on to what it has."""
+    many_objects()
+    _KEPT.clear()
+
+
 def many_objects() -> None:
     """For workers that keep large tables without cycles: look for cyclic garbage rarely."""
     gc.set_threshold(1_000_000, 50, 1000)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from .common import documents, pick, workers_ready
+from .common import documents, keep_nothing, pick, workers_ready
 from .fm_index import GAP, FMIndex
 
 WINDOW = 10
@@ -165,7 +165,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
         F.coalesce(F.col("item").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + 16)).collect()[0][0] or 0
     n_blocks = -(-int(total) // BLOCK_BYTES)
-    # one block at a time passes the driver and is held by a task; a block that hashing made too large is split again
+    # one block at a time passes the driver and is held by a task; hashing makes them about equal
     blocks = []
     for k in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k)
@@ -176,6 +176,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         one: list[Phrases] = []
         for shard in shards(batches, text_at):
             texts = shard.column(text_at).to_pylist()

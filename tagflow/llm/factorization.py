@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Terms whose factors are in memory at once.
+BLOCK = 250_000
+
 
 class FactorizationMachine:
     def __init__(self, buckets: int, factors: int = 8, seed: int = 7):
@@ -24,10 +27,18 @@ class FactorizationMachine:
 
     def raw(self, terms: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """z of each document, and the sums of its factors. terms: the known buckets, one document after another."""
-        v = self.factors[terms]
-        sums = self._sums(v, ends)
-        pairs = 0.5 * ((sums ** 2).sum(axis=1) - self._sums((v ** 2).sum(axis=1), ends))
-        return self.bias + self._sums(self.linear[terms], ends) + pairs, sums
+        z, sums = np.empty(len(ends)), np.empty((len(ends), self.factors.shape[1]))
+        at = 0
+        while at < len(ends):  # runs of documents with about BLOCK terms, one at least
+            begin = int(ends[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, begin + BLOCK, side="right")))
+            some, own = terms[begin:int(ends[end - 1])], ends[at:end] - begin
+            v = self.factors[some]
+            sums[at:end] = self._sums(v, own)
+            pairs = 0.5 * ((sums[at:end] ** 2).sum(axis=1) - self._sums((v ** 2).sum(axis=1), own))
+            z[at:end] = self.bias + self._sums(self.linear[some], own) + pairs
+            at = end
+        return z, sums
 
     def scores(self, terms: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.raw(terms, ends)[0], -40, 40)))

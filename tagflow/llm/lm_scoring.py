@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import state_path
-from .common import documents, many_objects, partitions, pick, slices, workers_ready
+from .common import documents, keep_nothing, partitions, pick, slices, workers_ready
 from .decontamination import words_of
 
 ORDER, ALPHA = 2, 0.4
@@ -127,13 +127,13 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id
     spark = docs.sparkSession
     workers_ready(spark)
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    ranges = RANGES[0]
-    while ranges < RANGES[1] and ranges * PER_RANGE < rows.count():
+    ranges, n_docs = RANGES[0], rows.count()
+    while ranges < RANGES[1] and ranges * PER_RANGE < n_docs:
         ranges *= 2
     shift = np.uint64(64 - (ranges.bit_length() - 1))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many_objects()
+        keep_nothing()
         known = WordHashes()
         for number, part in numbered_slices(batches):
             grams = Grams(part.column(1).to_pylist(), order, known)

@@ -21,9 +21,9 @@ _ABSENT = object()
 class Recent(dict):
     """Values by key, made when missing; when the younger half is full, the older one is forgotten."""
 
-    def __init__(self, make: Callable[[str], Any]):
+    def __init__(self, make: Callable[[str], Any], remembered: int = REMEMBERED):
         super().__init__()
-        self.make = make
+        self.make, self.remembered = make, remembered
         self.old: dict[str, Any] = {}
 
     def __missing__(self, key: str) -> Any:
@@ -35,7 +35,7 @@ class Recent(dict):
 
     def put(self, key: str, value: Any) -> None:
         if len(key) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.remembered:
                 self.old = dict(self)
                 self.clear()
             self[key] = value

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import state_path
-from .common import arrow_rows, column, documents, pick, slices, unused, workers_ready
+from .common import arrow_rows, column, documents, keep_nothing, pick, slices, unused, workers_ready
 from .components import components
 
 SHINGLE, DISTANCE, SEED, SEGMENTS = 3, 2, 42, 2
@@ -73,6 +73,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, text
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         for part in slices(batches):
             fps = np.array([simhash(t, shingle, seed) for t in part.column(at).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)) if i == at else c for i, c in enumerate(part.columns)],

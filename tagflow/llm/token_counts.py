@@ -24,11 +24,10 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, many_objects, pick, slices, workers_ready
+from .common import documents, kept_object, pick, slices, workers_ready
 from .pretokens import Pieces, Recent
 
 LIMIT = 512
@@ -133,18 +132,6 @@ class Counter:
         return len(parts) - 1 + sum(sum(self.pieces.of_text(p)) for p in parts if p)
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
-def counter_for(key: str, table: Broadcast) -> Counter:
-    """A worker keeps the counter of one vocabulary, with the pieces it has seen, from task to task."""
-    if key not in _COUNTERS:
-        many_objects()
-        _COUNTERS.clear()
-        _COUNTERS[key] = Counter(table.value)
-    return _COUNTERS[key]
-
-
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of each text, by the tokenizers file at path."""
@@ -152,10 +139,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
     workers_ready(spark)
     table = spark.sparkContext.broadcast(vocabulary(path))
     rows = pick(docs, doc_id=id_col, text=text_col)
-    key = path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = counter_for(key, table)
+        counter = kept_object(("counts", path), lambda: Counter(table.value))
         for part in slices(batches):
             counts = [counter(t) if t else 0 for t in part.column(1).to_pylist()]
             sizes = [x or 0 for x in pc.binary_length(part.column(1)).to_pylist()]

@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import state_path
-from .common import documents, many_objects, partitions, pick, slices, workers_ready
+from .common import documents, kept_object, partitions, pick, slices, workers_ready
 from .pretokens import WordIds
 from .token_counts import byte_letters
 
@@ -85,17 +85,6 @@ class IdsOfTexts(WordIds):
         return array(self.kind, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
 
-_IDS: dict[str, IdsOfTexts] = {}
-
-
-def ids_of_texts(path: str) -> IdsOfTexts:
-    if path not in _IDS:
-        many_objects()
-        _IDS.clear()
-        _IDS[path] = IdsOfTexts(path)
-    return _IDS[path]
-
-
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
     """Write the files and their manifest (folder/manifest); return the manifest."""
@@ -112,7 +101,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END
         context = TaskContext.get()
         system, there = file_system(folder)
         name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}"
-        encoder = ids_of_texts(path)
+        encoder = kept_object(("ids", path), lambda: IdsOfTexts(path))
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         width = np.dtype(encoder.dtype).itemsize
         lengths: list[int] = []

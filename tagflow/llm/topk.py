@@ -13,8 +13,9 @@ whose bound isn't beyond it, which leaves nothing out. Queries travel in blocks
 is a small matrix product, and a task returns a query's k best of each visit.
 
 Pivots come from a bounded sample; every vector is indexed, and the result is exact whatever they
-are. Scores are computed on the integers. Broadcast: the pivots and the bounds of cells are small
-(pivots x dimension; a row for each cell); cells meet query blocks in a shuffle.
+are. Scores are computed on the integers. Tasks get the pivots (pivots x dimension numbers) and
+nothing else that isn't dealt out: the bounds of cells travel CHUNK to a row and meet every query
+block, and a cell meets only the blocks that visit it.
 
 Defined cases: a null id takes no part; of rows with one id the smallest vector counts; vectors that
 are null or hold null or non-finite components take no part; shorter vectors are filled with zeros;

@@ -33,14 +33,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from .common import documents, many_objects, pick, slices, workers_ready
+from .common import documents, keep_nothing, pick, slices, workers_ready
 from .decontamination import words_of
 from .factorization import FactorizationMachine
 from .pretokens import Recent
 
-BUCKETS, SAMPLE, MAX_TERMS = 1 << 18, 8_000, 12_000_000
+BUCKETS, SAMPLE, MAX_TERMS = 1 << 18, 4_000, 6_000_000
 SIGNIFICANT, LEAST_TEXTS, THRESHOLD = 4.0, 3, 0.7
 PIECE = 5
+#: Words that a worker remembers.
+WORDS = 100_000
 
 
 def term_buckets(word: bytes, buckets: int = BUCKETS) -> list[int]:
@@ -65,7 +67,8 @@ def training_terms(docs: DataFrame, labels: DataFrame, sample: int, max_terms: i
     texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Recent(lambda w: term_buckets(w.encode("latin-1")))
+        keep_nothing()
+        known = Recent(lambda w: term_buckets(w.encode("latin-1")), WORDS)
         for part in slices(batches, 64):
             terms = []
             for text in part.column(2).to_pylist():
@@ -120,9 +123,9 @@ def score(docs: DataFrame, machine: FactorizationMachine, known: np.ndarray, tex
     model = spark.sparkContext.broadcast((small, place, len(known)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many_objects()
+        keep_nothing()
         fm, places, buckets = model.value
-        words = Recent(lambda w: tuple(sorted({places[b] for b in term_buckets(w.encode("latin-1"), buckets) if b in places})))
+        words = Recent(lambda w: tuple(sorted({places[b] for b in term_buckets(w.encode("latin-1"), buckets) if b in places})), WORDS)
         for part in slices(batches):
             found, ends = [], []
             for text in part.column(at).to_pylist():
