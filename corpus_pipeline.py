@@ -57,7 +57,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(bpe.RANKS)
-    back = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    back = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), path)
     return back.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -2,7 +2,7 @@
 
 ``encode`` gives each text's token ids: the text is split by the pattern, and each match goes
 through the transducer. ``decode`` turns ids back into text by an incremental UTF-8 state machine.
-Both run in Arrow batches without a shuffle; a worker keeps the compiled vocabulary and the pieces
+``encode_decode`` does both in one pass. They run in Arrow batches without a shuffle; a worker keeps the compiled vocabulary and the pieces
 it has seen from task to task, in bounded memory.
 
 Defined cases: a null text encodes as an empty one (no ids); special strings inside a text are
@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_transducer import Ranks, Transducer, Utf8Stream
-from .common import documents, many_objects, slices, workers_ready
+from .common import documents, keep_nothing, kept_object, slices, workers_ready
 from .pretokens import WordIds
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Words whose ids a worker keeps in the younger half of its memory.
-WORDS = 250_000
+WORDS = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,33 +47,20 @@ class Encoder(WordIds):
         return array("i", self.transducer.encode(text.encode())).tobytes()
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
-def encoder_for(key: tuple, table) -> Encoder:
-    """A worker keeps one compiled vocabulary from task to task."""
-    if key not in _ENCODERS:
-        many_objects()
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(table.value, key[1])
-    return _ENCODERS[key]
-
-
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text_col: str = "text",
            ids_col: str = "ids") -> DataFrame:
     """docs with the text column replaced by ids_col, the token ids of each text."""
     spark = docs.sparkSession
     workers_ready(spark)
     table = spark.sparkContext.broadcast(read_ranks(path))  # a vocabulary
-    key = (path, pattern)
+    key = ("bpe", path, pattern)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(key, table)
+        encoder = kept_object(key, lambda: Encoder(table.value, pattern))
         for part in slices(batches):
             data = encoder.batch([t or "" for t in part.column(at).to_pylist()])
-            ends = np.cumsum([0, *map(len, data)]) // 4
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(data), dtype=np.int32)))
+            ids = id_lists(data)
             yield pa.RecordBatch.from_arrays([ids if i == at else c for i, c in enumerate(part.columns)],
                                              [ids_col if i == at else c for i, c in enumerate(part.schema.names)])
 
@@ -90,6 +77,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         stream = Utf8Stream({n: b for b, n in table.value.items()})
         for part in slices(batches):
             texts = [None if x is None else stream.feed(x) + stream.end() for x in part.column(at).to_pylist()]
@@ -100,9 +88,38 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     return encoded.mapInArrow(run, f"{schema}, `{out_col}` string")
 
 
+def encode_decode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text_col: str = "text",
+                  ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """docs with the text column replaced by ids_col, and out_col, the text decoded from these ids; in one pass."""
+    spark = docs.sparkSession
+    workers_ready(spark)
+    table = spark.sparkContext.broadcast(read_ranks(path))
+    key = ("bpe", path, pattern)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = kept_object(key, lambda: Encoder(table.value, pattern))
+        stream = Utf8Stream(encoder.table.bytes_of)
+        for part in slices(batches):
+            data = encoder.batch([t or "" for t in part.column(at).to_pylist()])
+            ids = id_lists(data)
+            texts = pa.array([stream.feed(np.frombuffer(x, dtype=np.int32).tolist()) + stream.end() for x in data], pa.string())
+            yield pa.RecordBatch.from_arrays([*(ids if i == at else c for i, c in enumerate(part.columns)), texts],
+                                             [*(ids_col if i == at else c for i, c in enumerate(part.schema.names)), out_col])
+
+    schema = ", ".join(f"`{ids_col}` array<int>" if i == at else f"`{f.name}` {f.dataType.simpleString()}"
+                       for i, f in enumerate(docs.schema.fields))
+    return docs.mapInArrow(run, f"{schema}, `{out_col}` string")
+
+
+def id_lists(data: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, data)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(data), dtype=np.int32)))
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of texts (columns doc_id and text)."""
-    back = decode(encode(docs.select("doc_id", "text"), path), path)
+    back = encode_decode(docs.select("doc_id", "text"), path)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

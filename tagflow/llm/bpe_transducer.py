@@ -75,7 +75,8 @@ class Transducer:
         self.neighbours: dict[int, bool] = {}
         self.number: dict[tuple[int, ...], int] = {(0,): 0}
         self.state: list[tuple[int, ...]] = [(0,)]  # nodes of the places that are alive, the earliest place first
-        self.step: list[dict[int, tuple[int, list[tuple[int, int]]]]] = [{}]  # by byte: state, tokens that can end and their lengths
+        # by byte: the next state, tokens that can end there with their lengths, and the one left if none of these fits
+        self.step: list[dict[int, tuple[int, list[tuple[int, int]], int, int]]] = [{}]
 
     def together(self, a: int, b: int) -> bool:
         """Whether token b may follow token a."""
@@ -104,7 +105,7 @@ class Transducer:
             else:
                 return True
 
-    def make(self, n: int, byte: int) -> tuple[int, list[tuple[int, int]]]:
+    def make(self, n: int, byte: int) -> tuple[int, list[tuple[int, int]], int, int]:
         """The step from state n: each place's node goes on, and a new place begins."""
         reached = [self.trie[node][byte] for node in self.state[n] if byte in self.trie[node]]
         alive = (*(node for node in reached if self.trie[node]), 0)
@@ -115,7 +116,7 @@ class Transducer:
         ending = [(self.ends[node], self.depth[node]) for node in reached if self.ends[node] != NONE]
         if not ending:
             raise ValueError("the vocabulary has a byte that is no token")
-        made = self.step[n][byte] = (to, ending)
+        made = self.step[n][byte] = (to, ending[:-1], *ending[-1])
         return made
 
     def encode(self, data: bytes) -> list[int]:
@@ -132,19 +133,24 @@ class Transducer:
             got = steps[at].get(byte)
             if got is None:
                 got = self.make(at, byte)
-            at, ending = got
-            for token, length in ending:
-                pair = last[i - length] << 32 | token
-                fits = known(pair)
-                if fits or fits is None and together(last[i - length], token):
+            at, trying, token, length = got  # exactly one token fits, so the last needs no test
+            for t, n in trying:
+                before = last[i - n]
+                fits = known(before << 32 | t)
+                if fits or fits is None and together(before, t):
+                    token, length = t, n
                     break
             last.append(token)
             spans.append(length)
             if i >= WINDOW:
                 self.emit(out, last, spans, [i - self.depth[node] for node in self.state[at]])
                 i = len(last) - 1
-        self.emit(out, last, spans, [i])
-        return out
+        settled = []
+        while i:
+            settled.append(last[i])
+            i -= spans[i]
+        settled.reverse()
+        return out + settled if out else settled
 
     @staticmethod
     def emit(out: list[int], last: list[int], spans: list[int], alive: list[int]) -> None:
@@ -174,22 +180,35 @@ class Utf8Stream:
         self.bytes_of = bytes_of
         self.steps: dict[bytes, dict[int, tuple[str, bytes]]] = {b"": {}}
         self.pending = b""
+        self.whole: dict[int, str] = {}  # of steps that begin and end between characters
 
     def make(self, state: bytes, token: int) -> tuple[str, bytes]:
         data = state + self.bytes_of[token]
         text, used = codecs.utf_8_decode(data, "replace", False)
         self.steps.setdefault(data[used:], {})
         made = self.steps[state][token] = (text, data[used:])
+        if not state and not data[used:]:
+            self.whole[token] = text
         return made
 
     def feed(self, tokens: list[int]) -> str:
-        state, steps, out = self.pending, self.steps, []
-        for t in tokens:
-            got = steps[state].get(t)
-            if got is None:
-                got = self.make(state, t)
-            out.append(got[0])
-            state = got[1]
+        state, steps = self.pending, self.steps
+        # steps between whole characters, all at once; the others one by one
+        out: list = [None] * len(tokens) if state else list(map(self.whole.get, tokens))
+        at = -1
+        for _ in range(out.count(None)):
+            try:
+                at = out.index(None, at + 1)
+            except ValueError:
+                break
+            while True:
+                got = steps[state].get(tokens[at])
+                if got is None:
+                    got = self.make(state, tokens[at])
+                out[at], state = got
+                if not state or at + 1 == len(tokens):
+                    break
+                at += 1
         self.pending = state
         return "".join(out)
 

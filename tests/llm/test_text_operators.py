@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -43,6 +44,39 @@ def test_permutation_is_reproducible(spark, n):
         assert pairs(sharding.feistel_shards(docs, seed=3)) != one
 
 
+def spark_hash(*values):
+    """XXH64 as Spark chains it over columns: ints in 4 bytes, longs in 8, nulls leave it as it is."""
+    h = 42
+    for kind, v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(struct.pack(kind, v), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_places_are_those_of_a_plain_permutation(spark):
+    docs = awkward_docs(spark)
+    rows = [(d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in docs.select("doc_id", "text").collect()]
+    rows.sort(key=lambda r: (spark_hash(("<q", r[0]), ("<q", r[1]), ("<q", r[2])) % sharding.BUCKETS, r[0] is not None, r[0] or 0, r[1], r[2]))
+    n = len(rows)
+    a = math.ceil(math.sqrt(n))
+    b = -(-n // a)
+
+    def permute(x):
+        u, v = divmod(x, b)
+        for k in range(8):
+            m = b if k % 2 else a
+            u, v = v, (u + spark_hash(("<i", 20_240_611), ("<i", k), ("<q", v)) % m) % m
+        return u * b + v
+
+    want = []
+    for k, row in enumerate(rows):
+        at = permute(k)
+        while at >= n:
+            at = permute(at)
+        want.append((*row, k, at, at % 16, at // 16))
+    assert pairs(sharding.feistel_shards(docs)) == sorted(want, key=repr)
+
+
 def test_many_copies_of_a_row(spark):
     docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same").alias("text"))
     rows = sharding.feistel_shards(docs, shards=2).collect()

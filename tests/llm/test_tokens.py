@@ -93,6 +93,9 @@ def test_digests_are_those_of_the_library(spark, tik):
         want.append((d, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
                      hashlib.sha256((t or "").encode()).hexdigest()))
     assert pairs(bpe.digests(docs, RANKS)) == sorted(want, key=repr)
+    slim = docs.select("row", "text")
+    apart = bpe.decode(bpe.encode(slim, RANKS), RANKS)
+    assert pairs(apart, "row", "ids", "decoded") == pairs(bpe.encode_decode(slim, RANKS), "row", "ids", "decoded")
 
 
 def test_transducer_equals_merging(tik):
