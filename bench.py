@@ -31,7 +31,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     from tagflow.plans.registry import all_queries
-    from tagflow.session import get_session
+    from tagflow.session import clear_state, get_session
 
     spark = get_session(f"local[{cpus}]", int(cpus) * 2,
                         extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
@@ -42,6 +42,7 @@ def main() -> None:
         t0 = time.perf_counter()
         qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
+        clear_state(spark)
     t0 = time.perf_counter()
     n_items = qs["page_items"](spark, sf_dir).count()
     items_sec = time.perf_counter() - t0
@@ -51,6 +52,7 @@ def main() -> None:
         "queries": times, "sf": sf, "cpus": int(cpus),
         "hierarchy_items": n_items, "hierarchy_items_per_sec": round(n_items / items_sec, 1) if items_sec else None,
     }))
+    clear_state(spark)
     spark.stop()
 
 

@@ -76,8 +76,17 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def state_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tagflow-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared checkpoint folder; ``clear_state`` knows it."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tagflow-{name}-{uuid.uuid4().hex}"
+    spark.sparkContext.__dict__.setdefault("_tagflow_states", []).append(path)
+    return path
+
+
+def clear_state(spark: SparkSession) -> None:
+    """Delete the state tables this session has written. DataFrames that still read them become unusable."""
+    paths = spark.sparkContext.__dict__.get("_tagflow_states", [])
+    while paths:
+        drop_state(spark, paths.pop())
 
 
 def drop_state(spark: SparkSession, path: str) -> None:
@@ -85,6 +94,9 @@ def drop_state(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    paths = spark.sparkContext.__dict__.get("_tagflow_states", [])
+    if path in paths:
+        paths.remove(path)
 
 
 def materialize(df: DataFrame, name: str = "state") -> DataFrame:

@@ -10,8 +10,9 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from tagflow.session import get_session
+    from tagflow.session import clear_state, get_session
 
     s = get_session("local[4]", 4, extra={"spark.driver.memory": "6g"})
     yield s
+    clear_state(s)
     s.stop()

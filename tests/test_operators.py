@@ -106,3 +106,17 @@ def test_sample_labels(spark):
     assert len(rows) == 35 and {r["rank"] for r in rows if r["sample_size"] == 5} == set(range(1, 6))
     assert [r["id"] for r in rows if r["sample_size"] == 5 and r["rank"] == 1] == [29]
     assert top_n_sizes(scored, [99]).count() == 0
+
+
+def test_state_is_deleted_on_request(spark):
+    import os
+    from urllib.parse import urlparse
+
+    from tagflow.session import drop_state, materialize, state_path
+
+    path = state_path(spark, "test")
+    spark.range(3).write.parquet(path)
+    assert path in spark.sparkContext._tagflow_states and os.path.exists(urlparse(path).path)
+    drop_state(spark, path)
+    assert path not in spark.sparkContext._tagflow_states and not os.path.exists(urlparse(path).path)
+    assert materialize(spark.range(3)).count() == 3
