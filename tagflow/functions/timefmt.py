@@ -14,13 +14,8 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def parse_created(col) -> Column:
-    """Strict parse to an instant (TimestampType)."""
-    return F.to_timestamp(_c(col), ISO_MS_OFFSET)
-
-
 def parse_created_lenient(col) -> Column:
-    """Lenient fallback -- null instead of an error, then Spark's default ISO parser."""
+    """The fixed format, else Spark's ISO parser, else null; no value is an error."""
     c = _c(col)
     return F.coalesce(F.try_to_timestamp(c, F.lit(ISO_MS_OFFSET)), F.try_to_timestamp(c))
 

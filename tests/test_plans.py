@@ -5,6 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from tagflow.operators import clusters as C
 from tagflow.operators import hierarchy as H
 from tagflow.plans import genre, hierarchy_run, sampling
 from tagflow.sources import adapters
@@ -22,7 +23,14 @@ def test_genre_pipeline_invariants_and_sinks(spark):
     assert nodes.join(tc, "tag", "left_anti").count() == 0
     assert spark.read.parquet(f"{out_dir}/genres.parquet").count() == m.count()
     assert spark.read.text(f"{out_dir}/genre_rank").count() == out["ranked"].count()
-    # lift invariant before the noise floor: sum_c cluster_posts * lift(c, t) = N for every tag
+    lines = [r["value"] for r in spark.read.text(f"{out_dir}/all_clusters").collect()]
+    assert len(lines) == out["all_clusters"].count() and lines[0].startswith("#1 Cluster ") and "examples=" in lines[0]
+    assert spark.read.text(f"{out_dir}/niche_rank").count() == out["niche"].count()
+    # before the noise floor: sum_c cluster_posts * lift(c, t) = N for every tag
+    n = out["filtered"].count()
+    lifts = C.distinctive_tags(out["filtered"], pc, k=10**6, min_cluster_tag_posts=0, min_global_posts=0)
+    sums = lifts.groupBy("tag").agg(F.sum(F.col("cluster_posts") * F.col("lift")).alias("s")).collect()
+    assert sums and all(abs(r["s"] - n) < 1e-6 * n for r in sums)
     q = out["modularity"].collect()[0]["modularity"]
     assert q is not None and -0.5 <= q <= 1.0
 
