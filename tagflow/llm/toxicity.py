@@ -7,9 +7,10 @@ weight and a vector; a pair of terms in one text adds the inner product of their
 additive model can't.
 
 Training: labelled rows of the folds that train, at most ``SAMPLE`` of each class (those with the
-smallest hash of their id) and ``MAX_TERMS`` terms in all, go to the driver as bucket numbers; texts
+smallest hash of their id) and ``MAX_TERMS`` terms in all, go to one task as bucket numbers; texts
 with the same terms count once. Buckets whose share differs between the classes by at least
-``SIGNIFICANT`` standard errors take part. The model is two arrays of the number of buckets.
+``SIGNIFICANT`` standard errors take part. The driver gets the model: a weight and a vector for each
+of these.
 
 Scoring reads every text once, in Arrow batches, without a shuffle. A worker remembers the known
 buckets of the words it has met, in bounded memory.
@@ -38,7 +39,7 @@ from .decontamination import words_of
 from .factorization import FactorizationMachine
 from .pretokens import Recent
 
-BUCKETS, SAMPLE, MAX_TERMS = 1 << 18, 4_000, 6_000_000
+BUCKETS, SAMPLE, MAX_TERMS = 1 << 18, 8_000, 12_000_000
 SIGNIFICANT, LEAST_TEXTS, THRESHOLD = 4.0, 3, 0.7
 PIECE = 5
 #: Words that a worker remembers.
@@ -56,7 +57,7 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
 
 
-def training_terms(docs: DataFrame, labels: DataFrame, sample: int, max_terms: int, label_col: str) -> list:
+def training_terms(docs: DataFrame, labels: DataFrame, sample: int, max_terms: int, label_col: str) -> DataFrame:
     """Rows (label, terms as little-endian 32-bit integers) of the bounded sample. docs: doc_id and text."""
     marked = (labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & (fold() != 1))
               .groupBy("doc_id").agg(F.max(F.col(label_col).cast("int")).alias("label")))
@@ -83,20 +84,17 @@ def training_terms(docs: DataFrame, labels: DataFrame, sample: int, max_terms: i
     # texts with the same terms once, then as many as hold max_terms in all (a window over the sample's rows)
     rows = rows.groupBy("terms").agg(F.max("label").alias("label"), F.min(order).alias("h"))
     total = F.sum(F.length("terms") / 4).over(W.orderBy("h", "terms").rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("total", total).where(F.col("total") <= max_terms).select("label", "terms").collect()
+    return rows.withColumn("total", total).where(F.col("total") <= max_terms).select("label", "terms")
 
 
-def train(rows: list, buckets: int = BUCKETS) -> tuple[FactorizationMachine, np.ndarray]:
-    """The model, and which buckets take part."""
-    known = np.zeros(buckets, dtype=bool)
-    labels = np.array([r["label"] for r in rows], dtype=np.int64)
+def train(labels: np.ndarray, terms: list[np.ndarray], buckets: int = BUCKETS) -> tuple[FactorizationMachine, np.ndarray]:
+    """The model of the buckets that take part, and these."""
+    none = FactorizationMachine(1), np.zeros(0, dtype=np.int64)
     ones = int(labels.sum())
-    machine = FactorizationMachine(buckets)
     if ones in (0, len(labels)):
-        machine.factors[:] = 0
-        machine.bias = 40.0 if ones else -40.0
-        return machine, known
-    terms = [np.frombuffer(r["terms"], dtype="<u4").astype(np.int64) for r in rows]
+        none[0].factors[:] = 0
+        none[0].bias = 40.0 if ones else -40.0
+        return none
     counts = np.zeros((2, buckets))
     for label, t in zip(labels, terms, strict=True):
         counts[label, t] += 1
@@ -104,23 +102,46 @@ def train(rows: list, buckets: int = BUCKETS) -> tuple[FactorizationMachine, np.
     odds = np.log(inside / outside)  # class 0, class 1
     error = np.sqrt((1 / inside + 1 / outside).sum(axis=0))
     known = (np.abs(odds[1] - odds[0]) >= SIGNIFICANT * error) & (counts.sum(axis=0) >= LEAST_TEXTS)
-    terms = [t[known[t]] for t in terms]
+    used = np.flatnonzero(known)
+    place = np.cumsum(known) - 1
+    terms = [place[t[known[t]]] for t in terms]
+    machine = FactorizationMachine(max(len(used), 1))
     machine.fit(np.concatenate(terms), np.cumsum([len(t) for t in terms]), labels)
-    return machine, known
+    return machine, used
 
 
-def score(docs: DataFrame, machine: FactorizationMachine, known: np.ndarray, text_col: str = "text",
+def fitted(rows: DataFrame) -> tuple[FactorizationMachine, np.ndarray]:
+    """train() on the rows of training_terms, in the task that holds them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
+        labels: list[int] = []
+        terms: list[np.ndarray] = []
+        for batch in batches:
+            labels.extend(batch.column(0).to_pylist())
+            terms.extend(np.frombuffer(t, dtype="<u4").astype(np.int64) for t in batch.column(1).to_pylist())
+        machine, used = train(np.array(labels, dtype=np.int64), terms)
+        data = [used.astype("<i8"), machine.linear.astype("<f8"), machine.factors.astype("<f8")]
+        yield pa.RecordBatch.from_arrays([pa.array([machine.bias]), *(pa.array([x.tobytes()], pa.binary()) for x in data)],
+                                         ["bias", "used", "linear", "factors"])
+
+    found = rows.coalesce(1).mapInArrow(run, "bias double, used binary, linear binary, factors binary").collect()
+    if not found:
+        return train(np.zeros(0, dtype=np.int64), [])
+    linear = np.frombuffer(found[0]["linear"], "<f8")
+    machine = FactorizationMachine(len(linear))
+    machine.bias, machine.linear = found[0]["bias"], linear
+    machine.factors = np.frombuffer(found[0]["factors"], "<f8").reshape(len(linear), -1)
+    return machine, np.frombuffer(found[0]["used"], "<i8")
+
+
+def score(docs: DataFrame, machine: FactorizationMachine, used: np.ndarray, text_col: str = "text",
           out_col: str = "score") -> DataFrame:
     """docs with out_col, between 0 and 1."""
     spark = docs.sparkSession
     workers_ready(spark)
     at = docs.columns.index(text_col)
-    # the model: buckets x (1 + factors) numbers, of which only the known buckets' are sent
-    used = np.flatnonzero(known)
-    small = FactorizationMachine(max(len(used), 1), machine.factors.shape[1])
-    small.bias, small.linear, small.factors = machine.bias, machine.linear[used], machine.factors[used]
-    place = {int(b): n for n, b in enumerate(used)}
-    model = spark.sparkContext.broadcast((small, place, len(known)))
+    # a weight and a vector for each bucket that takes part, BUCKETS at most
+    model = spark.sparkContext.broadcast((machine, {int(b): n for n, b in enumerate(used)}, BUCKETS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_nothing()
@@ -146,7 +167,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_t
     rows = training_terms(pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")),
                           pick(labels, doc_id=id_col, **{label_col: label_col}).withColumn("doc_id", F.col("doc_id").cast("long")),
                           sample, max_terms, label_col)
-    return train(rows)
+    return fitted(rows)
 
 
 def op4_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
