@@ -8,9 +8,11 @@ additive model can't.
 
 Training: labelled rows of the folds that train, at most ``SAMPLE`` of each class (those with the
 smallest hash of their id) and ``MAX_TERMS`` terms in all, go to one task as bucket numbers; texts
-with the same terms count once. Buckets whose share differs between the classes by at least
-``SIGNIFICANT`` standard errors take part. The driver gets the model: a weight and a vector for each
-of these.
+with the same terms count once. Every bucket that ``LEAST_TEXTS`` texts have starts with a weight and
+a vector, whether or not its share differs between the classes: all are fitted together, under
+penalties against chance, in blocks of bounded memory (``FactorizationMachine.start``). A bucket that
+neither a weight nor a pair needs ends at zero; the rest are fitted once more without penalties. The
+driver gets these: a weight and a vector for each.
 
 Scoring reads every text once, in Arrow batches, without a shuffle. A worker remembers the known
 buckets of the words it has met, in bounded memory.
@@ -40,7 +42,7 @@ from .factorization import FactorizationMachine
 from .pretokens import Recent
 
 BUCKETS, SAMPLE, MAX_TERMS = 1 << 18, 8_000, 12_000_000
-SIGNIFICANT, LEAST_TEXTS, THRESHOLD = 4.0, 3, 0.7
+LEAST_TEXTS, THRESHOLD = 3, 0.7
 PIECE = 5
 #: Words that a worker remembers.
 WORDS = 100_000
@@ -88,24 +90,28 @@ def training_terms(docs: DataFrame, labels: DataFrame, sample: int, max_terms: i
 
 
 def train(labels: np.ndarray, terms: list[np.ndarray], buckets: int = BUCKETS) -> tuple[FactorizationMachine, np.ndarray]:
-    """The model of the buckets that take part, and these."""
+    """The model of the buckets that end with a weight or a vector, and these."""
     none = FactorizationMachine(1), np.zeros(0, dtype=np.int64)
     ones = int(labels.sum())
     if ones in (0, len(labels)):
         none[0].factors[:] = 0
         none[0].bias = 40.0 if ones else -40.0
         return none
-    counts = np.zeros((2, buckets))
-    for label, t in zip(labels, terms, strict=True):
-        counts[label, t] += 1
-    inside, outside = counts + 0.5, np.array([[len(labels) - ones], [ones]]) - counts + 0.5
-    odds = np.log(inside / outside)  # class 0, class 1
-    error = np.sqrt((1 / inside + 1 / outside).sum(axis=0))
-    known = (np.abs(odds[1] - odds[0]) >= SIGNIFICANT * error) & (counts.sum(axis=0) >= LEAST_TEXTS)
+    known = np.bincount(np.concatenate(terms), minlength=buckets) >= LEAST_TEXTS
     used = np.flatnonzero(known)
+    if not len(used):  # no term to learn from: the bias alone
+        machine = FactorizationMachine(1)
+        machine.fit(np.zeros(0, dtype=np.int64), np.zeros(len(labels), dtype=np.int64), labels)
+        return machine, used
+    place = (np.cumsum(known) - 1).astype(np.int32)
+    ends = np.cumsum([int(known[t].sum()) for t in terms])
+    machine = FactorizationMachine(len(used))
+    kept = machine.start(np.concatenate([place[t[known[t]]] for t in terms]), ends, labels)
+    machine, used = machine.only(kept), used[kept]
+    known[:] = False
+    known[used] = True
     place = np.cumsum(known) - 1
     terms = [place[t[known[t]]] for t in terms]
-    machine = FactorizationMachine(max(len(used), 1))
     machine.fit(np.concatenate(terms), np.cumsum([len(t) for t in terms]), labels)
     return machine, used
 

@@ -251,6 +251,26 @@ def test_pairs_add_what_single_terms_cannot():
     assert ((s > 0.5) == labels[:4]).all()
 
 
+def test_a_pair_of_neutral_words_decides(spark):
+    """Both words stand in half of the texts of either class; only one without the other is class 1."""
+    import random
+
+    rng = random.Random(4)
+    fillers = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(200)]
+    rows = []
+    for k in range(1600):
+        w = rng.sample(fillers, rng.randint(3, 40)) + ["korvanis"] * (k % 2) + ["meldrupo"] * (k // 2 % 2)
+        rng.shuffle(w)
+        rows.append((k, " ".join(w), int(k % 4 in (1, 2))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine, used = toxicity.fit_toxicity(docs, docs)
+    for word in (b"korvanis", b"meldrupo"):
+        place = np.searchsorted(used, toxicity.term_buckets(word)[0])
+        assert used[place] == toxicity.term_buckets(word)[0] and np.abs(machine.factors[place]).max() > 0.05
+    out = toxicity.score(docs, machine, used, out_col="s").where(toxicity.fold() == 1).select("toxic", "s").collect()
+    assert sum((r["s"] >= 0.7) == (r["toxic"] == 1) for r in out) >= 0.97 * len(out)
+
+
 # --- PII --------------------------------------------------------------------------------------
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
