@@ -1,8 +1,8 @@
 """Operators of a training-data pipeline; each module holds an operator, its query and its SQL."""
 
-from . import bpe, decontamination, lm_scoring, pii, sharding, simhash, token_counts, token_files, topk, toxicity
+from . import bpe, conversation_repair, decontamination, lm_scoring, pii, sharding, simhash, token_counts, token_files, topk, toxicity
 
-MODULES = (bpe, decontamination, lm_scoring, pii, sharding, simhash, token_counts, token_files, topk, toxicity)
+MODULES = (bpe, conversation_repair, decontamination, lm_scoring, pii, sharding, simhash, token_counts, token_files, topk, toxicity)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _m in MODULES:
