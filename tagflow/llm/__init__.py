@@ -1,8 +1,10 @@
 """Operators of a training-data pipeline; each module holds an operator, its query and its SQL."""
 
-from . import bpe, conversation_repair, decontamination, lm_scoring, pii, sharding, simhash, token_counts, token_files, topk, toxicity
+from . import (ann, bpe, conversation_repair, decontamination, lm_scoring, pii, sharding, simhash, token_counts, token_files,
+               topk, toxicity, whitening)
 
-MODULES = (bpe, conversation_repair, decontamination, lm_scoring, pii, sharding, simhash, token_counts, token_files, topk, toxicity)
+MODULES = (ann, bpe, conversation_repair, decontamination, lm_scoring, pii, sharding, simhash, token_counts, token_files,
+           topk, toxicity, whitening)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _m in MODULES:
