@@ -1,27 +1,39 @@
 """Community detection on the weighted tag graph (G5-G7), as iterative DataFrame jobs.
 
-Graph input: edges (src, dst, weight) with src <= dst; src == dst is a loop.
+Graph input: edges (src, dst, weight) with src <= dst; src == dst is a loop. Tags are strings.
 Objective (G6): resolution modularity Q = sum_C [ w_in(C) / m - gamma * (K_C / 2m)^2 ] with
 m = total edge weight, K_C = summed node strength (a loop counts twice), w_in = internal weight.
 
-Louvain (Blondel et al. 2008) in rounds of DataFrame joins: every node computes its gain for each
-neighbouring community, a deterministic half of the nodes (hash of node and round) moves to its
-best one, the partition with the highest Q is kept; then communities are contracted into nodes
-(internal weight becomes loops) and the next level starts. Communities that are not connected
-are split at the end (the guarantee Leiden adds; Traag et al. 2019). The driver only reads one
-number per round; lineage is cut with reliable checkpoints into spark.checkpoint.dir.
+Local moving (Blondel et al. 2008) in rounds of one job each: every node finds its best neighbouring
+community or a new one of its own, and a share of the nodes (by hash of node and round) moves there. A
+round that doesn't raise Q is taken back and the share halved; below the least share only moves that touch
+no community in common are made, whose gains add up, so Q must rise. It ends when no node gains by moving.
+
+Louvain contracts communities into nodes (internal weight becomes loops) and moves those, level by
+level. Leiden (Traag et al. 2019) first refines each community: its nodes, alone at first, merge only into
+connected and well-connected parts of it; contraction is on those parts, which start out in their
+community. Both go back to single tags when no level moves anything, and end when no tag gains either: the
+result is a local optimum (``unsettled`` counts what still gains). Leiden's communities are connected since
+each ends as one part; Louvain's are split where they aren't, and moving goes on.
+
+The driver reads a few numbers a round; states are tables in spark.checkpoint.dir, dropped as they are
+replaced.
 """
 
 from __future__ import annotations
 
 from itertools import count
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import drop_state, state_path
 from ..session import materialize as cut_lineage  # state of a loop, as a table
 
 EPS = 1e-9
+#: Shares of nodes that a round moves: 1/2, 1/4 ... 1/2^LEAST_SHARE, then independent moves.
+LEAST_SHARE = 4
 _LOG = None  # optional callable(str) for progress of the iterative loops
 
 
@@ -58,58 +70,185 @@ def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0,
         F.count(F.lit(1)).alias("communities")).withColumn("total_weight", m)
 
 
-def _q_value(edges, memb, gamma) -> float:
-    row = modularity(edges, memb, gamma, "node", "comm").collect()[0]
-    return float(row["modularity"]) if row["modularity"] is not None else 0.0
+class _Kept:
+    """Tables of a loop: put writes one, only_keep drops all but those still read."""
+
+    def __init__(self, spark, name: str):
+        self.spark, self.name, self.paths = spark, name, {}
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = state_path(self.spark, self.name)
+        df.write.parquet(path)
+        out = self.spark.read.parquet(path)
+        self.paths[path] = out
+        return out
+
+    def only_keep(self, *frames: DataFrame | None) -> None:
+        for path in [p for p, df in self.paths.items() if all(df is not f for f in frames)]:
+            del self.paths[path]
+            drop_state(self.spark, path)
 
 
-def _active_half(node_col: str, rnd: int):
-    return (F.pmod(F.xxhash64(F.col(node_col), F.lit(rnd)), F.lit(2)) == 0)
+def _share(node_col: str, rnd: int, share: int):
+    """One node in 2^share, by hash of node and round."""
+    return F.pmod(F.xxhash64(F.col(node_col), F.lit(f"{rnd}")), F.lit(1 << share)) == 0
+
+
+class Level:
+    """A graph as the loops read it: edges, nodes (node, k), around (a, k, b, weight: both directions of every edge but loops).
+
+    around is dealt by b and kept so for the joins of all rounds; what an executor loses is read again from its table.
+    """
+
+    def __init__(self, edges: DataFrame):
+        self.spark, self.edges = edges.sparkSession, edges
+        self.nodes = cut_lineage(strengths(edges), "nodes")
+        m, loops = edges.agg(F.sum("weight"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("weight")))).collect()[0]
+        self.m, self.loops = m or 0.0, loops or 0.0
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        both = symmetric(edges).join(self.nodes.select(F.col("node").alias("a"), "k"), "a").select("a", "k", "b", "weight")
+        self.around = cut_lineage(both, "around").repartition(parts, "b").persist(StorageLevel.MEMORY_AND_DISK)
 
+    def close(self) -> None:
+        self.around.unpersist()
 
-def local_moving(edges: DataFrame, gamma: float = 1.0, patience: int = 3) -> tuple[DataFrame, float]:
-    """One Louvain level: returns (node, comm) of the best partition seen and its Q.
 
-    Ends when no node gains by moving, or when so many rounds in a row (patience) haven't raised Q;
-    Q is bounded and rises by EPS at least in between, so that comes."""
-    nodes = cut_lineage(strengths(edges))
-    sym = cut_lineage(symmetric(edges))
-    m = edges.select(F.sum("weight")).collect()[0][0] or 0.0
-    memb = cut_lineage(nodes.select("node", F.col("node").alias("comm")))
-    best_memb, best_q = memb, _q_value(edges, memb, gamma)
-    stale = 0
+def proposals(around: DataFrame, state: DataFrame, gamma: float, m: float) -> DataFrame:
+    """What each node would do next: node, k, comm, big (its community's strength), own (weight into it), gain, target.
+
+    around: neighbours; state: (node, k, comm). target null: a community of its own.
+    """
+    big = state.groupBy(F.col("comm").alias("cb")).agg(F.sum("k").alias("big"))
+    met = around.join(state.select(F.col("node").alias("b"), F.col("comm").alias("cb")), "b").select(
+        "a", "k", "cb", "weight", F.lit(False).alias("own"))
+    here = state.select(F.col("node").alias("a"), "k", F.col("comm").alias("cb"), F.lit(0.0).alias("weight"), F.lit(True).alias("own"))
+    into = met.unionByName(here).groupBy("a", "k", "cb").agg(F.sum("weight").alias("w"), F.max("own").alias("own")).join(big, "cb")
+    pull = F.lit(float(gamma) / (2.0 * m)) * F.col("k")
+    away = F.when(~F.col("own"), F.struct(F.round(pull * F.col("big") - F.col("w"), 9).alias("s"), F.col("cb").alias("c")))
+    each = into.groupBy(F.col("a").alias("node"), "k").agg(
+        F.max(F.when(F.col("own"), F.col("cb"))).alias("comm"), F.max(F.when(F.col("own"), F.col("big"))).alias("big"),
+        F.max(F.when(F.col("own"), F.col("w"))).alias("own"), F.min(away).alias("best"))
+    stay = F.col("own") - F.lit(float(gamma) / (2.0 * m)) * F.col("k") * (F.col("big") - F.col("k"))
+    there = -F.col("best.s")
+    join_best = F.coalesce(there >= 0, F.lit(False))  # a community of its own scores 0
+    return each.select("node", "k", "comm", "big", "own", (F.when(join_best, there).otherwise(0.0) - stay).alias("gain"),
+                       F.when(join_best, F.col("best.c")).alias("target"))
+
+
+def independent(wanted: DataFrame) -> DataFrame:
+    """Of moves (node, comm, gain, target) those that gain most among all that touch either of their communities."""
+    touched = wanted.select("node", "gain", F.explode(F.array("comm", "target")).alias("c"))
+    first = touched.groupBy("c").agg(F.max(F.struct("gain", "node")).alias("f")).select("c", F.col("f.node").alias("node"))
+    both = touched.join(first, ["c", "node"], "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    return wanted.join(both.where("n = 2"), "node", "left_semi")
+
+
+def local_moving(level: Level, start: DataFrame | None = None, gamma: float = 1.0) -> tuple[DataFrame, bool]:
+    """(node, comm) of a partition in which no node gains by moving, and whether any moved on the way.
+
+    start: (node, comm) to begin with, each node alone if None. Communities that changed are named by their first node."""
+    nodes, m, around = level.nodes, level.m, level.around
+    if start is None:
+        start = nodes.select("node", F.col("node").alias("comm"))
     if m <= 0:
-        return best_memb, best_q
+        return start, False
+    first = nodes.join(start.select("node", "comm"), "node")
+    kept = _Kept(level.spark, "moves")
+    state, best, best_q, wanted, share, free, moved = kept.put(first), None, 0.0, 0, 1, False, False
     for rnd in count():
-        cur = memb.join(nodes, "node")
-        K = cur.groupBy("comm").agg(F.sum("k").alias("K"))
-        wic = (sym.join(memb.select(F.col("node").alias("b"), F.col("comm").alias("cb")), "b")
-                  .groupBy("a", "cb").agg(F.sum("weight").alias("wic")))
-        cand = wic.join(cur.select(F.col("node").alias("a"), "comm", "k"), "a")
-        own = cand.filter(F.col("cb") == F.col("comm")).select("a", F.col("wic").alias("own_w"))
-        mv = (cand.filter(F.col("cb") != F.col("comm")).join(own, "a", "left")
-                  .join(K.select(F.col("comm").alias("cb"), F.col("K").alias("K_C")), "cb")
-                  .join(K.select("comm", F.col("K").alias("K_A")), "comm"))
-        gain = (F.col("wic") - F.coalesce("own_w", F.lit(0.0))
-                - F.lit(float(gamma)) * F.col("k") * (F.col("K_C") - (F.col("K_A") - F.col("k"))) / F.lit(2.0 * m))
-        best = mv.groupBy("a").agg(F.min(F.struct(F.round(-gain, 9).alias("ng"), F.col("cb"))).alias("b"))
-        wanted = cut_lineage(best.filter(-F.col("b.ng") > EPS).select(F.col("a").alias("node"), F.col("b.cb").alias("newc"),
-                                                                       _active_half("a", rnd).alias("active")))
-        n_wanted = wanted.count()
-        _log(f"louvain round {rnd}: {n_wanted} nodes want to move")
-        if n_wanted == 0:
-            break  # local optimum: no node of either half gains by moving
-        moves = wanted.filter("active").select("node", "newc")
-        memb = cut_lineage(memb.join(moves, "node", "left").select("node", F.coalesce("newc", "comm").alias("comm")))
-        q = _q_value(edges, memb, gamma)
-        _log(f"louvain round {rnd}: Q={q:.6f}")
-        if q > best_q + EPS:
-            best_memb, best_q, stale = memb, q, 0
+        now = kept.put(proposals(around, state, gamma, m))
+        n, own, squares = now.agg(F.sum((F.col("gain") > EPS).cast("long")), F.sum("own"), F.sum(F.col("k") * F.col("big"))).collect()[0]
+        q = (own / 2 + level.loops) / m - gamma * squares / (4 * m * m)
+        _log(f"round {rnd}: {n} nodes gain, Q={q:.6f}, share 1/{1 << share}")
+        if best is None or q > best_q or free:
+            moved, share = moved or best is not None, max(1, share - 1)
+            best, best_q, wanted = now, q, n
         else:
-            stale += 1
-            if stale >= patience:
-                break
-    return best_memb, best_q
+            share += 1
+        if wanted == 0:
+            break
+        kept.only_keep(best)
+        free = share > LEAST_SHARE
+        gains, new = F.col("gain") > EPS, F.coalesce("target", F.concat("node", F.lit(f"\0{rnd}")))
+        if free:
+            moves = independent(best.where(gains).select("node", "comm", "gain", new.alias("target"))).select("node", "target")
+            state = kept.put(best.select("node", "k", "comm").join(moves, "node", "left").select(
+                "node", "k", F.coalesce("target", "comm").alias("comm")))
+        else:
+            state = best.select("node", "k", F.when(gains & _share("node", rnd, share), new).otherwise(F.col("comm")).alias("comm"))
+    out = cut_lineage(named(best.select("node", "comm")), "communities") if moved else start
+    kept.only_keep()
+    return out, moved
+
+
+def named(memb: DataFrame) -> DataFrame:
+    """(node, comm) with each community named by its first node."""
+    first = memb.groupBy("comm").agg(F.min("node").alias("name"))
+    return memb.join(first, "comm").select("node", F.col("name").alias("comm"))
+
+
+def unsettled(edges: DataFrame, memb: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """Nodes that would gain more than EPS by moving (node, gain, target): none, for a local optimum of Q. memb: (node, comm)."""
+    level = Level(_weighted(edges))
+    state = level.nodes.join(memb.select("node", "comm"), "node")
+    return proposals(level.around, state, gamma, level.m or 1.0).where(F.col("gain") > EPS).select("node", "gain", "target")
+
+
+def refine(level: Level, memb: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """(node, part): Leiden's refinement of a partition (node, comm).
+
+    Each node of a community starts alone and may once join another part of its community: one that it has an
+    edge to, that is well connected to the rest of the community, and that makes Q no worse. Nodes that move
+    and parts that receive are told apart by a coin each round, so what is joined stays, and parts are
+    connected. Of the nodes that would join a part those do that gain even if all of them were there
+    (without the edges among them), and the one that gains most.
+    """
+    nodes = level.nodes.join(memb.select("node", "comm"), "node")
+    if level.m <= 0:
+        return cut_lineage(nodes.select("node", F.col("node").alias("part")), "parts")
+    scale = F.lit(float(gamma) / (2.0 * level.m))
+    inner = (level.around.join(memb.select(F.col("node").alias("b"), F.col("comm").alias("cb")), "b")
+             .join(memb.select(F.col("node").alias("a"), F.col("comm").alias("ca")), "a")
+             .where(F.col("ca") == F.col("cb")).select("a", "k", "b", "weight"))
+    parts = int(level.spark.conf.get("spark.sql.shuffle.partitions"))
+    inner = cut_lineage(inner, "inner").repartition(parts, "b").persist(StorageLevel.MEMORY_AND_DISK)
+    within = inner.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("within"))
+    whole = nodes.groupBy("comm").agg(F.sum("k").alias("whole"))
+    kept = _Kept(level.spark, "refined")
+    state = kept.put(nodes.join(whole, "comm").join(within, "node", "left").select(
+        "node", "k", "whole", F.coalesce("within", F.lit(0.0)).alias("within"), F.col("node").alias("part")))
+    for rnd in count():
+        met = inner.join(state.select(F.col("node").alias("b"), F.col("part").alias("pb")), "b").select(
+            "a", "pb", "k", "weight", F.lit(None).cast("double").alias("whole"), F.lit(None).cast("double").alias("within"))
+        here = state.select(F.col("node").alias("a"), F.col("part").alias("pb"), "k", F.lit(0.0).alias("weight"), "whole", "within")
+        into = met.unionByName(here).groupBy("a", "pb").agg(F.sum("weight").alias("w"), F.max("k").alias("k"), F.max("whole").alias("whole"),
+                                                            F.max("within").alias("within"))
+        own = F.col("whole").isNotNull()
+        parts = into.where(own).groupBy("pb").agg(
+            F.sum("k").alias("big"), (F.count(F.lit(1)) == 1).alias("single"),
+            (F.sum(F.col("within") - F.col("w")) >= scale * F.sum("k") * (F.max("whole") - F.sum("k")) - EPS).alias("fine"))
+        gain = F.col("w") - scale * F.col("k") * F.col("big")
+        offer = F.struct(F.round(gain, 9).alias("gain"), "pb", "single")
+        each = into.join(parts, "pb").groupBy(F.col("a").alias("node")).agg(
+            F.max("k").alias("k"), F.max("whole").alias("whole"), F.max("within").alias("within"), F.max(F.when(own, F.col("pb"))).alias("part"),
+            F.max(own & F.col("single") & F.col("fine")).alias("free"),
+            F.max(F.when(~own & F.col("fine") & (gain > -EPS), offer)).alias("to"))
+        wish = kept.put(each.withColumn("to", F.when(F.col("free"), F.col("to"))).drop("free"))
+        if wish.where(F.col("to").isNotNull()).isEmpty():
+            break
+        ready = wish.where(_share("node", rnd, 1) & (~F.col("to.single") | ~_share("to.pb", rnd, 1))).select(
+            "node", "k", F.col("to.gain").alias("gain"), F.col("to.pb").alias("pb"))
+        sums = ready.groupBy("pb").agg(F.sum("k").alias("all"), F.max(F.struct("gain", "node"))["node"].alias("first"))
+        together = F.col("gain") - scale * F.col("k") * (F.col("all") - F.col("k")) > -EPS
+        moves = ready.join(sums, "pb").where(together | (F.col("node") == F.col("first"))).select("node", "pb")
+        state = kept.put(wish.drop("to").join(moves, "node", "left").select(
+            "node", "k", "whole", "within", F.coalesce("pb", "part").alias("part")))
+        kept.only_keep(state)
+        _log(f"refinement round {rnd}")
+    out = cut_lineage(state.select("node", "part"), "parts")
+    kept.only_keep()
+    inner.unpersist()
+    return out
 
 
 def contract(edges: DataFrame, memb: DataFrame) -> DataFrame:
@@ -141,47 +280,109 @@ def split_disconnected(edges: DataFrame, memb: DataFrame) -> DataFrame:
             return label.select("node", F.col("lab").alias("comm"))
 
 
+def _weighted(edges: DataFrame) -> DataFrame:
+    return cut_lineage(edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"),
+                                    F.col("weight").cast("double").alias("weight")), "edges")
+
+
+def _through(mapping: DataFrame, memb: DataFrame) -> DataFrame:
+    """(tag, comm) followed by (node, comm) of the communities."""
+    return cut_lineage(mapping.join(memb.select(F.col("node").alias("comm"), F.col("comm").alias("next")), "comm")
+                       .select("tag", F.col("next").alias("comm")), "mapping")
+
+
+def _sizes(memb: DataFrame) -> tuple[int, int]:
+    """(nodes, communities) of (node, comm)."""
+    return memb.agg(F.count(F.lit(1)), F.count_distinct("comm")).collect()[0]
+
+
+def _contracted(level: Level, memb: DataFrame, base: Level) -> Level:
+    """The next level; the one below goes, unless it is the base."""
+    out = Level(cut_lineage(contract(level.edges, memb), "level"))
+    if level is not base:
+        level.close()
+    return out
+
+
 def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """(tag, community) where community = a member tag (before numbering by G7)."""
-    edges = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
-    mapping = cut_lineage(strengths(edges).select(F.col("node").alias("tag"), F.col("node").alias("comm")))
-    level_edges, prev_q = edges, None
-    while True:  # each level has fewer nodes, or is the last
-        memb, q = local_moving(level_edges, resolution)
-        if prev_q is not None and q <= prev_q + EPS:
-            break
-        moved = memb.filter(F.col("node") != F.col("comm")).count()
-        mapping = cut_lineage(mapping.join(memb.select(F.col("node").alias("comm"), F.col("comm").alias("next")), "comm")
-                                     .select("tag", F.col("next").alias("comm")))
-        prev_q = q
-        if moved == 0:
-            break
-        level_edges = cut_lineage(contract(level_edges, memb))
-    final = split_disconnected(edges, mapping.select(F.col("tag").alias("node"), "comm"))
-    return final.select(F.col("node").alias("tag"), "comm")
+    """(tag, comm), a connected local optimum, before numbering by G7. comm is a member tag."""
+    base = Level(_weighted(edges))
+    flat, moved = local_moving(base, None, resolution)
+    while moved:
+        mapping = flat.select(F.col("node").alias("tag"), "comm")
+        level, memb = base, flat
+        while True:  # each level that moves anything has fewer nodes
+            level = _contracted(level, memb, base)
+            memb, up = local_moving(level, None, resolution)
+            if not up:
+                break
+            mapping = _through(mapping, memb)
+        level.close()
+        whole = named(split_disconnected(base.edges, mapping.select(F.col("tag").alias("node"), "comm")))
+        flat, moved = local_moving(base, cut_lineage(whole, "communities"), resolution)
+    base.close()
+    return flat.select(F.col("node").alias("tag"), "comm")
+
+
+def leiden(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(tag, comm) by local moving, refinement and contraction on the refined parts, until no tag gains by moving."""
+    base = Level(_weighted(edges))
+    flat, moved = local_moving(base, None, resolution)
+    while moved:
+        mapping = base.nodes.select(F.col("node").alias("tag"), F.col("node").alias("comm"))
+        level, memb = base, flat
+        n, communities = _sizes(memb)
+        while n > communities:  # until every community is one part
+            parts = refine(level, memb, resolution)
+            if _sizes(parts.withColumnRenamed("part", "comm"))[1] == n:  # only if rounding hides every merge: then connected pieces
+                parts = split_disconnected(level.edges, memb).withColumnRenamed("comm", "part")
+            by_part = parts.withColumnRenamed("part", "comm")
+            mapping = _through(mapping, by_part)
+            inside = cut_lineage(parts.join(memb, "node").groupBy(F.col("part").alias("node")).agg(F.min("comm").alias("comm")), "inside")
+            level = _contracted(level, by_part, base)
+            memb, _ = local_moving(level, inside, resolution)
+            n, communities = _sizes(memb)
+        if level is not base:
+            level.close()
+        mapping = _through(mapping, memb)
+        flat, moved = local_moving(base, mapping.select(F.col("tag").alias("node"), "comm"), resolution)
+    base.close()
+    return flat.select(F.col("node").alias("tag"), "comm")
+
+
+def heaviest(around: DataFrame, lab: DataFrame) -> DataFrame:
+    """What label each node would take: node, comm, target. lab: (node, comm); target: the neighbours' heaviest label, ties: the smallest."""
+    votes = (around.join(lab.select(F.col("node").alias("b"), F.col("comm").alias("lb")), "b")
+                   .groupBy("a", "lb").agg(F.sum("weight").alias("w")))
+    best = votes.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(F.round(-F.col("w"), 9).alias("nw"), F.col("lb"))).alias("x"))
+    return lab.join(best, "node", "left").select("node", "comm", F.coalesce("x.lb", "comm").alias("target"))
 
 
 def label_propagation(edges: DataFrame, limit: int = 500) -> DataFrame:
-    """Deterministic weighted label propagation (Raghavan et al. 2007): each round the active half
+    """Deterministic weighted label propagation (Raghavan et al. 2007): each round one half
     of the nodes takes the neighbour label of largest total weight (ties: smallest label), until every
     node carries its best label. A graph that hasn't settled after limit rounds raises an error."""
-    edges = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
-    sym = cut_lineage(symmetric(edges))
-    lab = cut_lineage(strengths(edges).select(F.col("node"), F.col("node").alias("comm")))
-    for rnd in count():
-        if rnd >= limit:
-            raise RuntimeError(f"labels haven't settled in {limit} rounds")
-        votes = (sym.join(lab.select(F.col("node").alias("b"), F.col("comm").alias("lb")), "b")
-                    .groupBy("a", "lb").agg(F.sum("weight").alias("w")))
-        best = votes.groupBy("a").agg(F.min(F.struct(F.round(-F.col("w"), 9).alias("nw"), F.col("lb"))).alias("x"))
-        wanted = cut_lineage(best.join(lab.select(F.col("node").alias("a"), "comm"), "a")
-                                 .filter(F.col("x.lb") != F.col("comm"))
-                                 .select(F.col("a").alias("node"), F.col("x.lb").alias("newc"), _active_half("a", rnd).alias("active")))
-        if wanted.count() == 0:
-            break  # every node already carries its best label
-        lab = cut_lineage(lab.join(wanted.filter("active").select("node", "newc"), "node", "left")
-                             .select("node", F.coalesce("newc", "comm").alias("comm")))
-    return split_disconnected(edges, lab).select(F.col("node").alias("tag"), "comm")
+    edges = _weighted(edges)
+    around = cut_lineage(symmetric(edges), "around")
+    kept = _Kept(edges.sparkSession, "labels")
+    lab = strengths(edges).select("node", F.col("node").alias("comm"))
+    for rnd in range(limit):
+        now = kept.put(heaviest(around, lab))
+        kept.only_keep(now)
+        if now.where("target != comm").isEmpty():
+            return split_disconnected(edges, now.select("node", "comm")).select(F.col("node").alias("tag"), "comm")
+        lab = now.select("node", F.when(_share("node", rnd, 1), F.col("target")).otherwise(F.col("comm")).alias("comm"))
+    raise RuntimeError(f"labels haven't settled in {limit} rounds")
+
+
+def unsettled_labels(edges: DataFrame, memb: DataFrame) -> DataFrame:
+    """Nodes with a neighbour label heavier than their own (node). memb: (node, comm)."""
+    around = symmetric(edges)
+    votes = (around.join(memb.select(F.col("node").alias("b"), F.col("comm").alias("lb")), "b")
+                   .groupBy(F.col("a").alias("node"), "lb").agg(F.round(F.sum("weight"), 9).alias("w")))
+    own = votes.join(memb.select("node", F.col("comm").alias("lb")), ["node", "lb"]).select("node", F.col("w").alias("mine"))
+    top = votes.groupBy("node").agg(F.max("w").alias("top"))
+    return top.join(own, "node", "left").where(F.col("top") > F.coalesce("mine", F.lit(0.0))).select("node")
 
 
 def number_clusters(assign: DataFrame) -> DataFrame:

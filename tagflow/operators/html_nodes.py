@@ -25,11 +25,12 @@ HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 #: Fields of a row: tag; pos, parent_pos and parent_tag; text (a heading's, or a list item's outside its lists);
-#: has_text (also inside its lists); first link inside; next sibling; next list among siblings; first list inside.
+#: has_text (also inside its lists); first link inside; next sibling; next list among siblings; first list inside; and
+#: of a list the lists around it, outermost first.
 FIELDS = ("tag", "pos", "parent_pos", "parent_tag", "text", "has_text", "link_text", "href", "next_pos", "next_tag",
-          "next_ul", "inner_ul")
+          "next_ul", "inner_ul", "outer_uls")
 DDL = ("tag string, pos int, parent_pos int, parent_tag string, text string, has_text boolean, link_text string, "
-       "href string, next_pos int, next_tag string, next_ul int, inner_ul int")
+       "href string, next_pos int, next_tag string, next_ul int, inner_ul int, outer_uls array<int>")
 
 
 class _Elements(HTMLParser):
@@ -134,8 +135,13 @@ def page_rows(html: str | None, noise: tuple[str, ...] | None = None) -> list[tu
         if tags[i] == "ul":
             child_ul[p] = i
 
+    around = nearest(("ul",))
+    outer: dict[int, list[int]] = {}  # of each list that stays
     rows = []
     for i in range(1, n):
+        if tags[i] == "ul" and not gone[i]:
+            above = around[parents[i]]
+            outer[i] = [] if above is None else [*outer[above], above]
         if gone[i] or not (tags[i] in HEADINGS or tags[i] in ("ul", "li")):
             continue
         a = first_a[i]
@@ -143,5 +149,6 @@ def page_rows(html: str | None, noise: tuple[str, ...] | None = None) -> list[tu
         text = headings.get(i, "") if tags[i] in HEADINGS else items.get(i, "") if tags[i] == "li" else None
         rows.append((tags[i], i, parents[i], tags[parents[i]], text, has_text[i], links.get(a, "") if linked else None,
                      attributes[a]["href"] if linked else None, next_pos[i],
-                     tags[next_pos[i]] if next_pos[i] is not None else None, next_ul[i], first_ul[i]))
+                     tags[next_pos[i]] if next_pos[i] is not None else None, next_ul[i], first_ul[i],
+                     outer.get(i)))
     return rows

@@ -2,10 +2,10 @@
 
 Headings: the section path of a row is the last heading of each level that no higher heading has
 closed -- six running windows within the page. Lists: a list item opens the list inside it, or else
-the list that follows it at once; a list that no item opens belongs to its section. From those the
-walk goes down one level at a time, joining the frontier of open lists with their items, until no
-list is left; each list is walked once. A list whose opener turns out not to count belongs to its
-section after all.
+the list that follows it at once; a list that no item opens belongs to its section, and so does one whose
+opener turns out not to count. The list that holds an opener stands around the list it opens, so a list's way
+from its section is among the lists around it: these meet their openers in one join, and a fold over them,
+outermost first, decides at each step whether the opener counts. Nesting of any depth takes the same jobs.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ def parsed(pages: DataFrame, noise: tuple[str, ...] | None = None) -> DataFrame:
     return pages.select("page_id", "base_path", "html").mapInArrow(run, f"page_id {kind}, base_path array<string>, {DDL}")
 
 
-_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
 _TYPES = [_ARROW[f.split()[1]] for f in DDL.split(", ")]
 
 
@@ -85,6 +85,43 @@ def text_item_allowed(name: Column, path: Column, cfg: dict) -> Column:
     return allowed & rest
 
 
+def reached_lists(raw: DataFrame, sections_of: DataFrame, items: DataFrame, cfg: dict) -> DataFrame:
+    """page_id, ul, path, root (the list its section holds) and depth of each list that the walk comes to.
+
+    raw: parsed rows; sections_of: page_id, ul, section (the path of lists that may belong to one); items: list
+    items with ul, opens, part, name, ignored, has_link, start.
+    """
+    openers = items.where(F.col("opens").isNotNull()).groupBy("page_id", F.col("opens").alias("ul")).agg(F.min(F.struct(
+        "pos", F.col("ul").alias("held"), "part", "name", "has_link", "ignored", "start")).alias("o"))
+    lists = raw.where(F.col("tag") == "ul").select("page_id", F.col("pos").alias("list"), "outer_uls")
+    around = lists.select("page_id", "list", F.explode(F.concat("outer_uls", F.array("list"))).alias("ul"))
+    steps = (around.join(openers, ["page_id", "ul"], "left").join(sections_of, ["page_id", "ul"], "left")
+             .select("page_id", "list", F.struct("ul", "o", "section").alias("x")).groupBy("page_id", "list")
+             .agg(F.array_sort(F.collect_list("x"), lambda a, b: a["ul"] - b["ul"]).alias("steps")))  # as many as lists around it
+
+    def link(acc: Column, x: Column) -> Column:
+        linked = F.struct(x["o"]["held"].alias("need"), F.concat(F.array(x), acc["way"]).alias("way"))
+        return F.when(x["ul"] == acc["need"], linked).otherwise(acc)
+
+    none = F.filter("steps", lambda x: F.lit(False))
+    way = F.aggregate(F.reverse("steps"), F.struct(F.col("list").alias("need"), none.alias("way")), link, lambda acc: acc["way"])
+    kind = "struct<path:array<string>,root:int,depth:int,alive:boolean>"
+    most = cfg.get("max_depth")
+
+    def down(acc: Column, x: Column) -> Column:
+        o = x["o"]
+        fits = o["has_link"] | ~o["start"] | text_item_allowed(o["name"], F.concat(acc["path"], F.array(o["name"])), cfg)
+        counts = acc["alive"] & o.isNotNull() & ~o["ignored"] & fits & (F.lit(True) if most is None else acc["depth"] < most)
+        below = F.struct(F.concat(acc["path"], F.array(o["part"])), acc["root"], acc["depth"] + 1, F.lit(True)).cast(kind)
+        again = F.struct(x["section"], x["ul"], F.lit(0), F.lit(True)).cast(kind)
+        dead = F.struct(acc["path"], acc["root"], acc["depth"], F.lit(False)).cast(kind)
+        return F.when(F.coalesce(counts, F.lit(False)), below).when(x["section"].isNotNull(), again).otherwise(dead)
+
+    start = F.struct(F.array().cast("array<string>"), F.lit(None).cast("int"), F.lit(0), F.lit(False)).cast(kind)
+    walked = steps.select("page_id", F.col("list").alias("ul"), F.aggregate(way, start, down).alias("s")).where("s.alive")
+    return walked.select("page_id", "ul", "s.path", "s.root", "s.depth")
+
+
 def walk(pages: DataFrame, cfg: dict) -> DataFrame:
     """pages (page_id, base_path, html) -> page_id, kind, pos, name, href, path, has_link, has_nested, level.
 
@@ -111,7 +148,7 @@ def walk(pages: DataFrame, cfg: dict) -> DataFrame:
     null = F.lit(None).cast("string")
 
     def out(df, kind, name, href, path, link, nested, level=None):
-        return df.select("page_id", F.lit(kind).alias("kind"), F.col("root"), F.col("pos").alias("at"), name.alias("name"),
+        return df.select("page_id", (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), F.col("root"), F.col("pos").alias("at"), name.alias("name"),
                          href.alias("href"), path.alias("path"), link.alias("has_link"), nested.alias("has_nested"),
                          (level if level is not None else F.lit(None).cast("int")).alias("level"))
 
@@ -134,40 +171,13 @@ def walk(pages: DataFrame, cfg: dict) -> DataFrame:
         (F.col("inner_ul").isNotNull() | F.coalesce(sibling, no)).alias("has_nested"), opens.alias("opens"),
         F.when(F.col("inner_ul").isNotNull(), F.col("text")).otherwise(F.coalesce("link_text", "text")).alias("part"),
         (F.size(base) == 0).alias("start")), "items")
-    openers = put(lis.where(F.col("opens").isNotNull()).groupBy("page_id", F.col("opens").alias("ul")).agg(
-        F.min("pos").alias("opener")), "openers")
-    tops = put(found.where((F.col("tag") == "ul") & ~F.col("excluded")).select(
-        "page_id", F.col("pos").alias("ul"), F.concat(base, "open").alias("path"), F.col("pos").alias("root"),
-        F.lit(0).alias("depth")), "lists")
-
     allowed = F.col("has_link") | ~F.col("start") | text_item_allowed(F.col("name"), F.col("full"), cfg)
-    most = cfg.get("max_depth")
-    walked = None
-    frontier = put(tops.join(openers, ["page_id", "ul"], "left_anti"), "frontier")
-    while True:
-        while not frontier.isEmpty():
-            walked = frontier.select("page_id", "ul") if walked is None else walked.unionByName(frontier.select("page_id", "ul"))
-            met = lis.join(frontier, ["page_id", "ul"]).withColumn("full", F.concat("path", F.array("name")))
-            met = put(met.withColumn("counts", ~F.col("ignored") & allowed), "level")
-            parts.append(out(met.where("ignored"), "ignored", F.col("text"), null, F.col("path"), no, no))
-            parts.append(out(met.where("counts"), "item", F.col("name"), F.col("href"), F.col("full"), F.col("has_link"), F.col("has_nested")))
-            below = met.where(F.col("counts") & F.col("opens").isNotNull())
-            if most is not None:
-                below = below.where(F.col("depth") < most)
-            opener = openers.select("page_id", F.col("ul").alias("opens"), F.col("opener").alias("pos"))
-            frontier = put(below.join(opener, ["page_id", "opens", "pos"], "left_semi").select(
-                "page_id", F.col("opens").alias("ul"), F.concat("path", F.array("part")).alias("path"), "root",
-                (F.col("depth") + 1).alias("depth")), "frontier")
-        rest = tops if walked is None else tops.join(walked, ["page_id", "ul"], "left_anti")
-        rest = put(rest, "rest")
-        if rest.isEmpty():
-            break
-        # of the lists left over: those whose opener doesn't stand in another one of them; at least each page's first
-        holder = openers.join(lis.select("page_id", F.col("pos").alias("opener"), F.col("ul").alias("held")), ["page_id", "opener"])
-        waits = holder.join(rest.select("page_id", F.col("ul").alias("held")), ["page_id", "held"], "left_semi").select("page_id", "ul")
-        first = rest.groupBy("page_id").agg(F.min("ul").alias("ul"))
-        go = rest.join(waits, ["page_id", "ul"], "left_anti").select("page_id", "ul").unionByName(first).distinct()
-        frontier = put(rest.join(go, ["page_id", "ul"], "left_semi"), "frontier")
+    here = reached_lists(raw, found.where((F.col("tag") == "ul") & ~F.col("excluded")).select(
+        "page_id", F.col("pos").alias("ul"), F.concat(base, "open").alias("section")), lis, cfg)
+    met = lis.join(here, ["page_id", "ul"]).withColumn("full", F.concat("path", F.array("name"))).where(F.col("ignored") | allowed)
+    parts.append(out(met, F.when(F.col("ignored"), "ignored").otherwise("item"), F.when(F.col("ignored"), F.col("text")).otherwise(F.col("name")),
+                     F.when(~F.col("ignored"), F.col("href")), F.when(F.col("ignored"), F.col("path")).otherwise(F.col("full")),
+                     F.col("has_link") & ~F.col("ignored"), F.col("has_nested") & ~F.col("ignored")))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)

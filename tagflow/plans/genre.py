@@ -35,7 +35,7 @@ class GenreParams:
     wiki_weight: float = 0.2
     link_mode: str = "section"
     resolution: float = 1.0
-    detector: str = "louvain"          # or "label_propagation"
+    detector: str = "leiden"           # or "louvain", "label_propagation"
     main_min_posts: int = 50
 
 
@@ -51,7 +51,8 @@ def run_genre_pipeline(spark: SparkSession, posts: DataFrame, wiki: DataFrame, p
     vocab = materialize(vocab, "genre-vocab")
     edges = materialize(edges, "genre-edges")
     merged = materialize(G.merge_wiki_edges(edges, links, vocab, p.wiki_weight), "genre-graph")
-    assign = CM.louvain(merged, p.resolution) if p.detector == "louvain" else CM.label_propagation(merged)
+    assign = {"leiden": lambda: CM.leiden(merged, p.resolution), "louvain": lambda: CM.louvain(merged, p.resolution),
+              "label_propagation": lambda: CM.label_propagation(merged)}[p.detector]()
     tag_clusters = materialize(CM.number_clusters(assign), "genre-clusters")
     pc = materialize(C.post_cluster(filtered, tag_clusters), "genre-post-cluster")
     metrics = C.cluster_metrics(pc, tag_clusters, vocab)

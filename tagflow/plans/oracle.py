@@ -235,10 +235,14 @@ ORACLE: dict[str, str] = {
     "adjacency": BASE + _graph() + """ SELECT tag_left AS tag, tag_right AS neighbor, round(weight, 9) AS weight FROM edges
         UNION ALL SELECT tag_right, tag_left, round(weight, 9) FROM edges""",
     "communities_louvain_invariants": BASE + _graph() + WIKI + _links("section") + MERGED + """ SELECT count(*) AS nodes, count(*) AS distinct_nodes,
-        CAST(0 AS BIGINT) AS missing, true AS connected, true AS no_worse_than_fixed, true AS numbered
+        CAST(0 AS BIGINT) AS missing, true AS connected, true AS no_worse_than_fixed, true AS numbered, CAST(0 AS BIGINT) AS unsettled
         FROM (SELECT src AS tag FROM merged UNION SELECT dst FROM merged)""",
+    "communities_leiden_invariants": BASE + _graph() + WIKI + _links("section") + MERGED + """ SELECT count(*) AS nodes, count(*) AS distinct_nodes,
+        CAST(0 AS BIGINT) AS missing, true AS connected, true AS no_worse_than_fixed, true AS numbered, CAST(0 AS BIGINT) AS unsettled,
+        true AS no_worse_than_louvain FROM (SELECT src AS tag FROM merged UNION SELECT dst FROM merged)""",
     "communities_lp_invariants": BASE + _graph() + WIKI + _links("section") + MERGED + """ SELECT count(*) AS nodes, count(*) AS distinct_nodes,
-        CAST(0 AS BIGINT) AS missing, true AS connected, true AS numbered FROM (SELECT src AS tag FROM merged UNION SELECT dst FROM merged)""",
+        CAST(0 AS BIGINT) AS missing, true AS connected, true AS numbered, CAST(0 AS BIGINT) AS unsettled
+        FROM (SELECT src AS tag FROM merged UNION SELECT dst FROM merged)""",
     "see_also_links": "WITH" + POSTS + WIKI + _links("section") + " SELECT tag, link FROM links",
     "see_also_links_parity": "WITH" + POSTS + WIKI + _links("parity") + " SELECT tag, link FROM links",
     "merged_graph": BASE + _graph() + WIKI + _links() + MERGED +

@@ -164,3 +164,22 @@ def test_pages_are_followed_once(spark):
     assert run(1, max_groups=1)[1] == [(1, "Tag group:b")]
     assert run(1, skip_first_n=1)[1] == [(1, "Tag group:a")]
     assert run(1, target_groups=["Tag group:a"])[1] == [(1, "Tag group:a")]
+
+
+def test_deep_nesting_takes_no_more_jobs(spark):
+    """Lists in lists, 3 and 300 deep: the same paths as by hand, with the same number of Spark jobs."""
+    jobs = {}
+    for depth in (3, 300):
+        html = "<h2>Box</h2>" + "".join(f"<ul><li>i{n}" for n in range(depth)) + "</li></ul>" * depth
+        spark.sparkContext.setJobGroup(f"depth{depth}", "walk")
+        got = items(spark, html, ["home"])
+        jobs[depth] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"depth{depth}"))
+        assert got[f"i{depth - 1}"]["path"] == ["home", "Box", *(f"i{n}" for n in range(depth))]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[300] <= jobs[3] + 3  # but for how an optimiser splits stages
+
+
+def test_lists_too_deep_belong_to_their_section(spark):
+    html = "<h2>Box</h2><ul><li>a</li><ul><li>b</li><ul><li>c</li><ul><li>d</li></ul></ul></ul></ul>"
+    got = items(spark, html, ["home"], max_depth=1)
+    assert [got[n]["path"] for n in "abcd"] == [["home", "Box", "a"], ["home", "Box", "a", "b"], ["home", "Box", "c"], ["home", "Box", "c", "d"]]

@@ -56,7 +56,7 @@ def test_communities_two_cliques(spark):
                 rows.append((f"{grp}{i}", f"{grp}{j}", 1.0))
     rows.append(("a0", "b0", 0.1))
     e = spark.createDataFrame(rows, "src string, dst string, weight double")
-    for algo in (CM.louvain, CM.label_propagation):
+    for algo in (CM.louvain, CM.leiden, CM.label_propagation):
         cl = {r["tag"]: r["cluster_id"] for r in CM.number_clusters(algo(e)).collect()}
         assert len({cl[f"a{i}"] for i in range(5)}) == 1 and len({cl[f"b{i}"] for i in range(5)}) == 1
         assert cl["a0"] != cl["b0"]
