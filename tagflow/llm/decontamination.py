@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
+from .arrays import replaced
 from .common import documents, keep_nothing, pick, workers_ready
 from .fm_index import GAP, FMIndex
 
@@ -204,14 +205,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
 
 def cut_out(text: Column, spans: Column) -> Column:
     """The text without its spans (in order, apart), by code points; a blank is left in place of each."""
-    def keep(acc: Column, x: Column) -> Column:
-        part = F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        return F.struct(x["end"].alias("at"), F.concat(acc["parts"], F.array(part)).alias("parts"))
-
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
-    rest = F.aggregate(spans, first, keep, lambda acc: F.array_join(F.concat(acc["parts"], F.array(
-        F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))), " "))
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
+    return replaced(text, spans, lambda x: F.lit(" "))
 
 
 def op6_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import state_path
+from .arrays import bound, replaced, scan
 from .common import column, documents, unused
 
 BASE = ("email", "ip", "card", "phone")
@@ -136,34 +137,53 @@ def _found(text: Column, shape: Shape) -> Column:
         F.substring(b, 1, 1).alias("after")))
     kind = KINDS.index(shape.kind)
 
-    def add(acc: Column, x: Column) -> Column:
-        m, start = x["m"], acc["at"] + x["gap"]
-        end = start + F.length(m)
+    def one(x: Column, start: Column) -> Column:
+        m = x["m"]
         passed = shape.passes(m)
         border = ~x["left"].rlike(r"[\p{L}\p{N}_]$") & ~x["after"].rlike(r"[\p{L}\p{N}_]")
-        one = F.struct(
-            start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"),
+        return F.struct(
+            start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(m)).alias("end"),
             (passed if shape.base else F.lit(False)).alias("base"), _vote(passed, ~passed).alias("v1"),
             shape.gazetteer(m).alias("v2"), _vote(x["left"].rlike(CONTEXT[shape.kind]), x["left"].rlike(AGAINST)).alias("v3"),
             _vote(border, ~border).alias("v4"),
             sum((F.length(m) > n).cast("int") for n in LENGTHS).alias("len"),
             F.floor(F.length(_digits(m)) * 2.999 / F.length(m)).cast("int").alias("digits"))
-        return F.struct(end.alias("at"), F.concat(acc["all"], F.array(one)).alias("all"))
 
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_CANDIDATE).alias("all"))
+    def all_of(some: Column) -> Column:
+        starts = scan(some, F.lit(0).cast("long"), "bigint",
+                      lambda at, x: (at + x["gap"] + F.length(x["m"]), at + x["gap"]))
+        return F.zip_with(some, starts, one).cast(_CANDIDATE)
+
     some = F.filter(ahead, lambda x: x["m"].isNotNull())  # what follows the last match stands last
-    return F.when(shape.gate, F.aggregate(some, first, add, lambda acc: acc["all"])).otherwise(F.array().cast(_CANDIDATE))
+    return F.when(shape.gate, bound(some, all_of)).otherwise(F.array().cast(_CANDIDATE))
 
 
 def candidates(docs: DataFrame, out_col: str = "candidates", text_col: str = "text") -> DataFrame:
-    """docs with the candidates of each text, in the order of start and kind."""
+    """docs with the candidates of each text, in the order of start and kind.
+
+    A candidate beyond the base gives way to a base match that it overlaps: one pass over all in their order knows
+    how far base matches have reached, one back where the next begins.
+    """
     text = F.coalesce(column(text_col), F.lit(""))
-    found = [_found(text, s) for s in shapes(text)]
-    n_base = sum(s.base for s in shapes(text))
-    base, more = F.concat(*found[:n_base]), F.concat(*found[n_base:])
-    # a candidate beyond the base gives way to a base match that it overlaps
-    free = F.filter(more, lambda x: ~F.exists(base, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
-    return docs.withColumn(out_col, F.array_sort(F.concat(base, free)))
+
+    def marked(shape: Shape) -> Column:
+        extra = int(not any(shape is s for s in of_base))
+        return F.transform(_found(text, shape), lambda c: F.struct(c["start"].alias("start"), F.lit(extra).alias("extra"), c.alias("c")))
+
+    every = shapes(text)
+    of_base = every[:sum(s.base for s in every)]
+
+    def free(both: Column) -> Column:
+        is_base = lambda x: x["extra"] == 0
+        before = scan(both, F.lit(0).cast("long"), "boolean", lambda reach, x: (
+            F.when(is_base(x), F.greatest(reach, x["c"]["end"])).otherwise(reach), ~is_base(x) & (x["start"] < reach)))
+        after = bound(F.reverse(both), lambda back: F.reverse(scan(back, F.lit(2 ** 62), "boolean", lambda next_one, x: (
+            F.when(is_base(x), x["start"]).otherwise(next_one), ~is_base(x) & (x["c"]["end"] > next_one)))))
+        gone = F.zip_with(before, after, lambda a, b: a | b)
+        kept = F.filter(F.zip_with(both, gone, lambda x, g: F.struct(x["c"].alias("c"), g.alias("g"))), lambda x: ~x["g"])
+        return F.transform(kept, lambda x: x["c"])
+
+    return docs.withColumn(out_col, bound(F.array_sort(F.concat(*[marked(s) for s in every])), free))
 
 
 def _features(kind: int, votes: tuple[int, ...], length: int, digits: int) -> list[str]:
@@ -253,17 +273,7 @@ def as_text(spans: Column) -> Column:
 def redacted(text: Column, spans: Column) -> Column:
     """The text with every run of overlapping spans replaced by its first kind, as [KIND]."""
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-
-    def cut(acc: Column, x: Column) -> Column:
-        apart = x["start"] >= acc["at"]
-        part = F.when(apart, F.array(F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")),
-                                     F.get(marks, x["kind"]))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["parts"], part).alias("parts"))
-
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
-    done = F.aggregate(spans, first, cut, lambda acc: F.concat(
-        F.array_join(acc["parts"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return replaced(text, spans, lambda x: F.get(marks, x["kind"]))
 
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
