@@ -6,8 +6,10 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.tags import DEFAULT_BLOCKLIST, has_any_tag, parse_tag_list, remove_tags
+from .common import first_rows
 
 # Ratings behind the two named filters; any other filter value keeps every rating.
 RATING_SETS = {"safe": ("g", "s"), "nsfw": ("q", "e")}
@@ -60,8 +62,10 @@ def blocked_count(posts: DataFrame, rating: str | None = "nsfw",
 
 
 def first_n(posts: DataFrame, n: int, order_col: str = "id") -> DataFrame:
-    """the first n rows in a stated order (Spark has no row position)."""
-    return posts.orderBy(F.col(order_col).asc()).limit(n)
+    """the first n rows in a stated order (Spark has no row position), by threshold where the order is one of numbers."""
+    number = isinstance(posts.schema[order_col].dataType, NumericType)
+    lead = F.col(order_col) if number else F.lit(None)
+    return first_rows(posts, lead, [F.col(order_col).asc_nulls_last()], n, "_place")[0].drop("_place")
 
 
 def filter_rate(posts: DataFrame) -> DataFrame:

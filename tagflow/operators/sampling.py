@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timefmt import parse_created_lenient, per_hour, whole_hours_since
-from .common import numbered, row_count
+from .common import first_rows
 
 
 def with_score_per_hour(active: DataFrame, ts_col: str = "created_datetime") -> DataFrame:
@@ -28,8 +28,13 @@ def rank_order() -> list[Column]:
 
 
 def top_n(scored: DataFrame, n: int) -> DataFrame:
-    """K1/K2: exact top n. Plans as TakeOrderedAndProject: every task keeps an n-row heap."""
-    return scored.orderBy(*rank_order()).limit(n)
+    """K1/K2: exact top n, by threshold: neither n rows of every split in one reducer nor a sort of all rows."""
+    return top_ranked(scored, n).drop("rank")
+
+
+def top_ranked(scored: DataFrame, n: int) -> DataFrame:
+    """K1/K2 with rank (from 1, long)."""
+    return first_rows(scored, -F.col("score_per_hour"), rank_order(), n, "rank")[0].withColumn("rank", F.col("rank") + 1)
 
 
 def sample_label(n: Column, method: str = "top") -> Column:
@@ -39,22 +44,23 @@ def sample_label(n: Column, method: str = "top") -> Column:
              .otherwise(F.format_string(method + "%d", n)))
 
 
-def ranked_sizes(df: DataFrame, order: list[Column], sizes: Iterable[int], method: str) -> DataFrame:
-    """The first rows of df in an order, once for each size: rank, sample_size, sample_label.
+def ranked_sizes(df: DataFrame, lead: Column, order: list[Column], sizes: Iterable[int], method: str) -> DataFrame:
+    """The first rows of df in an order, once for each size: rank, sample_size, sample_label. lead: as in first_rows.
 
-    Rows are ranked once, in parallel. A size above the rows there are is skipped, as in the studied
-    project; the count is part of the plan, so every size takes the same way.
+    Rows are ranked once, in parallel, and only as far as the largest size that df can fill: a size above the
+    rows there are is skipped, as in the studied project.
     """
-    wanted = sorted({int(x) for x in sizes})
-    ranked = numbered(df, order, "rank").withColumn("rank", F.col("rank") + 1).where(F.col("rank") <= max(wanted, default=0))
-    size_col = F.explode(F.array(*[F.lit(s).cast("bigint") for s in wanted])).alias("sample_size")
-    out = ranked.select("*", size_col).where((F.col("rank") <= F.col("sample_size")) & (F.col("sample_size") <= row_count(df)))
+    total = df.count()
+    wanted = sorted({int(x) for x in sizes if int(x) <= total})
+    ranked, _ = first_rows(df, lead, order, max(wanted, default=0), "rank")
+    size_col = F.explode(F.array(*[F.lit(s).cast("bigint") for s in wanted]).cast("array<bigint>")).alias("sample_size")
+    out = ranked.withColumn("rank", F.col("rank") + 1).select("*", size_col).where(F.col("rank") <= F.col("sample_size"))
     return out.withColumn("sample_label", sample_label(F.col("sample_size"), method))
 
 
 def top_n_sizes(scored: DataFrame, sizes: Iterable[int]) -> DataFrame:
     """K6: the best by score per hour, for several sizes."""
-    return ranked_sizes(scored, rank_order(), sizes, "top")
+    return ranked_sizes(scored, -F.col("score_per_hour"), rank_order(), sizes, "top")
 
 
 def rebased_sample(sample: DataFrame) -> DataFrame:
@@ -70,9 +76,18 @@ def rebased_sample(sample: DataFrame) -> DataFrame:
 
 def random_order(id_col: str = "id", seed: int = 42) -> list[Column]:
     """A random order of ids that depends on seed and id alone (not on partitions): by MD5 of both."""
-    return [F.md5(F.concat(F.lit(f"{int(seed)}:"), F.col(id_col).cast("string")).cast("binary")), F.col(id_col)]
+    return [_md5(id_col, seed), F.col(id_col)]
+
+
+def _md5(id_col: str, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{int(seed)}:"), F.col(id_col).cast("string")).cast("binary"))
+
+
+def random_lead(id_col: str = "id", seed: int = 42) -> Column:
+    """The first 52 bits of the random order, as a number."""
+    return F.conv(F.substring(_md5(id_col, seed), 1, 13), 16, 10).cast("double")
 
 
 def random_n(active: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """K5: n rows without replacement (all rows when n >= size), exact and layout-stable."""
-    return active.orderBy(*random_order("id", seed)).limit(n)
+    return first_rows(active, random_lead("id", seed), random_order("id", seed), n, "rank")[0].drop("rank")

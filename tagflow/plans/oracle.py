@@ -190,6 +190,9 @@ ORACLE: dict[str, str] = {
     "score_per_hour": "WITH" + POSTS + SCORED + " SELECT id, hours_since_start, round(score_per_hour, 9) AS score_per_hour FROM scored2",
     "top_n": "WITH" + POSTS + SCORED + f""" SELECT id, score, hours_since_start, round(score_per_hour, 9) AS score_per_hour
         FROM scored2 ORDER BY score_per_hour DESC, id ASC LIMIT {Q.TOP_N}""",
+    "top_n_large": "WITH" + POSTS + SCORED + f""", ranked AS (
+        SELECT id, row_number() OVER (ORDER BY score_per_hour DESC, id ASC) AS rank, round(score_per_hour, 9) AS score_per_hour FROM scored2)
+        SELECT * FROM ranked WHERE rank <= {Q.TOP_N_LARGE}""",
     "top_n_sizes": "WITH" + POSTS + SCORED + """,
         rk AS (SELECT id, row_number() OVER (ORDER BY score_per_hour DESC, id ASC) AS rank FROM scored2),
         sizes AS (SELECT CAST(unnest(""" + "[" + ", ".join(str(s) for s in Q.SAMPLE_SIZES) + """]) AS BIGINT) AS sample_size)

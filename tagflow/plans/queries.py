@@ -35,6 +35,7 @@ NICHE_MIN_POSTS = 1500
 PARITY_TAIL = 2000
 WIKI_WEIGHT = 0.2
 TOP_N = 1000
+TOP_N_LARGE = 10_000
 SAMPLE_SIZES = (100, 500, 1000, 1500, 5000, 1_000_000)
 RANDOM_N = 1000
 FIRST_N = 10_000
@@ -168,6 +169,11 @@ def q_top_n(spark, d):
                                                    r9("score_per_hour").alias("score_per_hour"))
 
 
+def q_top_n_large(spark, d):
+    """K1/K2 at a size beyond what one reducer should hold, with ranks."""
+    return S.top_ranked(scored(spark, d), TOP_N_LARGE).select("id", "rank", r9("score_per_hour").alias("score_per_hour"))
+
+
 def q_top_n_sizes(spark, d):
     return S.top_n_sizes(scored(spark, d), SAMPLE_SIZES).select("sample_label", "sample_size", "rank", "id")
 

@@ -17,8 +17,8 @@ INT_COLUMNS = {
     "depth_histogram": ["depth"], "distinctive_tags": ["rank"], "example_bundles": ["rank"],
     "example_posts": ["rank"], "group_members": ["depth"], "hierarchy_classify": ["depth"],
     "hierarchy_flat": ["depth"], "hierarchy_normalised": ["depth"], "items_under_path_list": ["depth"],
-    "parse_tags": ["n_tags"], "select_groups": ["idx"], "stop_tag_filter": ["n_tags"],
-    "top_cluster_examples": ["rank"], "top_n_sizes": ["rank"], "top_tags_per_type": ["rank"],
+    "parse_tags": ["n_tags"], "stop_tag_filter": ["n_tags"],
+    "top_cluster_examples": ["rank"], "top_tags_per_type": ["rank"],
     "children_by_depth": ["depth"], "nested_items": ["depth"],
 }
 

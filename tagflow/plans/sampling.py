@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import counts as K
@@ -16,16 +16,16 @@ from ..sources.adapters import POST_COLUMNS
 def samples(posts: DataFrame, sizes: Iterable[int], method: str = "top", seed: int = 42) -> DataFrame:
     """All requested samples in one frame with a `sample_label` column; sizes above the active set
     are skipped. Top samples carry rank_score_per_hour and the per-sample re-based score_per_hour
-    (trap 4); the re-basing minimum is a window over each sample (bounded by its size)."""
+    (trap 4); the re-basing minimum of each sample is an aggregate, a row for each size asked for."""
     active = active_posts(posts, [c for c in POST_COLUMNS])
     if method == "top":
         ranked = S.top_n_sizes(S.with_score_per_hour(active), sizes)
-        origin = F.min("created_datetime").over(Window.partitionBy("sample_size"))
-        hours = S.whole_hours_since("created_datetime", origin)
-        return (ranked.withColumnRenamed("score_per_hour", "rank_score_per_hour")
+        origins = ranked.groupBy("sample_size").agg(F.min("created_datetime").alias("_origin"))
+        hours = S.whole_hours_since("created_datetime", F.col("_origin"))
+        return (ranked.join(F.broadcast(origins), "sample_size").withColumnRenamed("score_per_hour", "rank_score_per_hour")
                       .withColumn("hours_since_start", hours)
-                      .withColumn("score_per_hour", S.per_hour("score", "hours_since_start")))
-    return S.ranked_sizes(active, S.random_order("id", seed), sizes, "random")
+                      .withColumn("score_per_hour", S.per_hour("score", "hours_since_start")).drop("_origin"))
+    return S.ranked_sizes(active, S.random_lead("id", seed), S.random_order("id", seed), sizes, "random")
 
 
 def sample_stats(sampled: DataFrame) -> DataFrame:

@@ -120,3 +120,41 @@ def test_state_is_deleted_on_request(spark):
     drop_state(spark, path)
     assert path not in spark.sparkContext._tagflow_states and not os.path.exists(urlparse(path).path)
     assert materialize(spark.range(3)).count() == 3
+
+
+def test_first_rows_by_threshold(spark):
+    """Against a plain sort: ties by the further order, nulls last, sizes around the number of rows, skewed leads."""
+    import random
+
+    from tagflow.operators.common import first_rows
+
+    rng = random.Random(3)
+    for leads in ([rng.random() for _ in range(3000)], [1.0] * 2500 + [rng.random() for _ in range(500)], [None] * 400 + [float(k) for k in range(50)], []):
+        rows = list(enumerate(leads))
+        df = spark.createDataFrame(rows, "id long, v double").repartition(5)
+        for n in (0, 1, 49, 60, 1000, 5000):
+            got, total = first_rows(df, F.col("v"), [F.col("v").asc_nulls_last(), F.col("id").desc()], n, "place")
+            want = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, -r[0]))[:n]
+            assert total == len(rows)
+            assert sorted((r["place"], r["id"]) for r in got.collect()) == [(k, r[0]) for k, r in enumerate(want)]
+
+
+def test_few_rows_are_ranked(spark):
+    """Of 200,000 rows the 100 first are cut off by value; what is written to be ranked is a small part."""
+    from tagflow.operators import common
+
+    df = spark.range(200_000).withColumn("v", F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double"))
+    written = []
+    plain = common.numbered
+
+    def spy(some, order, name):
+        written.append(some.count())
+        return plain(some, order, name)
+
+    common.numbered = spy
+    try:
+        got, _ = common.first_rows(df, F.col("v"), [F.col("v"), F.col("id")], 100, "place")
+    finally:
+        common.numbered = plain
+    assert 100 <= written[0] <= 1000
+    assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in df.orderBy("v", "id").limit(100).collect())
