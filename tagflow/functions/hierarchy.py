@@ -107,7 +107,7 @@ def glob_match_any(text, patterns: Iterable[str]) -> Column:
 def group_base_names(name) -> tuple[Column, Column]:
     """For "tag group:X" the candidate base names X and (X without " tags" when it ends so)."""
     n = _c(name)
-    base = F.trim(F.replace(n, F.lit(GROUP_PREFIX), F.lit("")))
+    base = stripped(F.replace(n, F.lit(GROUP_PREFIX), F.lit("")))
     alt = F.when(base.endswith(TAGS_SUFFIX), F.replace(base, F.lit(TAGS_SUFFIX), F.lit("")))
     return base, alt
 

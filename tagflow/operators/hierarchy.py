@@ -280,6 +280,23 @@ def items_under_path(items: DataFrame, term: str, k: int = 20) -> tuple[DataFram
     return count, listing
 
 
+COUNT_UNDER_PATH = """
+SELECT count(DISTINCT tag_id) AS items FROM {paths} WHERE path_value ILIKE concat('%', :term, '%')"""
+
+LIST_UNDER_PATH = """
+SELECT t.name, c.classification_name, t.depth
+FROM {tags} t JOIN {classifications} c ON t.classification_id = c.classification_id
+WHERE t.tag_id IN (SELECT tag_id FROM {paths} WHERE path_value ILIKE concat('%', :term, '%'))
+ORDER BY t.depth, t.name LIMIT :k"""
+
+
+def items_under_path_sql(items: DataFrame, term: str, k: int = 20) -> tuple[DataFrame, DataFrame]:
+    """S7/H16 as the two SQL statements over the three tables, with the term and k as parameters."""
+    tags, classifications, paths = relational_tables(items)
+    spark, views = items.sparkSession, {"tags": tags, "classifications": classifications, "paths": paths}
+    return (spark.sql(COUNT_UNDER_PATH, {"term": term}, paths=paths), spark.sql(LIST_UNDER_PATH, {"term": term, "k": k}, **views))
+
+
 def run_statistics(raw_items: DataFrame, resolved: DataFrame, nodes: DataFrame, norm_log: DataFrame,
                    removed: DataFrame) -> DataFrame:
     """Items, followable items, distinct excluded / ignored, log sizes (one row)."""

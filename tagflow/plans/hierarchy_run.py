@@ -53,9 +53,25 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ITEM_STRUCT[len("struct<"):-1].replace(":", " ")).json(path)
 
 
+def write_nested_result(items: DataFrame, path: str, per_document: int = 1000, member: str = "normalized_data") -> None:
+    """The studied project's nested format, {member: {items: {name: item}}}, one document for about per_document items.
+
+    Items are dealt to documents by hash of the name, so no document or task holds more than its share."""
+    n = max(1, -(-items.count() // per_document))
+    fields = ["name", "url", "path", "parent", "depth", F.col("has_nested").alias("has_nested_list"), "classification", "should_follow"]
+    docs = items.groupBy(F.pmod(F.xxhash64("name"), F.lit(n)).alias("document")).agg(
+        F.map_from_entries(F.collect_list(F.struct("name", F.struct(*fields)))).alias("items"))
+    docs.select(F.to_json(F.struct(F.struct("items").alias(member)), {"ignoreNullFields": "false"})).write.mode("overwrite").text(path)
+
+
 def read_nested_result(spark: SparkSession, path: str, member: str = "normalized_data") -> DataFrame:
-    """The studied project's single-document result ({member: {items: {name: item}}}) -> rows.
-    A whole JSON document is one record, so each file is read by one task."""
-    schema = f"{member} struct<items: map<string, {ITEM_STRUCT}>>"
-    doc = spark.read.option("multiLine", True).schema(schema).json(path)
-    return doc.select(F.explode(f"{member}.items").alias("key", "item")).select("item.*")
+    """Nested documents ({member: {items: {name: item}}}) -> rows, one for each entry.
+
+    A document is read as VARIANT, a compact binary value of any shape, and exploded by key: no struct or map of
+    all its items is built, and an item may lack fields (null) or have others. A JSON document is one record,
+    so parsing it is one task's work; the rows are dealt anew by name for what follows."""
+    docs = spark.read.option("multiLine", True).option("singleVariantColumn", "doc").json(path)
+    items = docs.select(F.variant_get("doc", f"$.{member}.items", "variant").alias("items"))
+    entries = items.lateralJoin(spark.tvf.variant_explode(F.col("items").outer())).select("key", "value")
+    fields = ITEM_STRUCT[len("struct<"):-1].split(", ")
+    return entries.repartition("key").select(*[F.variant_get("value", f"$.{f.split(':')[0]}", f.split(":")[1]).alias(f.split(":")[0]) for f in fields])

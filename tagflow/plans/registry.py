@@ -4,11 +4,12 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from . import hierarchy_queries, queries, stream_queries
+    from . import hierarchy_queries, queries, sink_queries, stream_queries
 
     out = dict(queries.QUERIES)
     out.update(hierarchy_queries.QUERIES)
     out.update(stream_queries.QUERIES)
+    out.update(sink_queries.QUERIES)
     return out
 
 
@@ -29,8 +30,9 @@ def _typed(sql: str, cols: list[str]) -> str:
 
 
 def all_oracle_sql() -> dict:
-    from . import hierarchy_oracle, oracle
+    from . import hierarchy_oracle, oracle, sink_oracle
 
     out = dict(oracle.ORACLE)
     out.update(hierarchy_oracle.ORACLE)
+    out.update(sink_oracle.ORACLE)
     return {k: _typed(v, INT_COLUMNS[k]) if k in INT_COLUMNS else v for k, v in out.items()}

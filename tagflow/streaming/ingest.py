@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.counts import long_tags
 from ..operators.posts import active_predicate
-from ..session import ensure_checkpoint_dir
+from ..session import state_path
 
 POST_SCHEMA = ("id long, created_at string, score long, rating string, is_deleted boolean, is_banned boolean, "
                "general string, character string, copyright string, artist string, meta string")
@@ -23,15 +23,14 @@ KEEP = ["id", "created_at", "score", "rating", "general", "character", "copyrigh
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint location."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tagflow-{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder under the cluster's shared checkpoint location; ``clear_state`` deletes it."""
+    return state_path(spark, name)
 
 
 def stage_post_files(posts: DataFrame, path: str) -> None:
     """Write posts as parquet files, one for each shuffle partition, to feed a stream."""
     n = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    posts.repartition(n, "id").write.mode("append").parquet(path)
+    posts.repartition(n, F.xxhash64("id")).write.mode("append").parquet(path)
 
 
 def post_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -51,24 +50,84 @@ def ingest_active(spark: SparkSession, source: str, sink: str, checkpoint: str,
     return q
 
 
-def maintain_tag_counts(spark: SparkSession, source: str, sink: str, checkpoint: str, files_per_trigger: int | None = None):
-    """Running (tag_type, tag) counts of active posts. The state is bounded by the distinct tags.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match, by Hadoop's file system API, so wherever the sink is."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return [x.getPath().toString() for x in (found or [])]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _snapshots(spark: SparkSession, sink: str) -> list[tuple[int, str]]:
+    """(epoch, folder) of the snapshots that are complete: Spark's marker file is written last, in one step."""
+    done = (x.rsplit("/", 1)[0] for x in _folders(spark, f"{sink}/snapshot=*/*/_SUCCESS"))
+    return sorted((int(x.rsplit("/", 2)[-2].split("=")[1]), x) for x in done)
+
+
+def _deltas(spark: SparkSession, sink: str) -> list[tuple[int, str]]:
+    return sorted((int(x.rsplit("=", 1)[1]), x) for x in _folders(spark, f"{sink}/epoch=*"))
+
+
+def compact_tag_counts(spark: SparkSession, sink: str, epoch: int) -> None:
+    """Writes the counts as of epoch into a snapshot of their own, then deletes what two snapshots have made useless.
+
+    A snapshot counts once its marker is there, so readers see the old state or the new one. The snapshot
+    before stays, with the deltas after it, for readers that have just chosen it."""
+    read_tag_counts(spark, sink, epoch).write.parquet(f"{sink}/snapshot={epoch}/{uuid.uuid4().hex}")
+    kept = sorted({e for e, _ in _snapshots(spark, sink)})[-2:]
+    if len(kept) == 2:
+        for e, path in _deltas(spark, sink):
+            if e <= kept[0]:
+                _delete(spark, path)
+        for path in _folders(spark, f"{sink}/snapshot=*"):
+            if int(path.rsplit("=", 1)[1]) < kept[0]:
+                _delete(spark, path)
+
+
+def maintain_tag_counts(spark: SparkSession, source: str, sink: str, checkpoint: str, files_per_trigger: int | None = None,
+                        snapshot_every: int | None = 16):
+    """Running (tag_type, tag) counts of active posts. The state, in RocksDB, is bounded by the distinct tags.
 
     A batch writes the counts it changed to a folder of its epoch, which a retried batch writes anew;
-    what readers have seen is never overwritten. ``read_tag_counts`` takes the latest of each tag."""
+    every snapshot_every epochs (None: never) they are compacted. ``read_tag_counts`` takes the latest of each tag."""
     counts = (post_stream(spark, source, files_per_trigger).filter(active_predicate())
               .transform(long_tags).groupBy("tag", "tag_type").agg(F.count(F.lit(1)).alias("count")))
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
-
-    q = (counts.writeStream.outputMode("update").foreachBatch(write)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+        if snapshot_every and epoch % snapshot_every == snapshot_every - 1:
+            compact_tag_counts(spark, sink, epoch)
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        q = (counts.writeStream.outputMode("update").foreachBatch(write)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
     return q
 
 
-def read_tag_counts(spark: SparkSession, sink: str) -> DataFrame:
-    """The current counts: of each tag the count of its latest epoch."""
-    every = spark.read.parquet(sink)
+def read_tag_counts(spark: SparkSession, sink: str, upto: int | None = None) -> DataFrame:
+    """The current counts (as of epoch upto): the last snapshot, and of each tag changed since the count of its latest epoch."""
+    snapshots = [x for x in _snapshots(spark, sink) if upto is None or x[0] <= upto]
+    since, last = snapshots[-1] if snapshots else (-1, None)
+    later = [(e, x) for e, x in _deltas(spark, sink) if e > since and (upto is None or e <= upto)]
+    parts = [spark.read.parquet(x).select("tag", "tag_type", "count", F.lit(e).cast("long").alias("epoch"))
+             for e, x in ([(since, last)] if last else []) + later]
+    if not parts:
+        return spark.createDataFrame([], "tag string, tag_type string, count long")
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
     return every.groupBy("tag", "tag_type").agg(F.max_by("count", "epoch").alias("count"))
