@@ -14,7 +14,8 @@ TAIL_WORDS = ("see", "also")
 
 # parity: everything from the start of the body through the line (or up to an "hN.") holding
 # the last marker -- what the original multiline/dot-all pattern returns. Anchored once at \A
-# so the scan is linear; the lazy group stops before the terminator, so no lookahead\n# is needed (the same pattern runs in Java regex and in RE2).
+# so the scan is linear; the lazy group stops before the terminator, so no lookahead
+# is needed (the same pattern runs in Java regex and in RE2).
 PARITY_SECTION_RE = r"(?s)\A(.*" + SEE_ALSO_RE + r".*?)(?:h[1-6]\.|\n|\z)"
 # section: the text after the last marker up to the next line that starts with "hN.".
 SECTION_RE = r"(?s)\A.*" + SEE_ALSO_RE + r"(.*?)(?:\nh[1-6]\.|\z)"

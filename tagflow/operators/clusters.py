@@ -91,10 +91,10 @@ def distinctive_tags(filtered: DataFrame, pc: DataFrame, k: int = 15, min_cluste
     tl = filtered.select("post_id", F.explode("tags").alias("tag")).filter(F.col("tag").isNotNull() & (F.col("tag") != ""))
     tl = tl.join(pc.select("post_id", "cluster_id"), "post_id")
     total = row_count(filtered)
-    global_tag = tl.groupBy("tag").agg(F.count(F.lit(1)).alias("global_posts"))
     cluster_posts = pc.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_posts"))
     cluster_tag = tl.groupBy("cluster_id", "tag").agg(F.count(F.lit(1)).alias("cluster_tag_posts"))
-    lf = (cluster_tag.join(global_tag, "tag", "left")
+    # a tag's count over all clusters is the sum of its counts in each
+    lf = (cluster_tag.withColumn("global_posts", F.sum("cluster_tag_posts").over(Window.partitionBy("tag")))
                      .join(cluster_posts, "cluster_id", "left")
                      .withColumn("p_tag_given_cluster", F.col("cluster_tag_posts") / F.col("cluster_posts"))
                      .withColumn("p_tag", F.col("global_posts") / total.cast("double"))

@@ -156,6 +156,15 @@ ORACLE = {
     "nested_items": SITE + """ SELECT page_id, pos, name, path, has_nested, depth,
         CASE WHEN contains(lower(name), 'tag group') THEN 'traditional_tag_group' WHEN has_nested AND linked THEN 'tag_and_tag_group'
              WHEN has_nested THEN 'tag_group_only' ELSE 'final_tag_only' END AS classification FROM site_items""",
+    "catalogue_items": """WITH placed AS (
+          SELECT p_partkey // 100 AS page_id, row_number() OVER (PARTITION BY p_partkey // 100 ORDER BY p_partkey) - 1 AS n,
+            p_name || ' #' || p_partkey AS name, p_brand, p_type FROM part),
+        ends AS (SELECT page_id, count(*) AS parts, 'List of parts ' || (page_id + 1) AS name FROM placed GROUP BY page_id)
+        SELECT page_id, 1 AS pos, 'Parts ' || page_id AS name, 'Parts ' || page_id AS path, false AS has_link, true AS has_nested FROM ends
+        UNION ALL SELECT page_id, 3 * n + 2, name, 'Parts ' || page_id || '/' || name, true, true FROM placed
+        UNION ALL SELECT page_id, 3 * n + 3, p_brand, 'Parts ' || page_id || '/' || name || '/' || p_brand, false, false FROM placed
+        UNION ALL SELECT page_id, 3 * n + 4, p_type, 'Parts ' || page_id || '/' || name || '/' || p_type, false, false FROM placed
+        UNION ALL SELECT page_id, 3 * parts + 2, name, 'Parts ' || page_id || '/' || name, true, false FROM ends""",
     "nested_items_with_noise": SITE + """ SELECT page_id, CASE WHEN page_id > 0 THEN pos + 1 ELSE pos END AS pos, name, path FROM site_items
         UNION ALL SELECT page_id, 0, 'Home', 'Home' FROM site_types""",
     "page_headings": SITE + """ SELECT page_id, 'heading' AS kind, 0 AS pos, p_type AS name, 2 AS level FROM site_types

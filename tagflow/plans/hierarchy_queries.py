@@ -154,6 +154,12 @@ def q_nested_items(spark, d):
     return items.select("page_id", F.col("seq.pos").alias("pos"), "name", pj().alias("path"), "has_nested", "depth", "classification")
 
 
+def q_catalogue_items(spark, d):
+    """Items of pages whose number grows with part."""
+    items = H.page_items(H.page_nodes(materialize(adapters.catalogue_pages(spark, d), "catalogue")))
+    return items.select("page_id", F.col("seq.pos").cast("bigint").alias("pos"), "name", pj().alias("path"), "has_link", "has_nested")
+
+
 def q_nested_items_with_noise(spark, d):
     """H1: the same with the nav lists kept."""
     items = H.page_items(H.page_nodes(site(spark, d), H.default_config(noise=())))

@@ -78,6 +78,9 @@ ORACLE: dict[str, str] = {
         f""" {'UNION ALL ' if n else ''}SELECT '{t}' AS "table", '{c}' AS "column", count(*) AS rows, CAST(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls,
         true AS distinct_within, {'true' if c in ('id', 'score') else 'CAST(NULL AS BOOLEAN)'} AS quantiles_within FROM {t}"""
         for n, (t, c) in enumerate([("posts", c) for c in ("id", "score", "rating", "general", "artist")] + [("wiki", c) for c in ("id", "title", "tag", "body")])),
+    "relational_posts": O.BASE + " SELECT post_id, score, CAST(len(tags) AS BIGINT) AS n_tags, tags[1] AS first_tag FROM filtered WHERE len(tags) > 0",
+    "relational_tag_pages": O.BASE + O._graph() + O.WIKI + """ SELECT freq.tag, freq, wiki.id AS wiki_id, CAST(2 AS BIGINT) AS other_names
+        FROM freq JOIN wiki ON coalesce(nullif(wiki.tag, ''), nullif(wiki.title, '')) = freq.tag""",
     "trait_swap": O.BASE + """,
         words AS (SELECT DISTINCT unnest(tags) AS tag FROM filtered),
         swaps AS (SELECT tag, 'hot' || substr(tag, 4) AS swapped FROM words

@@ -15,7 +15,7 @@ from ..operators.cycles import find_cycles
 from ..session import materialize, state_path
 from ..sources import adapters
 from ..streaming import ingest as ST
-from . import genre, hierarchy_run, sampling
+from . import genre, hierarchy_run, relational, sampling
 from . import hierarchy_queries as HQ
 from . import queries as Q
 from . import reports as R
@@ -178,6 +178,27 @@ def q_column_profile_sketched(spark, d):
     return out
 
 
+def _relational(spark, d, build):
+    """The five bucketed tables, written; build gets them by name. Their names leave the catalogue, their files stay for the result."""
+    out = state_path(spark, "relational")
+    wiki = adapters.wiki(spark, d).withColumn("other_names", F.array(F.replace("title", F.lit(" "), F.lit("_")), F.upper("title")))
+    tables = relational.normalised_tables(Q.filtered(spark, d).select("post_id", "score", "rating", "created_at", "tags"), wiki)
+    names = relational.write_bucketed(tables, out, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    result = materialize(build({t: spark.table(n) for t, n in names.items()}), "relational-result")
+    relational.drop_bucketed(spark, names)
+    return result
+
+
+def q_relational_posts(spark, d):
+    """Posts with their tags, on the bucketed layout."""
+    return _relational(spark, d, lambda t: relational.post_summaries(t["posts"], t["post_tags"]))
+
+
+def q_relational_tag_pages(spark, d):
+    """Tags with their wiki page and other names, on the bucketed layout."""
+    return _relational(spark, d, lambda t: relational.tag_pages(t["tags"], t["wiki_pages"], t["wiki_other_names"]))
+
+
 def q_trait_swap(spark, d):
     """In every post the general tags of one category replaced by their counterparts of another."""
     f = materialize(Q.filtered(spark, d).select("post_id", "tags"), "traits")

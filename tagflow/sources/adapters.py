@@ -163,6 +163,26 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
 
 
+PARTS_PER_PAGE = 100
+
+
+def catalogue_pages(spark: SparkSession, sf_dir: str, per_page: int = PARTS_PER_PAGE) -> DataFrame:
+    """A page for each run of per_page part keys, so that pages grow in number with part and none in size.
+
+    page_id = p_partkey div per_page; h2 "Parts <page_id>" and a list of the parts by key: "<name> #<key>", linked, each with
+    a list of its brand and its type inside; last a link to the next page, "List of parts <page_id + 1>"."""
+    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_type"])
+    page = F.floor(F.col("p_partkey") / per_page).cast("long")
+    entry = F.concat(F.lit('<li><a href="/parts/'), F.col("p_partkey").cast("string"), F.lit('">'), F.col("p_name"), F.lit(" #"),
+                     F.col("p_partkey").cast("string"), F.lit("</a><ul><li>"), F.col("p_brand"), F.lit("</li><li>"), F.col("p_type"),
+                     F.lit("</li></ul></li>"))
+    lists = part.groupBy(page.alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", entry.alias("e")))).alias("es"))
+    after = (F.col("page_id") + 1).cast("string")
+    return lists.select("page_id", F.concat(F.lit("parts/"), F.col("page_id").cast("string")).alias("url"), F.concat(
+        F.lit("<h2>Parts "), F.col("page_id").cast("string"), F.lit("</h2><ul>"), F.array_join(F.transform("es", lambda x: x["e"]), ""),
+        F.lit('<li><a href="/wiki_pages/parts'), after, F.lit('">List of parts '), after, F.lit("</a></li></ul>")).alias("html"))
+
+
 def linked_pages(spark: SparkSession, sf_dir: str, host: str = "https://wiki.example.org") -> DataFrame:
     """A small site derived from part: an index page that links to one page for each type.
 

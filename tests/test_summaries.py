@@ -129,3 +129,27 @@ def test_traits_keep_the_bag(spark):
     categories = spark.createDataFrame([(t, *t.split(" ")) for t in ("red cup", "red lid", "hot cup", "old pan")], "tag string, category string, trait string")
     got = {r["post_id"]: (r["tags"], r["n_swapped"]) for r in TR.swap_traits(posts, TR.counterparts(categories, "red", "hot")).collect()}
     assert got == {1: (["hot cup", "old pan", "hot cup", "red lid"], 2), 2: ([], 0), 3: ([], 0)}
+
+
+def test_joins_of_the_bucketed_layout_need_no_exchange(spark):
+    from tagflow.plans import relational as RL
+    from tagflow.session import state_path
+
+    posts = spark.createDataFrame([(k, k % 7, "q", "2024", [f"t{k % 5}", f"t{k % 3}"]) for k in range(200)],
+                                  "post_id long, score long, rating string, created_at string, tags array<string>")
+    wiki = spark.createDataFrame([(k, f"t{k}", None if k % 2 else f"t{k}", "b", [f"o{k}"]) for k in range(6)],
+                                 "id long, title string, tag string, body string, other_names array<string>")
+    names = RL.write_bucketed(RL.normalised_tables(posts, wiki), state_path(spark, "relational"), 4)
+    t = {k: spark.table(n) for k, n in names.items()}
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        one, two = RL.post_summaries(t["posts"], t["post_tags"]), RL.tag_pages(t["tags"], t["wiki_pages"], t["wiki_other_names"])
+        assert one.count() == 200 and {r["tag"]: r["other_names"] for r in two.collect()} == {f"t{k}": 1 for k in range(5)}
+        for df in (one, two):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.set(key, before)
+        RL.drop_bucketed(spark, names)
