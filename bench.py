@@ -16,12 +16,12 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
     # E2 sampling and tag counts
-    "active_posts", "top_n_sizes", "random_n", "tag_counts_all", "top_tags_per_type",
+    "active_posts", "top_n_sizes", "top_n_large", "random_n", "tag_counts_all", "top_tags_per_type",
     # E1 genre pipeline
     "tag_frequency", "cooccur_pmi", "see_also_links", "merged_graph", "cluster_metrics",
-    "distinctive_tags", "example_bundles", "all_clusters", "run_overview", "communities_lp",
+    "distinctive_tags", "example_bundles", "all_clusters", "run_overview", "communities_lp", "communities_louvain",
     # E3 hierarchy
-    "page_items", "page_normalised", "nested_items", "expanded_items", "hierarchy_consolidated", "items_under_path_list",
+    "page_items", "page_normalised", "nested_items", "catalogue_items", "expanded_items", "hierarchy_consolidated", "items_under_path_list",
     # streaming
     "incremental_ingest", "streaming_tag_counts",
 ]
