@@ -1,12 +1,16 @@
 """Benchmark decontamination: an FM-index over each shard of documents, searched for benchmark phrases.
 
-A task reads its documents in shards of bounded size, writes each shard's words as numbers of the
-benchmark's vocabulary and builds an FM-index over them. A word that no phrase has ends a run, and a
-run shorter than every phrase can't hold one, so only runs that could are indexed; nothing else is
-left out. Each phrase is searched backward through wavelet-tree ranks, its occurrences are located
-by sampled suffix positions, and overlapping occurrences merge into spans of words to be removed.
-Documents are not shuffled. The benchmark goes to the tasks in blocks of bounded size, and a task
-holds one at a time.
+A task reads its documents in shards of bounded size, numbers the words that a shard shares with the
+benchmark and builds one FM-index over them. A word that no phrase has ends a run, and a run shorter
+than every phrase can't hold one, so only runs that could are indexed; nothing else is left out. Each
+phrase is searched backward through wavelet-tree ranks, its occurrences are located by sampled suffix
+positions, and overlapping occurrences merge into spans of words to be removed. Documents are not
+shuffled.
+
+The benchmark is compiled by Spark into blocks of bounded size (vocabulary, distinct phrases, items of
+each phrase), a table in the shared folder that stays there until ``session.clear_state``. A task reads
+it from there and holds one block at a time: first the vocabularies, for the numbers, then the phrases,
+for the search. The driver sees the number and the shortest phrase of each block.
 
 Words are runs of ASCII letters and digits (A-Z lower-cased) and of all characters beyond ASCII. A
 phrase is a window of 10 consecutive words of an item, or the whole item if it is shorter.
@@ -22,21 +26,25 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import state_path
 from ..sources.tables import read_table
 from .arrays import replaced
 from .common import documents, keep_nothing, pick, workers_ready
 from .fm_index import GAP, FMIndex
+from .token_files import file_system
 
 WINDOW = 10
 #: Bytes of text in a shard, and benchmark bytes in a block.
-SHARD_BYTES, BLOCK_BYTES = 8_000_000, 16_000_000
+SHARD_BYTES, BLOCK_BYTES = 8_000_000, 4_000_000
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
@@ -48,81 +56,156 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TO_WORDS).split()
 
 
-class Phrases:
-    """The distinct windows of one block of items, as numbers of the block's vocabulary."""
+class Block(NamedTuple):
+    """Of one block of items: its words, its item ids, and for each length (length, phrases, starts, owners).
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
-        self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            numbers = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words_of(text)]
-            for at in range(max(1, len(numbers) - window + 1) if numbers else 0):
-                owners.setdefault(tuple(numbers[at:at + window]), set()).add(item)
-        by_length: dict[int, list[tuple[int, ...]]] = {}
-        for phrase in owners:
-            by_length.setdefault(len(phrase), []).append(phrase)
-        self.by_length = [(n, np.array(p, dtype=np.int64), [sorted(owners[x]) for x in p])
-                          for n, p in sorted(by_length.items())]
-        self.shortest = min(by_length, default=0)
+    A phrase is a row of places in the vocabulary; its items are owners[starts[p]:starts[p + 1]].
+    """
+
+    vocabulary: list[bytes]
+    items: list[str]
+    phrases: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
+
+
+#: A block's row without a length holds its vocabulary and items; one more for each length holds its phrases.
+BLOCK_KINDS = ("block int, length int, vocabulary array<binary>, items array<string>, "
+               "phrases binary, starts binary, owners binary")
+BLOCK = pa.schema([("block", pa.int32()), ("length", pa.int32()), ("vocabulary", pa.list_(pa.binary())),
+                   ("items", pa.list_(pa.string())), ("phrases", pa.binary()), ("starts", pa.binary()), ("owners", pa.binary())])
+
+
+def compiled(block: int, rows: list[tuple[str, str]], window: int) -> list[dict]:
+    """Items as rows of BLOCK."""
+    vocabulary: dict[bytes, int] = {}
+    items: dict[str, int] = {}
+    windows: dict[int, list[tuple[np.ndarray, int]]] = {}
+    for item, text in sorted(rows):
+        numbers = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)], dtype=np.int32)
+        if len(numbers):
+            length = min(window, len(numbers))
+            windows.setdefault(length, []).append(
+                (np.lib.stride_tricks.sliding_window_view(numbers, length), items.setdefault(item, len(items))))
+    out = [{"block": block, "vocabulary": list(vocabulary), "items": list(items)}]
+    for length, parts in sorted(windows.items()):
+        phrases, which = np.unique(np.concatenate([p for p, _ in parts]), axis=0, return_inverse=True)
+        owner = np.repeat([i for _, i in parts], [len(p) for p, _ in parts])
+        which, owner = np.divmod(np.unique(which.ravel() * len(items) + owner), len(items))
+        starts = np.searchsorted(which, np.arange(len(phrases) + 1))
+        out.append({"block": block, "length": length, "phrases": phrases.astype("<i4").tobytes(),
+                    "starts": starts.astype("<i8").tobytes(), "owners": owner.astype("<i4").tobytes()})
+    return out
+
+
+class Blocks:
+    """The compiled benchmark in its folder. An only block is kept once read."""
+
+    def __init__(self, folder: str, numbers: list[int], shortest: int):
+        self.folder, self.numbers, self.shortest = folder, numbers, shortest
+        self.only: Block | None = None
+
+    def read(self, number: int, columns: list[str]) -> list[dict]:
+        system, path = file_system(self.folder)
+        return pq.read_table(f"{path}/block={number}", columns=columns, filesystem=system, partitioning=None).to_pylist()
+
+    def vocabularies(self) -> Iterator[list[bytes]]:
+        if len(self.numbers) == 1:
+            yield next(self.blocks()).vocabulary
+            return
+        for number in self.numbers:
+            yield next(r["vocabulary"] for r in self.read(number, ["vocabulary"]) if r["vocabulary"] is not None)
+
+    def blocks(self) -> Iterator[Block]:
+        for number in self.numbers:
+            block = self.only
+            if block is None:
+                rows = self.read(number, [n for n in BLOCK.names if n != "block"])
+                words = next(r for r in rows if r["length"] is None)
+                block = Block(words["vocabulary"], words["items"], [
+                    (r["length"], np.frombuffer(r["phrases"], "<i4").reshape(-1, r["length"]), np.frombuffer(r["starts"], "<i8"),
+                     np.frombuffer(r["owners"], "<i4")) for r in rows if r["length"] is not None])
+                if len(self.numbers) == 1:
+                    self.only = block
+            yield block
+
+
+def compile_benchmark(benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> Blocks:
+    """Write the benchmark's blocks to the shared folder; hashing makes them about equal."""
+    spark = benchmark.sparkSession
+    workers_ready(spark)
+    items = pick(benchmark, item=item_col, text=text_col).select(
+        F.coalesce(F.col("item").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    total = items.agg(F.sum(F.octet_length("text") + 16)).collect()[0][0] or 0
+    folder = state_path(spark, "benchmark")
+    if not total:
+        return Blocks(folder, [], 0)
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = list(zip(table.column("item").to_pylist(), table.column("text").to_pylist(), strict=True))
+        return pa.Table.from_pylist(compiled(table.column("block")[0].as_py(), rows, window), BLOCK)
+
+    n_blocks = -(-int(total) // BLOCK_BYTES)
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)).cast("int"))
+    dealt.groupBy("block").applyInArrow(run, BLOCK_KINDS).write.partitionBy("block").parquet(folder)
+    shortest = spark.read.parquet(folder).where("length IS NOT NULL").groupBy("block").agg(F.min("length")).collect()
+    return Blocks(folder, sorted(int(k) for k, _ in shortest), min((n for _, n in shortest), default=0))
 
 
-def search_shard(texts: list[str | None], phrases: Phrases) -> tuple[np.ndarray, list[tuple[int, int, int]], list[set[str]]]:
-    """For each text: its number of words, and the items found. Hits: (text, first word, end) of merged spans."""
+def search_shard(texts: list[str | None], benchmark: Blocks) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]]]:
+    """For each text: its number of words, the merged spans of words hit (first, end), and the items found."""
     joined = _MARK.join((t or "").encode().translate(_TO_WORDS) for t in texts)
     words = joined.split()
-    numbers = np.fromiter(map(phrases.vocabulary.get, words, repeat(0)), dtype=np.int32, count=len(words))
+    distinct = set(words)
+    known: dict[bytes, int] = {}
+    for vocabulary in benchmark.vocabularies():
+        for word in sorted(distinct.intersection(vocabulary)):
+            known.setdefault(word, len(known) + 2)
+    numbers = np.fromiter(map(known.get, words, repeat(0)), dtype=np.int32, count=len(words))
     marks = np.fromiter((i for i, w in enumerate(words) if w == b"\x01"), dtype=np.int64) if len(texts) > 1 else np.array([], dtype=np.int64)
-    del words
+    del words, distinct
     begins = np.concatenate(([0], marks + 1))
     counts = np.concatenate((marks, [len(numbers)])) - begins
+    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     found: list[set[str]] = [set() for _ in texts]
     inside = np.concatenate(([0], (numbers > 0).astype(np.int8), [0]))
     edges = np.diff(inside)
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    long_enough = (ends - starts) >= phrases.shortest
+    long_enough = (ends - starts) >= benchmark.shortest
     starts, ends = starts[long_enough], ends[long_enough]
-    if not phrases.by_length or not len(starts):
-        return counts, [], found
+    if not len(starts):
+        return counts, spans, found
     # the runs, each followed by a gap, and the place of every number among the shard's words
     lengths = ends - starts + 1
     offsets = np.concatenate(([0], np.cumsum(lengths)))
     places = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - starts, lengths)
     sequence = numbers[np.minimum(places, len(numbers) - 1)].astype(np.int64)
     sequence[offsets[1:] - 1] = GAP
-    index = FMIndex(sequence, len(phrases.vocabulary) + 1)
+    index = FMIndex(sequence, len(known) + 1)
     hit = np.zeros(len(numbers) + 1, dtype=np.int64)
-    for length, rows, owners in phrases.by_length:
-        low, high = index.search(rows)
-        some = np.flatnonzero(high > low)
-        if not len(some):
-            continue
-        n = (high - low)[some]
-        each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[some], n)
-        at = places[index.locate(each)]
-        np.add.at(hit, at, 1)
-        np.add.at(hit, at + length, -1)
-        texts_hit = np.searchsorted(begins, at, side="right") - 1
-        pairs = np.unique(np.stack((texts_hit, np.repeat(some, n))), axis=1)
-        for t, p in pairs.T.tolist():
-            found[t].update(owners[p])
-    covered = np.concatenate(([0], (np.cumsum(hit)[:-1] > 0).astype(np.int8), [0]))
-    covered = np.diff(covered)
-    spans = [(int(t), int(a - begins[t]), int(b - begins[t])) for a, b, t in zip(
-        np.flatnonzero(covered == 1), np.flatnonzero(covered == -1),
-        np.searchsorted(begins, np.flatnonzero(covered == 1), side="right") - 1, strict=True)]
+    for block in benchmark.blocks():
+        here = np.fromiter(map(known.get, block.vocabulary, repeat(0)), dtype=np.int64, count=len(block.vocabulary))
+        for length, phrases, first_owner, owners in block.phrases:
+            rows = here[phrases]
+            possible = np.flatnonzero(rows.all(axis=1))  # all words stand in this shard
+            low, high = index.search(rows[possible])
+            some = np.flatnonzero(high > low)
+            if not len(some):
+                continue
+            n = (high - low)[some]
+            each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[some], n)
+            at = places[index.locate(each)]
+            np.add.at(hit, at, 1)
+            np.add.at(hit, at + length, -1)
+            texts_hit = np.searchsorted(begins, at, side="right") - 1
+            pairs = np.unique(np.stack((texts_hit, np.repeat(possible[some], n))), axis=1)
+            for t, p in pairs.T.tolist():
+                found[t].update(block.items[i] for i in owners[first_owner[p]:first_owner[p + 1]])
+    covered = np.diff(np.concatenate(([0], (np.cumsum(hit)[:-1] > 0).astype(np.int8), [0])))
+    firsts, ends = np.flatnonzero(covered == 1), np.flatnonzero(covered == -1)
+    for t, a, b in zip(np.searchsorted(begins, firsts, side="right") - 1, firsts, ends, strict=True):
+        spans[t].append((int(a - begins[t]), int(b - begins[t])))
     return counts, spans, found
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
 def in_code_points(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Word spans as spans of code points."""
     data = text.encode()
@@ -160,17 +243,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
 
     prefix stands before these names, for docs that have columns so called.
     """
-    spark = docs.sparkSession
-    workers_ready(spark)
-    items = pick(benchmark, item=item_col, text=item_text_col).select(
-        F.coalesce(F.col("item").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text") + 16)).collect()[0][0] or 0
-    n_blocks = -(-int(total) // BLOCK_BYTES)
-    # one block at a time passes the driver and is held by a task; hashing makes them about equal
-    blocks = []
-    for k in range(n_blocks):
-        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k)
-        blocks.append(spark.sparkContext.broadcast([tuple(r) for r in block.toLocalIterator()]))
+    workers_ready(docs.sparkSession)
+    compiled_benchmark = compile_benchmark(benchmark, window, item_col, item_text_col)
     text_at = docs.columns.index(text_col)
     names = [prefix + n for n in RESULT.names]
     added = ", ".join(f"`{n}` {kind}" for n, kind in zip(names, RESULT_KINDS, strict=True))
@@ -178,21 +252,9 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_nothing()
-        one: list[Phrases] = []
         for shard in shards(batches, text_at):
             texts = shard.column(text_at).to_pylist()
-            found: list[set[str]] = [set() for _ in texts]
-            spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-            counts = None
-            for block in blocks or [None]:
-                if len(blocks) > 1 or not one:
-                    one = [Phrases(block.value if block else [], window)]
-                counts, hits, items_found = search_shard(texts, one[0])
-                for t, a, b in hits:
-                    spans[t].append((a, b))
-                for t, items_of in enumerate(items_found):
-                    found[t] |= items_of
-            spans = [merged(x) for x in spans]
+            counts, spans, found = search_shard(texts, compiled_benchmark)
             points = [[{"start": a, "end": b} for a, b in in_code_points(t, x)] if x else []
                       for t, x in zip(texts, spans, strict=True)]
             more = [pa.array(counts, pa.int64()), pa.array([sum(b - a for a, b in x) for x in spans], pa.int64()),

@@ -125,6 +125,27 @@ def test_empty_sides(spark):
     assert decontamination.find_passages(awkward_docs(spark, []), none, prefix="p_").count() == 0
 
 
+def test_benchmark_is_compiled_once_for_each_text(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 2_000)
+    items = [(i % 7, f"item {i} of many words that stand in it {i}", "s") for i in range(100)]
+    items += [(8, "one text in many rows", "s")] * 2_000
+    blocks = decontamination.compile_benchmark(spark.createDataFrame(items, BENCHMARK))
+    assert 1 < len(blocks.numbers) < 10 and blocks.shortest == 5
+    owners = {}
+    for block in blocks.blocks():
+        for length, phrases, starts, of in block.phrases:
+            assert phrases.shape == (len(starts) - 1, length)
+            for p, row in enumerate(phrases.tolist()):
+                text = b" ".join(block.vocabulary[w] for w in row).decode()
+                owners.setdefault(text, set()).update(block.items[i] for i in of[starts[p]:starts[p + 1]])
+    want = {}
+    for item, text, _ in items:
+        w = text.split()
+        for k in range(max(1, len(w) - 9)):
+            want.setdefault(" ".join(w[k:k + 10]), set()).add(str(item))
+    assert owners == want
+
+
 def test_fm_index_finds_every_place():
     rng = np.random.default_rng(3)
     text = rng.integers(1, 5, 3000)
