@@ -11,10 +11,12 @@ hashes) once, cut by hash range into a pack for each partition of the count tabl
 the counts of all packs and answers each with the sums in the pack's order. Answers meet their slice
 again by its number, where each document adds up its words. Every n-gram of every document takes
 part; a pack has one row for an n-gram however often its slice repeats it, which is the aggregation
-before the shuffle, and a range's rows are bounded by its share of distinct n-grams.
+before the shuffle. The number of ranges grows with the bytes of text, so a range's share of n-grams
+stays the same at every size.
 
-A slice is numbered by its input partition and place in it and read twice; an answer whose lengths
-don't fit the slice read the second time stops the job.
+A slice is bounded in documents and in bytes of text (a longer document is one by itself). It is
+numbered by its input partition and place in it and read twice; an answer whose lengths don't fit the
+slice read the second time stops the job.
 
 Defined cases: a null or empty text has no words, sum 0 and a null mean; a null id is kept; repeated
 rows get a row each (each is another document to the others); if no other document has a word, N
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.ipc
 import xxhash
 import zstandard
@@ -35,12 +38,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import state_path
-from .common import documents, keep_nothing, partitions, pick, slices, workers_ready
+from .common import documents, keep_nothing, partitions, pick, workers_ready
 from .decontamination import words_of
 
 ORDER, ALPHA = 2, 0.4
-#: Documents of a slice; documents for each range of hashes, and the bounds of the number of ranges.
-SLICE, PER_RANGE, RANGES = 1024, 512, (64, 65_536)
+#: Documents and bytes of text of a slice; bytes of text for each range of hashes, and the least number of ranges.
+SLICE, SLICE_BYTES, RANGE_BYTES, RANGES = 1024, 8_000_000, 1_000_000, 64
 #: Words whose hashes a worker remembers.
 WORDS = 400_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -116,9 +119,22 @@ def from_planes(data: bytes, kind: str) -> np.ndarray:
 
 
 def numbered_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    first = TaskContext.get().partitionId() << 32
-    for n, part in enumerate(slices(batches, SLICE)):
-        yield first + n, part
+    """Of rows (doc_id, text)."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes, dtype=np.int64), 0
+        while at < batch.num_rows:
+            fits = int(np.searchsorted(ends, ends[at] - sizes[at] + SLICE_BYTES, side="right"))
+            end = min(at + SLICE, max(at + 1, fits))
+            yield number, batch.slice(at, end - at)
+            number, at = number + 1, end
+
+
+def ranges_of(hashes: np.ndarray, shift: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ranges that sorted hashes fall into, and where the hashes of each begin and end."""
+    found, begins = np.unique(hashes >> shift, return_index=True)
+    return found.astype(np.int64), begins, np.append(begins[1:], len(hashes)).astype(np.int64)[:len(found)]
 
 
 def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id",
@@ -127,8 +143,8 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id
     spark = docs.sparkSession
     workers_ready(spark)
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    ranges, n_docs = RANGES[0], rows.count()
-    while ranges < RANGES[1] and ranges * PER_RANGE < n_docs:
+    ranges, size = RANGES, rows.agg(F.sum(F.octet_length("text").cast("long"))).collect()[0][0] or 0
+    while ranges * RANGE_BYTES < size:
         ranges *= 2
     shift = np.uint64(64 - (ranges.bit_length() - 1))
 
@@ -137,14 +153,13 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id
         known = WordHashes()
         for number, part in numbered_slices(batches):
             grams = Grams(part.column(1).to_pylist(), order, known)
-            at = np.searchsorted(grams.distinct >> shift, np.arange(ranges + 1))
+            some, begins, ends = ranges_of(grams.distinct, shift)
             steps = np.diff(grams.distinct, prepend=np.uint64(0))
-            some = np.flatnonzero(np.diff(at))
-            steps[at[some]] = grams.distinct[at[some]]
+            steps[begins] = grams.distinct[begins]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array(np.full(len(some), number)),
-                 pa.array([planes(steps[at[b]:at[b + 1]]) for b in some], pa.binary()),
-                 pa.array([planes(grams.counts[at[b]:at[b + 1]].astype("<u4")) for b in some], pa.binary())],
+                [pa.array(some), pa.array(np.full(len(some), number)),
+                 pa.array([planes(steps[a:b]) for a, b in zip(begins, ends, strict=True)], pa.binary()),
+                 pa.array([planes(grams.counts[a:b].astype("<u4")) for a, b in zip(begins, ends, strict=True)], pa.binary())],
                 ["part", "slice", "grams", "counts"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +173,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id
             totals = np.bincount(place, counts, len(table)).astype("<u8")[place]
             ends = np.cumsum([len(g) for g in grams])
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(packs), current), pa.int32()), pa.array([n for n, *_ in packs], pa.int64()),
+                [pa.array(np.full(len(packs), current), pa.int64()), pa.array([n for n, *_ in packs], pa.int64()),
                  pa.array([planes(t) for t in np.split(totals, ends[:-1])], pa.binary())], ["part", "slice", "totals"])
 
         for batch in batches:
@@ -186,16 +201,16 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id
         grams = Grams(part.column("text").to_pylist(), order, WordHashes())
         answers = sorted(zip(right.column("part").to_pylist(), right.column("totals").to_pylist(), strict=True))
         totals = [from_planes(t, "<u8").astype(np.int64) for _, t in answers]
-        at = np.searchsorted(grams.distinct >> shift, np.arange(ranges + 1))
-        if [(p, len(t)) for (p, _), t in zip(answers, totals, strict=True)] != [(int(b), int(at[b + 1] - at[b])) for b in np.flatnonzero(np.diff(at))]:
+        some, begins, ends = ranges_of(grams.distinct, shift)
+        if [(p, len(t)) for (p, _), t in zip(answers, totals, strict=True)] != list(zip(some.tolist(), (ends - begins).tolist(), strict=True)):
             raise RuntimeError("a slice was read differently the second time")
         log, alone, full = grams.scores(np.concatenate([np.zeros(0, np.int64), *totals]), alpha)
         return pa.table({"doc_id": part.column("doc_id").combine_chunks(), "n_words": pa.array(grams.lengths),
                          "n_full": pa.array(full), "n_alone": pa.array(alone), "log_sum": pa.array(log)})
 
     n = partitions(spark)
-    asked = rows.mapInArrow(ask, "part int, slice long, grams binary, counts binary")
-    totals = asked.repartition(n, "part").sortWithinPartitions("part").mapInArrow(answer, "part int, slice long, totals binary")
+    asked = rows.mapInArrow(ask, "part long, slice long, grams binary, counts binary")
+    totals = asked.repartition(n, "part").sortWithinPartitions("part").mapInArrow(answer, "part long, slice long, totals binary")
     texts = rows.mapInArrow(pack, "slice long, docs binary")
     path = state_path(spark, "lm-scores")
     texts.groupBy("slice").cogroup(totals.groupBy("slice")).applyInArrow(

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -380,14 +381,28 @@ def plain_scores(texts, alpha=0.4):
     return out
 
 
-def test_scores_are_those_of_plain_counts(spark, monkeypatch):
+@pytest.mark.parametrize("range_bytes", [1_000_000, 1])
+def test_scores_are_those_of_plain_counts(spark, monkeypatch, range_bytes):
     monkeypatch.setattr(lm_scoring, "SLICE", 7)
+    monkeypatch.setattr(lm_scoring, "SLICE_BYTES", 500)
+    monkeypatch.setattr(lm_scoring, "RANGE_BYTES", range_bytes)
     docs = awkward_docs(spark).repartition(3)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     want = sorted(((d, round(s, 6)) for (d, _), s in zip(rows, plain_scores([t for _, t in rows]))), key=repr)
     assert sorted(((r["doc_id"], round(r["log_score"], 6)) for r in lm_scoring.backoff_scores(docs).collect()), key=repr) == want
 
 
+def test_slices_are_bounded_in_rows_and_bytes(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SLICE", 3)
+    monkeypatch.setattr(lm_scoring, "SLICE_BYTES", 10)
+    monkeypatch.setattr(lm_scoring.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 2})())
+    texts = ["a" * 4, None, "b" * 6, "c" * 30, "", "", "", "", "d" * 9, "ee"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(10)), "text": pa.array(texts, pa.string())})
+    got = list(lm_scoring.numbered_slices(iter([batch, batch.slice(0, 0), batch.slice(8)])))
+    assert [p.column(0).to_pylist() for _, p in got] == [[0, 1, 2], [3], [4, 5, 6], [7, 8], [9], [8], [9]]
+    assert [n - (2 << 32) for n, _ in got] == list(range(7))
+
+
 def test_a_document_alone_and_no_document(spark):
     one = awkward_docs(spark, ["a b a b"]).where("doc_id = 0")
     assert round(lm_scoring.backoff_scores(one).collect()[0]["log_score"], 9) == round(3 * math.log(0.4), 9)
