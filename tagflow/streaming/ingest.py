@@ -19,6 +19,9 @@ from ..session import state_path
 
 POST_SCHEMA = ("id long, created_at string, score long, rating string, is_deleted boolean, is_banned boolean, "
                "general string, character string, copyright string, artist string, meta string")
+COUNT_SCHEMA = "tag string, tag_type string, count long"
+FILE_ROWS = 1_000_000           # of a staged file, some 70 MB
+LEAST_WIDTH = 12
 KEEP = ["id", "created_at", "score", "rating", "general", "character", "copyright", "artist", "meta"]
 
 
@@ -27,10 +30,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return state_path(spark, name)
 
 
+def _width(spark: SparkSession) -> int:
+    """Tasks that run at once (LEAST_WIDTH, if executors are still to come), at most the shuffle partitions."""
+    return min(int(spark.conf.get(PARTITIONS)), max(LEAST_WIDTH, spark.sparkContext.defaultParallelism))
+
+
 def stage_post_files(posts: DataFrame, path: str) -> None:
-    """Write posts as parquet files, one for each shuffle partition, to feed a stream."""
-    n = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    posts.repartition(n, F.xxhash64("id")).write.mode("append").parquet(path)
+    """Write posts as parquet files, to feed a stream: one for each task that runs at once, and a further one
+    whenever FILE_ROWS are written, so the number of batches goes by the rows, not by the shuffle partitions."""
+    (posts.repartition(_width(posts.sparkSession), F.xxhash64("id")).write.mode("append")
+     .option("maxRecordsPerFile", FILE_ROWS).parquet(path))
 
 
 def post_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -50,6 +59,8 @@ def ingest_active(spark: SparkSession, source: str, sink: str, checkpoint: str,
     return q
 
 
+PARTITIONS = "spark.sql.shuffle.partitions"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -95,6 +106,8 @@ def compact_tag_counts(spark: SparkSession, sink: str, epoch: int) -> None:
 def maintain_tag_counts(spark: SparkSession, source: str, sink: str, checkpoint: str, files_per_trigger: int | None = None,
                         snapshot_every: int | None = 16):
     """Running (tag_type, tag) counts of active posts. The state, in RocksDB, is bounded by the distinct tags.
+    Every batch opens and commits each of its partitions, so a new checkpoint gets one for each task that runs at once
+    (an old one keeps its number).
 
     A batch writes the counts it changed to a folder of its epoch, which a retried batch writes anew;
     every snapshot_every epochs (None: never) they are compacted. ``read_tag_counts`` takes the latest of each tag."""
@@ -106,15 +119,17 @@ def maintain_tag_counts(spark: SparkSession, source: str, sink: str, checkpoint:
         if snapshot_every and epoch % snapshot_every == snapshot_every - 1:
             compact_tag_counts(spark, sink, epoch)
 
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, ROCKSDB)
-    try:
+    conf = {PROVIDER: ROCKSDB, PARTITIONS: _width(spark)}
+    before = {key: spark.conf.get(key) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:  # the stream takes the settings as of its start; compaction has the session's own
         q = (counts.writeStream.outputMode("update").foreachBatch(write)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-        q.awaitTermination()
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    q.awaitTermination()
     return q
 
 
@@ -123,10 +138,10 @@ def read_tag_counts(spark: SparkSession, sink: str, upto: int | None = None) ->
     snapshots = [x for x in _snapshots(spark, sink) if upto is None or x[0] <= upto]
     since, last = snapshots[-1] if snapshots else (-1, None)
     later = [(e, x) for e, x in _deltas(spark, sink) if e > since and (upto is None or e <= upto)]
-    parts = [spark.read.parquet(x).select("tag", "tag_type", "count", F.lit(e).cast("long").alias("epoch"))
+    parts = [spark.read.schema(COUNT_SCHEMA).parquet(x).select("tag", "tag_type", "count", F.lit(e).cast("long").alias("epoch"))
              for e, x in ([(since, last)] if last else []) + later]
     if not parts:
-        return spark.createDataFrame([], "tag string, tag_type string, count long")
+        return spark.createDataFrame([], COUNT_SCHEMA)
     every = parts[0]
     for x in parts[1:]:
         every = every.unionByName(x)

@@ -102,6 +102,38 @@ def test_failed_batch_is_retried(spark, monkeypatch):
     assert {(r["tag"], r["tag_type"], r["count"]) for r in ST.read_tag_counts(spark, sink).collect()} == plain
 
 
+def _posts_of_tags(spark, n):
+    return spark.range(n).select(
+        "id", F.lit("2020-01-01T00:00:00.000+00:00").alias("created_at"), F.lit(5).cast("long").alias("score"), F.lit("g").alias("rating"),
+        (F.col("id") % 10 == 0).alias("is_deleted"), F.lit(False).alias("is_banned"), F.concat(F.lit("a,b"), F.col("id") % 7).alias("general"),
+        *[F.lit(None).cast("string").alias(c) for c in ("character", "copyright", "artist", "meta")])
+
+
+def test_batches_go_by_rows_not_by_shuffle_partitions(spark, monkeypatch):
+    """Files and state partitions don't multiply with the shuffle partitions; more rows give more files, none is lost."""
+    n, width = 1000, max(12, spark.sparkContext.defaultParallelism)
+    posts = _posts_of_tags(spark, n)
+    few, many, sink, ck = (ST.shared_dir(spark, x) for x in ("b-few", "b-many", "b-sink", "b-ck"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        ST.stage_post_files(posts, few)
+        assert len(ST._folders(spark, f"{few}/*.parquet")) == width
+        monkeypatch.setattr(ST, "FILE_ROWS", 100)
+        ST.stage_post_files(posts, many)
+        sizes = [r["n"] for r in spark.read.parquet(many).groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert max(sizes) <= 100 and sum(sizes) == n and len(sizes) <= n / 100 + width
+        ST.maintain_tag_counts(spark, few, sink, ck, 1, 2)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+        assert len(ST._folders(spark, f"{ck}/commits/[0-9]*")) == width
+        assert len(ST._folders(spark, f"{ck}/state/0/[0-9]*")) == width
+        got = {(r["tag"], r["tag_type"], r["count"]) for r in ST.read_tag_counts(spark, sink).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    kept = [k for k in range(n) if k % 10]
+    assert got == {("a", "general", len(kept))} | {(f"b{m}", "general", sum(k % 7 == m for k in kept)) for m in range(7)}
+
+
 def test_nested_documents_of_any_shape(spark):
     folder = tempfile.mkdtemp(prefix="tagflow-test-nested-")
     docs = [{"normalized_data": {"items": {"a": {"name": "a", "path": ["x", "a"], "depth": 2, "classification": "c", "more": {"z": 1}},
