@@ -22,6 +22,7 @@ POST_SCHEMA = ("id long, created_at string, score long, rating string, is_delete
 COUNT_SCHEMA = "tag string, tag_type string, count long"
 FILE_ROWS = 1_000_000           # of a staged file, some 70 MB
 LEAST_WIDTH = 12
+ROW_GROUP_BYTES = 8 << 20       # a batch of one file is still read by many tasks
 KEEP = ["id", "created_at", "score", "rating", "general", "character", "copyright", "artist", "meta"]
 
 
@@ -39,7 +40,7 @@ def stage_post_files(posts: DataFrame, path: str) -> None:
     """Write posts as parquet files, to feed a stream: one for each task that runs at once, and a further one
     whenever FILE_ROWS are written, so the number of batches goes by the rows, not by the shuffle partitions."""
     (posts.repartition(_width(posts.sparkSession), F.xxhash64("id")).write.mode("append")
-     .option("maxRecordsPerFile", FILE_ROWS).parquet(path))
+     .option("maxRecordsPerFile", FILE_ROWS).option("parquet.block.size", ROW_GROUP_BYTES).parquet(path))
 
 
 def post_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:

@@ -134,6 +134,22 @@ def test_batches_go_by_rows_not_by_shuffle_partitions(spark, monkeypatch):
     assert got == {("a", "general", len(kept))} | {(f"b{m}", "general", sum(k % 7 == m for k in kept)) for m in range(7)}
 
 
+def test_one_staged_file_is_read_by_several_tasks(spark):
+    """A batch of one file isn't one task: the file has row groups of a bounded size."""
+    long = F.concat_ws(",", *[F.sha2(F.concat(F.col("id").cast("string"), F.lit(k)), 512) for k in "abcd"])
+    path = ST.shared_dir(spark, "g-src")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        ST.stage_post_files(_posts_of_tags(spark, 60_000).withColumn("general", long), path)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    files = ST._folders(spark, f"{path}/*.parquet")
+    assert len(files) == 1
+    parts = [r["n"] for r in spark.read.parquet(path).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(parts) >= 3 and sum(parts) == 60_000
+
+
 def test_nested_documents_of_any_shape(spark):
     folder = tempfile.mkdtemp(prefix="tagflow-test-nested-")
     docs = [{"normalized_data": {"items": {"a": {"name": "a", "path": ["x", "a"], "depth": 2, "classification": "c", "more": {"z": 1}},
